@@ -9,3 +9,7 @@ Text in, clean Markdown out, for a corpus table instead of one file at a time.
 ``streaming``  the same conversion for files that keep arriving
 ``workload``   derived views, registered queries and their SQL counterparts
 """
+
+from foliomark.plans.convert import ConvertOptions, convert, convert_directory
+
+__all__ = ["ConvertOptions", "convert", "convert_directory"]

@@ -50,46 +50,44 @@ def join_segments(segments: Column) -> Column:
     return F.substr(F.array_join(segments, "\n"), F.lit(2))
 
 
-def repeats(keys: Column, at_least: int) -> Column:
-    """Per key, in order: true when it repeats an earlier one and occurs ``at_least`` times.
+def occurrences(keys: Column, at_least: int) -> Column:
+    """Per key, in order: ``struct(often, again)``.
 
-    Sorts (key, position) and looks at sorted neighbours, so it is n log n however often a
-    key repeats. Null keys never count. ``at_least`` is a small constant.
+    ``often``: the key occurs ``at_least`` times; ``again``: an equal key came before. Sorts
+    (key, position) and looks at sorted neighbours, so it is n log n however often a key
+    repeats. Null keys are never often. ``at_least`` is a small constant.
     """
     placed = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    offsets = [o for o in range(1 - at_least, at_least) if o]
+
+    def verdict(z: Column) -> Column:
+        same = {o: z[f"o{j}"] == z["e"]["k"] for j, o in enumerate(offsets)}
+        # Equal keys are adjacent: some window of at_least places must hold this entry.
+        often = F.lit(False)
+        for lo in range(1 - at_least, 1):
+            window = F.lit(True)
+            for o in range(lo, lo + at_least):
+                window = window & same[o] if o else window
+            often = often | window
+        return F.struct(
+            z["e"]["i"].alias("i"),
+            F.coalesce(often, F.lit(False)).alias("often"),
+            F.coalesce(same[-1], F.lit(False)).alias("again"),
+        )
 
     def flag(entries: Column) -> Column:
         def with_sorted(sorted_keys: Column) -> Column:
             null = F.lit(None).cast("string")
-            offsets = [o for o in range(1 - at_least, at_least) if o]
-            near = {o: shifted(sorted_keys, -o, null) for o in offsets}
-            zipped = F.arrays_zip(entries, *[near[o] for o in offsets]).cast(
-                "array<struct<e:struct<k:string,i:int>,"
-                + ",".join(f"o{j}:string" for j in range(len(offsets)))
-                + ">>"
+            near = [shifted(sorted_keys, -o, null) for o in offsets]
+            names = ",".join(f"o{j}:string" for j in range(len(offsets)))
+            zipped = F.arrays_zip(entries, *near).cast(
+                f"array<struct<e:struct<k:string,i:int>,{names}>>"
             )
-
-            def verdict(z: Column) -> Column:
-                same = {o: z[f"o{j}"] == z["e"]["k"] for j, o in enumerate(offsets)}
-                # Equal keys are adjacent: some window of at_least places around this entry.
-                windows = []
-                for lo in range(1 - at_least, 1):
-                    span = [same[o] for o in range(lo, lo + at_least) if o]
-                    whole = span[0]
-                    for s in span[1:]:
-                        whole = whole & s
-                    windows.append(whole)
-                often = windows[0]
-                for w in windows[1:]:
-                    often = often | w
-                drop = F.coalesce(same[-1] & often, F.lit(False))
-                return F.struct(z["e"]["i"].alias("i"), drop.alias("drop"))
-
             return F.transform(zipped, verdict)
 
         return let(F.transform(entries, lambda e: e["k"]), with_sorted)
 
-    return F.transform(F.sort_array(let(placed, flag)), lambda e: e["drop"])
+    return F.sort_array(let(placed, flag))
 
 
 def _drop_flagged(segments: Column, flags: Column) -> Column:
@@ -110,8 +108,8 @@ def keep_first_running(text: Column) -> Column:
     def dedupe(segments: Column) -> Column:
         def on_headers(headers: Column) -> Column:
             keys = F.transform(headers, lambda s: header_key(first_line(s)))
-            flags = let(keys, lambda k: repeats(k, RUNNING_MIN))
-            return _drop_flagged(headers, flags)
+            seen = let(keys, lambda k: occurrences(k, RUNNING_MIN))
+            return _drop_flagged(headers, F.transform(seen, lambda s: s["often"] & s["again"]))
 
         body = F.concat(F.slice(segments, 1, 1), let(_header_part(segments), on_headers))
         return F.when(F.size(segments) > RUNNING_MIN, join_segments(body)).otherwise(text)
