@@ -23,33 +23,34 @@ def drop_replacement_char(text: Column) -> Column:
 
 
 def drop_placeholders(text: Column) -> Column:
-    return F.regexp_replace(text, PLACEHOLDER, "")
+    dropped = F.regexp_replace(text, PLACEHOLDER, "")
+    return F.when(F.contains(text, F.lit("**==> picture [")), dropped).otherwise(text)
 
 
 def rstrip_lines(text: Column) -> Column:
     """Strip blanks and tabs before every line end.
 
-    Starts only at the head of a run and never backs off, so long inner runs stay linear.
+    Matches only from the head of a run and never backs off, so long inner runs stay linear;
+    the blank is tested before the look back, which keeps ordinary characters cheap.
     """
-    return F.regexp_replace(text, r"(?dm)(?<![ \t])[ \t]++$", "")
+    return F.regexp_replace(text, r"(?dm)[ \t](?<![ \t][ \t])[ \t]*+$", "")
 
 
 def final_newline(text: Column) -> Column:
-    return F.concat(F.regexp_replace(text, r"(?<!\n)\n++\z", ""), F.lit("\n"))
+    bare = F.regexp_replace(text, r"\n(?<!\n\n)\n*+\z", "")
+    return F.concat(F.when(text.endswith("\n"), bare).otherwise(text), F.lit("\n"))
 
 
 def cleanup(text: Column) -> Column:
     """All steps in order. Not idempotent, so apply it once."""
-    raw = drop_placeholders(drop_replacement_char(text))
-
-    def tidy(t: Column) -> Column:
-        return collapse_newlines(rstrip_lines(t))
-
-    steps = (convert_picture_blocks, dedupe_headers, tidy, compress_levels, repair_tables)
+    steps = (
+        drop_placeholders, convert_picture_blocks, dedupe_headers, rstrip_lines,
+        collapse_newlines, compress_levels, repair_tables,
+    )
 
     def run(t: Column, rest: tuple) -> Column:
         if not rest:
             return final_newline(t)
         return let(rest[0](t), lambda out: run(out, rest[1:]))
 
-    return let(raw, lambda t: run(t, steps))
+    return let(drop_replacement_char(text), lambda t: run(t, steps))

@@ -1,7 +1,7 @@
 """Markdown headers inside a text: keys, duplicates, levels.
 
-A text is cut at its headers into segments (header line + the lines below it), so the
-arrays handled here have one element per header, not one per line.
+A text is cut at its headers into segments (header line + the lines below it; the first one
+may be a preamble), so the arrays handled here have one element per header, not per line.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliomark.functions.text import (
+    WHITESPACE,
     WS,
     WS_INLINE,
     after_first_line,
@@ -31,8 +32,12 @@ def is_header(line: Column) -> Column:
 
 
 def header_key(line: Column) -> Column:
-    """Comparison key of a header line: no hashes, marks or whitespace, upper case."""
-    return F.upper(F.regexp_replace(line, rf"(?U)^#{{1,6}}|[*_`{WS}]+", ""))
+    """Comparison key of a header line: no hashes, marks or whitespace, upper case.
+
+    The hashes of a header end at a blank, so trimming them takes exactly the header mark.
+    """
+    bare = F.ltrim(line, F.lit("#"))
+    return F.upper(F.translate(bare, "*_`" + WHITESPACE, ""))
 
 
 def header_keys(text: Column) -> Column:
@@ -42,12 +47,18 @@ def header_keys(text: Column) -> Column:
 
 
 def header_segments(text: Column) -> Column:
-    """``[preamble, segment, ...]`` of newline + text, split before every header line."""
-    return F.split(F.concat(F.lit("\n"), text), rf"(?U)\n(?={HEADER})")
+    """The text split before every header line; joined by newlines they are the text."""
+    return F.split(text, rf"(?U)\n(?={HEADER})")
+
 
+def segment_keys(segments: Column) -> Column:
+    """Key of every segment's header; null for a preamble, which only the first can be."""
 
-def join_segments(segments: Column) -> Column:
-    return F.substr(F.array_join(segments, "\n"), F.lit(2))
+    def keyed(segment: Column, i: Column) -> Column:
+        line = first_line(segment)
+        return F.when((i > 0) | is_header(line), header_key(line))
+
+    return F.transform(segments, keyed)
 
 
 def occurrences(keys: Column, at_least: int) -> Column:
@@ -91,81 +102,90 @@ def occurrences(keys: Column, at_least: int) -> Column:
 
 
 def _drop_flagged(segments: Column, flags: Column) -> Column:
-    """Remove the header line of flagged segments, keeping the lines below it."""
+    """Text of the segments without the header line of the flagged ones."""
     kept = F.zip_with(
         segments, flags, lambda s, drop: F.when(drop, after_first_line(s)).otherwise(s)
     )
-    return F.filter(kept, lambda s: s.isNotNull())
+    # A flagged header without lines below leaves nothing, not an empty line.
+    return F.array_join(F.filter(kept, lambda s: s.isNotNull()), "\n")
 
 
-def _header_part(segments: Column) -> Column:
-    return F.slice(segments, F.lit(2), F.size(segments) - 1)
+def _running_flags(keys: Column) -> Column:
+    seen = occurrences(keys, RUNNING_MIN)
+    return F.transform(seen, lambda s: s["often"] & s["again"])
 
 
-def keep_first_running(text: Column) -> Column:
-    """Of every header seen ``RUNNING_MIN`` times or more keep the first, whatever its level."""
+def _consecutive_flags(segments: Column, keys: Column) -> Column:
+    """True where the key equals the key before and only blank lines are between."""
+    null = F.lit(None).cast("string")
+    zipped = F.arrays_zip(keys, shifted(keys, 1, null), shifted(segments, 1, null)).cast(
+        "array<struct<k:string,pk:string,ps:string>>"
+    )
+
+    def flag(z: Column) -> Column:
+        # The body is looked at only when the keys agree.
+        again = (z["k"] != "") & (z["k"] == z["pk"])
+        body = F.coalesce(after_first_line(z["ps"]), F.lit(""))
+        return F.coalesce(again & is_blank(body), F.lit(False))
+
+    return F.transform(zipped, flag)
 
-    def dedupe(segments: Column) -> Column:
-        def on_headers(headers: Column) -> Column:
-            keys = F.transform(headers, lambda s: header_key(first_line(s)))
-            seen = let(keys, lambda k: occurrences(k, RUNNING_MIN))
-            return _drop_flagged(headers, F.transform(seen, lambda s: s["often"] & s["again"]))
 
-        body = F.concat(F.slice(segments, 1, 1), let(_header_part(segments), on_headers))
-        return F.when(F.size(segments) > RUNNING_MIN, join_segments(body)).otherwise(text)
+def _on_repeats(text: Column, step) -> Column:
+    """Apply ``step(segments, keys)`` when some key repeats; else the text is left alone."""
 
-    return F.when(is_header_near(text), let(header_segments(text), dedupe)).otherwise(text)
+    def with_segments(segments: Column) -> Column:
+        def with_keys(keys: Column) -> Column:
+            repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+            return F.when(repeated, step(segments, keys)).otherwise(text)
+
+        return let(segment_keys(segments), with_keys)
+
+    return F.when(has_hash_line(text), let(header_segments(text), with_segments)).otherwise(text)
+
+
+def keep_first_running(text: Column) -> Column:
+    """Of every header seen ``RUNNING_MIN`` times or more keep the first, whatever its level."""
+    return _on_repeats(text, lambda segments, keys: _drop_flagged(segments, _running_flags(keys)))
 
 
 def drop_consecutive(text: Column) -> Column:
     """Drop a header equal to the previous one with only blank lines between.
 
-    Runs after ``keep_first_running``: by then a removed running header no longer stands
-    between two others, so the previous header is simply the previous segment. A header with
-    an empty key is never dropped.
+    Expects the running headers to be gone: then the previous header is simply that of the
+    previous segment. A header with an empty key is never dropped.
     """
+    return _on_repeats(
+        text,
+        lambda segments, keys: _drop_flagged(segments, _consecutive_flags(segments, keys)),
+    )
 
-    def dedupe(segments: Column) -> Column:
-        def on_headers(headers: Column) -> Column:
-            def entry(s: Column) -> Column:
-                body = after_first_line(s)
-                return F.struct(
-                    header_key(first_line(s)).alias("k"),
-                    (body.isNull() | is_blank(body)).alias("open"),
-                )
 
-            def flags(entries: Column) -> Column:
-                nobody = F.struct(F.lit("").alias("k"), F.lit(False).alias("open"))
-                return F.zip_with(
-                    entries,
-                    shifted(entries, 1, nobody),
-                    lambda e, p: (e["k"] != "") & p["open"] & (e["k"] == p["k"]),
-                )
+def dedupe_headers(text: Column) -> Column:
+    """``keep_first_running``, then ``drop_consecutive``.
 
-            return _drop_flagged(headers, let(F.transform(headers, entry), flags))
+    Segments and keys are shared; the text is cut again only when running headers went away.
+    """
+
+    def step(segments: Column, keys: Column) -> Column:
+        def with_flags(running: Column) -> Column:
+            again = let(_drop_flagged(segments, running), drop_consecutive)
+            once = _drop_flagged(segments, _consecutive_flags(segments, keys))
+            return F.when(F.exists(running, lambda flag: flag), again).otherwise(once)
 
-        body = F.concat(F.slice(segments, 1, 1), let(_header_part(segments), on_headers))
-        return F.when(F.size(segments) > 2, join_segments(body)).otherwise(text)
+        return let(_running_flags(keys), with_flags)
 
-    return F.when(is_header_near(text), let(header_segments(text), dedupe)).otherwise(text)
+    return _on_repeats(text, step)
 
 
-def is_header_near(text: Column) -> Column:
+def has_hash_line(text: Column) -> Column:
     """Cheap guard: texts without a hash at a line start skip the segment work."""
     return text.startswith("#") | F.contains(text, F.lit("\n#"))
 
 
-def dedupe_headers(text: Column) -> Column:
-    return let(keep_first_running(text), drop_consecutive)
-
-
 # Levels ----------------------------------------------------------------------------
 
 
-def _hashes(segment: Column) -> Column:
-    return F.length(F.regexp_extract(segment, "^#+", 0))
-
-
 def header_levels(text: Column) -> Column:
     """Distinct header levels of a text, ascending.
 
@@ -182,23 +202,44 @@ def compress_levels(text: Column) -> Column:
     newline, so the next line is glued on. Texts without a gap are left alone.
     """
 
-    def compress(levels: Column) -> Column:
-        lowest = F.get(levels, F.lit(0))
-        gap = F.array_max(levels) - lowest + 1 > F.size(levels)
-
-        def rewrite(segment: Column) -> Column:
-            level = _hashes(segment)
-            new = lowest + F.size(F.filter(levels, lambda other: other < level))
-            moved = F.concat(F.repeat(F.lit("#"), new), F.lit(" "), F.substr(segment, level + 2))
-            return moved
-
-        # Every segment but the first starts with hashes and the whitespace after them.
-        parts = F.split(F.concat(F.lit("\n"), text), rf"(?U)(?<=\n)(?={LEVEL})")
-        rewritten = let(
-            parts,
-            lambda p: F.concat(F.slice(p, 1, 1), F.transform(_header_part(p), rewrite)),
-        )
-        whole = F.substr(F.array_join(rewritten, ""), F.lit(2))
-        return F.when((F.size(levels) > 1) & gap, whole).otherwise(text)
+    def on_parts(parts: Column) -> Column:
+        last = F.size(parts) - 1
+
+        def level(part: Column, i: Column) -> Column:
+            line = first_line(part)
+            hashes = F.length(line) - F.length(F.ltrim(line, F.lit("#")))
+            # Every part but the first starts with a level mark. The first one may, with its
+            # whitespace inside or, for hashes alone, as the newline of the cut.
+            marked = (i > 0) | F.concat(line, F.lit("\n")).rlike(f"(?U)^{LEVEL}") & (
+                (i < last) | (F.length(line) < F.length(part)) | (hashes < F.length(line))
+            )
+            return F.when(marked, hashes)
+
+        def on_levels(levels: Column) -> Column:
+            zipped = F.arrays_zip(parts, levels).cast("array<struct<part:string,level:int>>")
+            present = F.filter(levels, lambda v: v.isNotNull())
+
+            def on_used(used: Column) -> Column:
+                low = F.get(used, F.lit(0))
+                gap = F.array_max(used) - low + 1 > F.size(used)
+
+                def rewrite(z: Column, i: Column) -> Column:
+                    new = low + F.size(F.filter(used, lambda other: other < z["level"]))
+                    moved = F.concat(
+                        F.repeat(F.lit("#"), new), F.lit(" "), F.substr(z["part"], z["level"] + 2)
+                    )
+                    glued = z["level"] == F.length(z["part"])
+                    return F.concat(
+                        F.coalesce(moved, z["part"]),
+                        F.when((i == last) | glued, "").otherwise("\n"),
+                    )
+
+                moved = F.array_join(F.transform(zipped, rewrite), "")
+                return F.when(gap, moved).otherwise(text)
+
+            return let(F.sort_array(F.array_distinct(present)), on_used)
+
+        return let(F.transform(parts, level), on_levels)
 
-    return F.when(is_header_near(text), let(header_levels(text), compress)).otherwise(text)
+    parts = F.split(text, rf"(?U)\n(?={LEVEL})")
+    return F.when(has_hash_line(text), let(parts, on_parts)).otherwise(text)

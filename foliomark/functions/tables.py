@@ -121,26 +121,49 @@ def render_block(block: Column) -> Column:
 def convert_picture_blocks(text: Column) -> Column:
     """Replace every closed picture-text block by its rendering.
 
-    Only the part up to the last end marker is searched, so a text full of unclosed start
-    markers stays linear.
+    Normally every start marker has its end marker before the next one, and one cut at the
+    starts is enough. Texts with unclosed or nested starts take the general way.
     """
 
     def convert(t: Column) -> Column:
-        tail = F.substring_index(t, BLOCK_END, -1)
-        head = F.left(t, F.length(t) - F.length(tail))
+        def on_parts(parts: Column) -> Column:
+            opened = F.slice(parts, F.lit(2), F.size(parts) - 1)
+
+            def on_opened(opened: Column) -> Column:
+                def woven(part: Column) -> Column:
+                    halves = F.split(part, rf"\Q{BLOCK_END}\E", 2)
+                    return let(halves, lambda h: F.concat(render_block(h.getItem(0)), h.getItem(1)))
+
+                rest = F.concat(F.slice(parts, 1, 1), F.transform(opened, woven))
+                closed = F.forall(opened, lambda part: F.contains(part, F.lit(BLOCK_END)))
+                return F.when(closed, F.array_join(rest, "")).otherwise(_convert_any_blocks(t))
 
-        def weave(h: Column) -> Column:
-            outside = F.split(h, BLOCK)
-            rendered = F.transform(picture_blocks(h), render_block)
-            # One more outside part than blocks: the last one meets a null.
-            woven = F.zip_with(outside, rendered, lambda o, r: F.concat(o, F.coalesce(r, F.lit(""))))
-            return F.array_join(woven, "")
+            return let(opened, on_opened)
 
-        return F.concat(let(head, weave), tail)
+        return let(F.split(t, rf"\Q{BLOCK_START}\E"), on_parts)
 
     return F.when(F.contains(text, F.lit(BLOCK_START)), let(text, convert)).otherwise(text)
 
 
+def _convert_any_blocks(text: Column) -> Column:
+    """The general way: from each start to the next end, whatever lies between.
+
+    Only the part up to the last end marker is searched, so a text full of unclosed start
+    markers stays linear.
+    """
+    tail = F.substring_index(text, BLOCK_END, -1)
+    head = F.left(text, F.length(text) - F.length(tail))
+
+    def weave(h: Column) -> Column:
+        outside = F.split(h, BLOCK)
+        rendered = F.transform(picture_blocks(h), render_block)
+        # One more outside part than blocks: the last one meets a null.
+        woven = F.zip_with(outside, rendered, lambda o, r: F.concat(o, F.coalesce(r, F.lit(""))))
+        return F.array_join(woven, "")
+
+    return F.concat(let(head, weave), tail)
+
+
 # Pipe tables already in the text -----------------------------------------------------
 
 
@@ -192,8 +215,12 @@ def repair_tables(text: Column) -> Column:
                 shifted(stripped, -1, F.lit("")).alias("n"),
             )
 
-        # Positional names keep the struct independent of how the planner names its parts.
-        zipped = let(F.transform(lines, strip), zip_neighbours).cast(
+        # Only a line with a pipe can be a row; the others need no stripping.
+        candidates = F.transform(
+            lines, lambda line: F.when(F.contains(line, F.lit("|")), strip(line)).otherwise("")
+        )
+        # The cast names the fields, whatever the planner called them.
+        zipped = let(candidates, zip_neighbours).cast(
             "array<struct<l:string,t:string,p:string,n:string>>"
         )
         return F.array_join(F.transform(zipped, fix), "\n")
