@@ -9,9 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliomark.functions.headers import compress_levels, dedupe_headers
-from foliomark.functions.tables import convert_picture_blocks, repair_tables
-from foliomark.functions.text import collapse_newlines, let
+from foliomark.functions.headers import compress_in, dedupe_headers
+from foliomark.functions.tables import convert_picture_blocks, repair_in
+from foliomark.functions.text import (
+    collapse_blank,
+    drop_last_blank,
+    let,
+    lines_of,
+    on_lines,
+    rstrip_each,
+)
 
 # The replacement character and the line left behind by an omitted picture.
 REPLACEMENT = "�"
@@ -28,29 +35,35 @@ def drop_placeholders(text: Column) -> Column:
 
 
 def rstrip_lines(text: Column) -> Column:
-    """Strip blanks and tabs before every line end.
-
-    Matches only from the head of a run and never backs off, so long inner runs stay linear;
-    the blank is tested before the look back, which keeps ordinary characters cheap.
-    """
-    return F.regexp_replace(text, r"(?dm)[ \t](?<![ \t][ \t])[ \t]*+$", "")
+    """Strip blanks and tabs before every line end."""
+    return on_lines(text, rstrip_each)
 
 
 def final_newline(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"\n(?<!\n\n)\n*+\z", "")
-    return F.concat(F.when(text.endswith("\n"), bare).otherwise(text), F.lit("\n"))
+    """Exactly one newline at the end."""
+    bare = F.when(text.endswith("\n"), on_lines(text, drop_last_blank)).otherwise(text)
+    return F.concat(bare, F.lit("\n"))
 
 
 def cleanup(text: Column) -> Column:
-    """All steps in order. Not idempotent, so apply it once."""
-    steps = (
-        drop_placeholders, convert_picture_blocks, dedupe_headers, rstrip_lines,
-        collapse_newlines, compress_levels, repair_tables,
+    """All steps in order. Not idempotent, so apply it once.
+
+    The steps after the headers share one split into lines.
+    """
+
+    def tail(t: Column) -> Column:
+        return _chain(
+            lines_of(t), rstrip_each, collapse_blank, compress_in, repair_in, drop_last_blank
+        )
+
+    cleaned = _chain(
+        drop_replacement_char(text), drop_placeholders, convert_picture_blocks, dedupe_headers, tail
     )
+    return F.concat(F.array_join(cleaned, "\n"), F.lit("\n"))
 
-    def run(t: Column, rest: tuple) -> Column:
-        if not rest:
-            return final_newline(t)
-        return let(rest[0](t), lambda out: run(out, rest[1:]))
 
-    return let(drop_replacement_char(text), lambda t: run(t, steps))
+def _chain(value: Column, *steps) -> Column:
+    """Apply the steps one after the other, each on the bound result of the one before."""
+    if not steps:
+        return value
+    return let(value, lambda bound: _chain(steps[0](bound), *steps[1:]))

@@ -17,18 +17,20 @@ from foliomark.functions.text import (
     first_line,
     is_blank,
     let,
+    lines_of,
+    on_lines,
     shifted,
 )
 
 # Fixed value: a header seen this often in a document is a running page header.
 RUNNING_MIN = 3
 
-HEADER = rf"#{{1,6}}[{WS_INLINE}]+[^\n]"
+HEADER = rf"#{{1,6}}[{WS_INLINE}]+(?!\z)"
 LEVEL = rf"#{{1,6}}[{WS}]"
 
 
 def is_header(line: Column) -> Column:
-    return line.rlike(f"(?U)^{HEADER}")
+    return line.rlike(f"^{HEADER}")
 
 
 def header_key(line: Column) -> Column:
@@ -40,25 +42,43 @@ def header_key(line: Column) -> Column:
     return F.upper(F.translate(bare, "*_`" + WHITESPACE, ""))
 
 
+def header_lines(lines: Column) -> Column:
+    """``array<struct<i, k>>``: position and key of every header line."""
+
+    def entry(line: Column, i: Column) -> Column:
+        # Only a line that starts with a hash meets the regular expression.
+        found = line.startswith("#") & is_header(line)
+        return F.when(found, F.struct(i.alias("i"), header_key(line).alias("k")))
+
+    return F.filter(F.transform(lines, entry), lambda e: e.isNotNull())
+
+
 def header_keys(text: Column) -> Column:
     """Keys of all header lines of a text, in order."""
-    headers = F.regexp_extract_all(text, F.lit(rf"(?mdU)^{HEADER}.*"), F.lit(0))
-    return F.transform(headers, header_key)
+    return F.transform(header_lines(lines_of(text)), lambda e: e["k"])
+
 
+def header_segments(lines: Column, headers: Column) -> Column:
+    """``array<struct<text, k>>``: the lines cut before every header; at least one header.
 
-def header_segments(text: Column) -> Column:
-    """The text split before every header line; joined by newlines they are the text."""
-    return F.split(text, rf"(?U)\n(?={HEADER})")
+    A preamble comes first with a null key. Joined by newlines the segments are the text.
+    """
+    preamble = F.array(F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("k")))
+    starts = F.when(F.get(headers, F.lit(0))["i"] == 0, headers).otherwise(
+        F.concat(preamble, headers)
+    )
 
+    def cut(starts: Column) -> Column:
+        positions = F.transform(starts, lambda e: e["i"])
+        ends = shifted(positions, -1, F.size(lines))
 
-def segment_keys(segments: Column) -> Column:
-    """Key of every segment's header; null for a preamble, which only the first can be."""
+        def segment(start: Column, end: Column) -> Column:
+            own = F.slice(lines, start["i"] + 1, end - start["i"])
+            return F.struct(F.array_join(own, "\n").alias("text"), start["k"].alias("k"))
 
-    def keyed(segment: Column, i: Column) -> Column:
-        line = first_line(segment)
-        return F.when((i > 0) | is_header(line), header_key(line))
+        return F.zip_with(starts, ends, segment)
 
-    return F.transform(segments, keyed)
+    return let(starts, cut)
 
 
 def occurrences(keys: Column, at_least: int) -> Column:
@@ -134,14 +154,23 @@ def _consecutive_flags(segments: Column, keys: Column) -> Column:
 def _on_repeats(text: Column, step) -> Column:
     """Apply ``step(segments, keys)`` when some key repeats; else the text is left alone."""
 
-    def with_segments(segments: Column) -> Column:
-        def with_keys(keys: Column) -> Column:
+    def with_lines(lines: Column) -> Column:
+        def with_headers(headers: Column) -> Column:
+            keys = F.transform(headers, lambda e: e["k"])
             repeated = F.size(F.array_distinct(keys)) < F.size(keys)
-            return F.when(repeated, step(segments, keys)).otherwise(text)
 
-        return let(segment_keys(segments), with_keys)
+            def with_segments(cut: Column) -> Column:
+                texts = F.transform(cut, lambda s: s["text"])
+                keys = F.transform(cut, lambda s: s["k"])
+                return let(texts, lambda t: let(keys, lambda k: step(t, k)))
+
+            return F.when(repeated, let(header_segments(lines, headers), with_segments)).otherwise(
+                text
+            )
+
+        return let(header_lines(lines), with_headers)
 
-    return F.when(has_hash_line(text), let(header_segments(text), with_segments)).otherwise(text)
+    return F.when(has_hash_line(text), let(lines_of(text), with_lines)).otherwise(text)
 
 
 def keep_first_running(text: Column) -> Column:
@@ -186,60 +215,70 @@ def has_hash_line(text: Column) -> Column:
 # Levels ----------------------------------------------------------------------------
 
 
-def header_levels(text: Column) -> Column:
-    """Distinct header levels of a text, ascending.
+def line_levels(lines: Column) -> Column:
+    """Header level of every line, null where there is none.
 
-    A bare ``##`` line counts unless it is the last line: the newline is its whitespace.
+    The whitespace after the hashes may be the newline itself, so hashes alone count too,
+    unless they are the last line.
     """
-    marks = F.regexp_extract_all(text, F.lit(rf"(?mdU)^(#{{1,6}})[{WS}]"), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(marks, F.length)))
+    last = F.size(lines) - 1
 
+    def level(line: Column, i: Column) -> Column:
+        hashes = F.length(line) - F.length(F.ltrim(line, F.lit("#")))
+        bare = (hashes == F.length(line)) & (hashes <= 6) & (i < last)
+        return F.when(line.startswith("#"), F.when(bare | line.rlike(f"^{LEVEL}"), hashes))
 
-def compress_levels(text: Column) -> Column:
-    """Close gaps between used header levels; the k-th used level becomes minimum + k.
+    return F.transform(lines, level)
 
-    The whitespace after the hashes becomes one space, for a bare hash line that is its
-    newline, so the next line is glued on. Texts without a gap are left alone.
-    """
 
-    def on_parts(parts: Column) -> Column:
-        last = F.size(parts) - 1
+def used_levels(levels: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.filter(levels, lambda v: v.isNotNull())))
 
-        def level(part: Column, i: Column) -> Column:
-            line = first_line(part)
-            hashes = F.length(line) - F.length(F.ltrim(line, F.lit("#")))
-            # Every part but the first starts with a level mark. The first one may, with its
-            # whitespace inside or, for hashes alone, as the newline of the cut.
-            marked = (i > 0) | F.concat(line, F.lit("\n")).rlike(f"(?U)^{LEVEL}") & (
-                (i < last) | (F.length(line) < F.length(part)) | (hashes < F.length(line))
-            )
-            return F.when(marked, hashes)
 
-        def on_levels(levels: Column) -> Column:
-            zipped = F.arrays_zip(parts, levels).cast("array<struct<part:string,level:int>>")
-            present = F.filter(levels, lambda v: v.isNotNull())
+def header_levels(text: Column) -> Column:
+    """Distinct header levels of a text, ascending."""
+    return used_levels(let(lines_of(text), line_levels))
+
+
+def has_gap(used: Column) -> Column:
+    """Some level between the lowest and the highest used one is not used."""
+    return (F.size(used) > 1) & (
+        F.element_at(used, -1) - F.get(used, F.lit(0)) + 1 > F.size(used)
+    )
+
+
+def compress_in(lines: Column) -> Column:
+    """The lines with gaps between used header levels closed.
+
+    The k-th used level becomes minimum + k and the whitespace after the hashes one space; for
+    a bare hash line that is its newline, so the next line is glued on.
+    """
+    last = F.size(lines) - 1
+
+    def on_levels(levels: Column) -> Column:
+        zipped = F.arrays_zip(lines, levels).cast("array<struct<line:string,level:int>>")
 
-            def on_used(used: Column) -> Column:
-                low = F.get(used, F.lit(0))
-                gap = F.array_max(used) - low + 1 > F.size(used)
+        def on_used(used: Column) -> Column:
+            def rewrite(z: Column, i: Column) -> Column:
+                new = F.get(used, F.lit(0)) + F.size(F.filter(used, lambda v: v < z["level"]))
+                moved = F.concat(
+                    F.repeat(F.lit("#"), new), F.lit(" "), F.substr(z["line"], z["level"] + 2)
+                )
+                glued = z["level"] == F.length(z["line"])
+                return F.concat(
+                    F.when(z["level"].isNull(), z["line"]).otherwise(moved),
+                    F.when((i == last) | glued, "").otherwise("\n"),
+                )
 
-                def rewrite(z: Column, i: Column) -> Column:
-                    new = low + F.size(F.filter(used, lambda other: other < z["level"]))
-                    moved = F.concat(
-                        F.repeat(F.lit("#"), new), F.lit(" "), F.substr(z["part"], z["level"] + 2)
-                    )
-                    glued = z["level"] == F.length(z["part"])
-                    return F.concat(
-                        F.coalesce(moved, z["part"]),
-                        F.when((i == last) | glued, "").otherwise("\n"),
-                    )
+            # Cut again, because gluing joins lines.
+            closed = lines_of(F.array_join(F.transform(zipped, rewrite), ""))
+            return F.when(has_gap(used), closed).otherwise(lines)
 
-                moved = F.array_join(F.transform(zipped, rewrite), "")
-                return F.when(gap, moved).otherwise(text)
+        return let(used_levels(levels), on_used)
 
-            return let(F.sort_array(F.array_distinct(present)), on_used)
+    return let(line_levels(lines), on_levels)
 
-        return let(F.transform(parts, level), on_levels)
 
-    parts = F.split(text, rf"(?U)\n(?={LEVEL})")
-    return F.when(has_hash_line(text), let(parts, on_parts)).otherwise(text)
+def compress_levels(text: Column) -> Column:
+    """Close gaps between used header levels; texts without a gap are left alone."""
+    return F.when(has_hash_line(text), on_lines(text, compress_in)).otherwise(text)

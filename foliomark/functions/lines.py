@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliomark.functions.text import WS, collapse_newlines, is_upper, let, lines_of, strip, title
+from foliomark.functions.text import WS, collapse_blank, is_upper, let, lines_of, strip, title
 
 # Characters that open a bullet, and the exclusive length limit of a heading.
 BULLETS = ["•", "·", "-", "*", "◦"]
@@ -55,4 +55,4 @@ def format_text(text: Column) -> Column:
     """Classify and rewrite every line of a text, then collapse blank lines."""
     stripped = F.transform(lines_of(text), strip)
     rewritten = F.transform(stripped, lambda line: line_markdown(line))
-    return let(F.array_join(rewritten, "\n"), collapse_newlines)
+    return F.array_join(let(rewritten, collapse_blank), "\n")

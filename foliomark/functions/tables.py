@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliomark.functions.text import WS, let, lines_of, shifted, strip
+from foliomark.functions.text import WS, let, on_lines, shifted, strip
 
 # Markers around the text of a picture, and the share of rows that must
 # have the most frequent column count for a block to be a table.
@@ -46,12 +46,12 @@ def picture_blocks(text: Column) -> Column:
 
 def picture_rows(block: Column) -> Column:
     """Non-blank stripped rows of a block."""
-    parts = F.split(block, rf"(?U)<br>[{WS}]*\n?")
+    parts = F.split(block, rf"<br>[{WS}]*\n?")
     return F.filter(F.transform(parts, strip), lambda row: row != "")
 
 
 def split_columns(row: Column) -> Column:
-    return F.split(row, rf"(?U)[{WS}]{{2,}}")
+    return F.split(row, rf"[{WS}]{{2,}}")
 
 
 def modal_width(widths: Column) -> Column:
@@ -178,7 +178,7 @@ def is_separator_row(stripped: Column) -> Column:
     of any width is matched without recursion.
     """
     return (
-        stripped.rlike(rf"(?U)^\|[{WS}\-:|]+\|\z")
+        stripped.rlike(rf"^\|[{WS}\-:|]+\|\z")
         & ~F.contains(stripped, F.lit("||"))
         & (pipe_count(stripped) >= 3)
     )
@@ -188,41 +188,41 @@ def pipe_count(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
 
 
-def repair_tables(text: Column) -> Column:
-    """Insert a missing separator after the first row of every table of two or more rows.
+def repair_in(lines: Column) -> Column:
+    """The lines, with a missing separator appended to the first row of a table.
 
     The first row of a table is a row whose previous line is not one, so each line only
     looks at its neighbours.
     """
 
-    def fix(rows: Column) -> Column:
-        here, before, after = rows["t"], rows["p"], rows["n"]
+    def fix(z: Column) -> Column:
         broken = (
-            is_table_row(here)
-            & ~is_table_row(before)
-            & is_table_row(after)
-            & ~is_separator_row(after)
-        )
-        added = F.concat(rows["l"], F.lit("\n"), separator(pipe_count(rows["l"]) - 1))
-        return F.when(broken, added).otherwise(rows["l"])
-
-    def repair(lines: Column) -> Column:
-        def zip_neighbours(stripped: Column) -> Column:
-            return F.arrays_zip(
-                lines.alias("l"),
-                stripped.alias("t"),
-                shifted(stripped, 1, F.lit("")).alias("p"),
-                shifted(stripped, -1, F.lit("")).alias("n"),
-            )
-
-        # Only a line with a pipe can be a row; the others need no stripping.
-        candidates = F.transform(
-            lines, lambda line: F.when(F.contains(line, F.lit("|")), strip(line)).otherwise("")
+            is_table_row(z["t"])
+            & ~is_table_row(z["p"])
+            & is_table_row(z["n"])
+            & ~is_separator_row(z["n"])
         )
+        added = F.concat(z["l"], F.lit("\n"), separator(pipe_count(z["l"]) - 1))
+        return F.when(broken, added).otherwise(z["l"])
+
+    def zip_neighbours(stripped: Column) -> Column:
         # The cast names the fields, whatever the planner called them.
-        zipped = let(candidates, zip_neighbours).cast(
-            "array<struct<l:string,t:string,p:string,n:string>>"
-        )
-        return F.array_join(F.transform(zipped, fix), "\n")
+        return F.arrays_zip(
+            lines, stripped, shifted(stripped, 1, F.lit("")), shifted(stripped, -1, F.lit(""))
+        ).cast("array<struct<l:string,t:string,p:string,n:string>>")
+
+    # Only a line with a pipe can be a row; the others need no stripping.
+    candidates = F.transform(
+        lines, lambda line: F.when(F.contains(line, F.lit("|")), strip(line)).otherwise("")
+    )
+
+    def repaired(stripped: Column) -> Column:
+        some = F.exists(stripped, lambda line: line != "")
+        return F.when(some, F.transform(zip_neighbours(stripped), fix)).otherwise(lines)
+
+    return let(candidates, repaired)
 
-    return F.when(F.contains(text, F.lit("|")), let(lines_of(text), repair)).otherwise(text)
+
+def repair_tables(text: Column) -> Column:
+    """Insert a missing separator after the first row of every table of two or more rows."""
+    return F.when(F.contains(text, F.lit("|")), on_lines(text, repair_in)).otherwise(text)

@@ -14,10 +14,11 @@ WHITESPACE = (
     "    　"
 )
 
-# The same set as a Java character class body; needs the (?U) flag.
-WS = r"\s\x1c-\x1f"
-# Whitespace other than the newline, for patterns that must stay on one line.
-WS_INLINE = r"\s\x1c-\x1f&&[^\n]"
+# The same set as a Java character class body. Spelled out, because a class made only of
+# plain ranges matches several times faster than \s with the Unicode flag.
+WS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+# Without the newline, for patterns that must stay on one line.
+WS_INLINE = r"\t\x0b-\r\x1c-\x20\x85\xa0  -     　"
 
 CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
 
@@ -25,14 +26,24 @@ CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a bound variable.
 
-    Naming an intermediate column is not enough: the optimizer inlines a column used
-    once, also into a lambda body, where it would be evaluated once per element.
+    Naming an intermediate column is not enough: the optimizer inlines a column used once,
+    also into a lambda body, where it would be evaluated once per element. A fold over no
+    elements binds its start value and nothing else; taking the single element out of a
+    transformed array would do too, but works out the type of the whole body for every row.
     """
-    return F.transform(F.array(value), body).getItem(0)
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(nothing, value, lambda bound, _: bound, body)
 
 
 def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+    """Strip Python's whitespace at both ends.
+
+    The end characters are tested first: trimming a character set walks the whole string,
+    and most lines have nothing to trim.
+    """
+    edge = list(WHITESPACE)
+    padded = F.left(text, F.lit(1)).isin(edge) | F.right(text, F.lit(1)).isin(edge)
+    return F.when(padded, F.btrim(text, F.lit(WHITESPACE))).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:
@@ -82,7 +93,48 @@ def shifted(items: Column, by: int, pad: Column) -> Column:
     return F.slice(F.concat(items, fill), F.lit(1 - by), size)
 
 
+# Steps on the lines of a text. Splitting and joining at newlines is far cheaper than one scan
+# by a regular expression, so whole-text steps go through their lines.
+
+
+def on_lines(text: Column, step: Callable[[Column], Column]) -> Column:
+    return F.array_join(let(lines_of(text), step), "\n")
+
+
+def rstrip_each(lines: Column) -> Column:
+    """Strip trailing blanks and tabs of every line."""
+
+    def bare(line: Column) -> Column:
+        padded = line.endswith(" ") | line.endswith("\t")
+        return F.when(padded, F.rtrim(line, F.lit(" \t"))).otherwise(line)
+
+    return F.transform(lines, bare)
+
+
+def collapse_blank(lines: Column) -> Column:
+    """The lines after turning three or more newlines into two.
+
+    Inside a text a run of empty lines keeps one. At its start and end it keeps two: there a
+    run of k empty lines is k newlines, not k + 1.
+    """
+    last = F.size(lines) - 1
+    zipped = F.zip_with(
+        lines,
+        shifted(lines, 1, F.lit("-")),
+        lambda line, before: F.struct(line.alias("l"), ((line == "") & (before == "")).alias("r")),
+    )
+    kept = F.filter(zipped, lambda z, i: ~z["r"] | (i == 1) | (i == last))
+    return F.transform(kept, lambda z: z["l"])
+
+
+def drop_last_blank(lines: Column) -> Column:
+    """The lines without the empty ones at the end."""
+    filled = F.array_position(F.transform(F.reverse(lines), lambda line: line != ""), True)
+    count = F.when(filled > 0, F.size(lines) + 1 - filled.cast("int")).otherwise(0)
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), count)).otherwise(lines)
+
+
 def collapse_newlines(text: Column) -> Column:
-    """Three or more newlines become two; the plain search spares most texts the regex."""
-    collapsed = F.regexp_replace(text, r"\n{3,}", "\n\n")
+    """Three or more newlines become two."""
+    collapsed = on_lines(text, collapse_blank)
     return F.when(F.contains(text, F.lit("\n\n\n")), collapsed).otherwise(text)

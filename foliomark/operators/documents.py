@@ -56,13 +56,19 @@ def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def parse_headers(docs: DataFrame) -> DataFrame:
     """``doc_id, header_no, level, key`` of every header line."""
-    pattern = rf"(?mdU)^{_headers.HEADER}.*"
-    found = F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))
-    rows = explode_text(docs, found, "header_no", "line")
-    return rows.select(
-        "doc_id", "header_no",
-        F.length(F.regexp_extract("line", "^#+", 0)).alias("level"),
-        _headers.header_key(F.col("line")).alias("key"),
+    def levelled(lines: Column) -> Column:
+        found = _headers.header_lines(lines)
+
+        def entry(e: Column) -> Column:
+            line = F.get(lines, e["i"])
+            hashes = F.length(line) - F.length(F.ltrim(line, F.lit("#")))
+            return F.struct(hashes.alias("level"), e["k"].alias("key"))
+
+        return F.transform(found, entry)
+
+    found = let(lines_of(F.col("text")), levelled)
+    return docs.select("doc_id", F.posexplode(found).alias("header_no", "h")).select(
+        "doc_id", "header_no", "h.*"
     )
 
 
@@ -78,11 +84,11 @@ def header_levels(docs: DataFrame) -> DataFrame:
 
     def mapped(levels: Column) -> Column:
         low = F.get(levels, F.lit(0))
-        gap = F.array_max(levels) - low + 1 > F.size(levels)
+        closed = _headers.has_gap(levels)
         return F.transform(
             levels,
             lambda v, i: F.struct(
-                v.alias("level"), F.when(gap, low + i).otherwise(v).alias("new_level")
+                v.alias("level"), F.when(closed, low + i).otherwise(v).alias("new_level")
             ),
         )
 
