@@ -31,6 +31,9 @@ PAGES = T.ArrayType(T.StructType([
     ]))),
 ]))
 
+# Input bytes after which a parser worker hands on what it has.
+OUTPUT_BYTES = 8 << 20
+
 # bytes -> pages in order, each a dict with "text" and optionally "tables" and "images".
 Extractor = Callable[[bytes], Iterable[dict]]
 
@@ -136,12 +139,13 @@ def extract(files: DataFrame, extractor: Extractor) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            # One output frame per file keeps a worker at one parsed document at a time.
-            for i in range(len(batch)):
-                row = batch.iloc[i : i + 1]
-                pages, error = parse(bytes(row["content"].iloc[0]))
-                yield row.drop(columns="content").assign(
-                    pages=pd.Series([pages], index=row.index, dtype=object), error=error
+            # Output frames follow the input bytes, so a worker holds few large documents.
+            sizes = batch["content"].map(len).cumsum()
+            for _, part in batch.groupby(sizes // OUTPUT_BYTES, sort=True):
+                parsed = [parse(bytes(content)) for content in part["content"]]
+                yield part.drop(columns="content").assign(
+                    pages=pd.Series([p for p, _ in parsed], index=part.index, dtype=object),
+                    error=pd.Series([e for _, e in parsed], index=part.index, dtype=object),
                 )
 
     return files.mapInPandas(run, schema)

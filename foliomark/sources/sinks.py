@@ -112,10 +112,14 @@ def _as_uri(path: str) -> str:
 
 
 def manifest(docs: DataFrame) -> DataFrame:
-    """``out_path, status, error`` of a converted corpus, ordered by path."""
-    failed = F.col("error").isNotNull()
-    status = F.when(failed, "failed").otherwise("written")
-    return docs.select("out_path", status.alias("status"), "error").orderBy("out_path")
+    """``out_path, status, error`` of a converted corpus, ordered by path.
+
+    Written before it is sorted: a sort samples its input first, and a parser behind it
+    would run twice.
+    """
+    status = F.when(F.col("error").isNotNull(), "failed").otherwise("written")
+    listing = docs.select("out_path", status.alias("status"), "error")
+    return spool(listing, "manifest").orderBy("out_path")
 
 
 def manifest_counts(listing: DataFrame) -> DataFrame:

@@ -21,16 +21,19 @@ def new_files(
 
 
 def convert_new(
-    stream: DataFrame, step: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str
+    stream: DataFrame, step: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str,
+    tasks: int | None = None,
 ) -> StreamingQuery:
     """Convert everything that is new and stop; run again for what arrives later.
 
     ``step`` holds only stateless operators (a document is whole in its row), so the stream
     needs no state. Files seen are remembered in ``checkpoint`` and the file sink commits each
-    batch once, so a restart repeats and loses nothing.
+    batch once, so a restart repeats and loses nothing. ``tasks`` spreads a batch of few large
+    files; without it a batch has the tasks its files give it.
     """
+    spread = stream.repartition(tasks) if tasks else stream
     return (
-        step(stream)
+        step(spread)
         .writeStream.format("parquet")
         .option("path", folder)
         .option("checkpointLocation", checkpoint)

@@ -514,5 +514,6 @@ def incremental_cleanup(spark, sf_dir):
         return documents.cleanup(noisy).select("doc_id", "text")
 
     base = f"{checkpoint_folder(spark)}/incremental-{uuid.uuid4().hex}"
-    convert_new(stream, step, f"{base}/out", f"{base}/state").awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    convert_new(stream, step, f"{base}/out", f"{base}/state", cores).awaitTermination()
     return spark.read.parquet(f"{base}/out")
