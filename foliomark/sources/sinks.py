@@ -77,8 +77,11 @@ def export_markdown(docs: DataFrame, manifest_folder: str) -> DataFrame:
     def write(out_path: str, text: str) -> str | None:
         from pyarrow import fs
 
+        # File scans name local files with one slash after the scheme, URIs have three.
+        one_slash = out_path.startswith("file:/") and not out_path.startswith("file://")
+        uri = "file://" + out_path[len("file:") :] if one_slash else out_path
         try:
-            store, target = fs.FileSystem.from_uri(_as_uri(out_path))
+            store, target = fs.FileSystem.from_uri(uri)
             store.create_dir(target.rpartition("/")[0], recursive=True)
             partial = f"{target}.{uuid.uuid4().hex}.tmp"
             with store.open_output_stream(partial) as out:
@@ -105,12 +108,6 @@ def export_markdown(docs: DataFrame, manifest_folder: str) -> DataFrame:
     return docs.sparkSession.read.parquet(manifest_folder)
 
 
-def _as_uri(path: str) -> str:
-    if path.startswith("file:/") and not path.startswith("file://"):
-        return "file://" + path[len("file:") :]
-    return path
-
-
 def manifest(docs: DataFrame) -> DataFrame:
     """``out_path, status, error`` of a converted corpus, ordered by path.
 

@@ -356,13 +356,14 @@ def chunk_requests(spark, sf_dir):
     return chunking.chunk_requests(chunk_documents(spark, sf_dir), "Tidy this text.").drop("n_chunks")
 
 
-def underscore(chunk: str) -> str:
-    return chunk.replace(" ", "_")
+def _underscore() -> Callable[[str], str]:
+    # A local function travels with the task, so workers need not import this module.
+    return lambda chunk: chunk.replace(" ", "_")
 
 
 @query
 def map_chunks(spark, sf_dir):
-    return chunking.map_chunks(chunk_documents(spark, sf_dir), underscore).drop("chunk")
+    return chunking.map_chunks(chunk_documents(spark, sf_dir), _underscore()).drop("chunk")
 
 
 @query
@@ -387,7 +388,7 @@ def fallback_to_original(spark, sf_dir):
 @query
 def transform_documents(spark, sf_dir):
     """Chunk, call the hook per chunk, reassemble with fallback."""
-    return chunking.transform_documents(_paragraph_docs(spark, sf_dir), underscore, CHUNK_LIMIT)
+    return chunking.transform_documents(_paragraph_docs(spark, sf_dir), _underscore(), CHUNK_LIMIT)
 
 
 # Files ---------------------------------------------------------------------------------------
@@ -440,18 +441,23 @@ def superseded_outputs(spark, sf_dir):
     return sinks.mark_superseded(unique).select("doc_id", "out_path", "superseded")
 
 
-def by_form_feed(content: bytes) -> list[dict]:
-    pages_found = content.decode("utf-8").split("\f")
-    if len(pages_found) < 2:
-        raise ValueError("single page")
-    return [{"text": text} for text in pages_found]
+def _by_form_feed() -> files.Extractor:
+    """A parser hook that cuts at form feeds and fails on documents of a single page."""
+
+    def parse(content: bytes) -> list[dict]:
+        found = content.decode("utf-8").split("\f")
+        if len(found) < 2:
+            raise ValueError("single page")
+        return [{"text": text} for text in found]
+
+    return parse
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paged documents written to bytes with form feeds and read back by a parser hook."""
     text = F.array_join(F.transform("pages", lambda p: p["text"]), "\f")
     raw = views.noisy_paged(spark, sf_dir).select("doc_id", "source", F.encode(text, "UTF-8").alias("content"))
-    return files.extract(raw, by_form_feed)
+    return files.extract(raw, _by_form_feed())
 
 
 @query
