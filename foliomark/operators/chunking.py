@@ -12,6 +12,7 @@ from foliomark.functions import chunks as _chunks
 from foliomark.functions.text import strip
 from foliomark.operators.ordered import ordered_concat
 from foliomark.operators.spool import spool
+from foliomark.operators.unnest import unnest
 
 # Chunks joined by one first-level group: at the default limit about 5 MB of text.
 CHUNK_SPAN = 64
@@ -24,15 +25,16 @@ DEFAULT_INSTRUCTION = (
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     parts = _chunks.paragraphs(F.col("text"))
-    return docs.select("doc_id", F.posexplode(parts).alias("para_no", "paragraph"))
+    return unnest(docs, ["doc_id"], parts, "paragraph", "para_no")
 
 
 def chunk_documents(docs: DataFrame, limit: int = _chunks.CHUNK_LIMIT) -> DataFrame:
     """``doc_id, chunk_no, n_chunks, chunk``; cut inside the row, so no shuffle."""
     cut = docs.select("doc_id", _chunks.chunks(F.col("text"), limit).alias("chunks"))
-    return cut.select(
-        "doc_id", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk_no", "chunk")
-    ).select("doc_id", "chunk_no", "n_chunks", "chunk")
+    rows = unnest(
+        cut, ["doc_id", F.size("chunks").alias("n_chunks")], F.col("chunks"), "chunk", "chunk_no"
+    )
+    return rows.select("doc_id", "chunk_no", "n_chunks", "chunk")
 
 
 def chunk_requests(chunks: DataFrame, instruction: str = DEFAULT_INSTRUCTION) -> DataFrame:

@@ -7,6 +7,9 @@ before shuffling.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +17,22 @@ from foliomark.functions import cleanup as _cleanup
 from foliomark.functions import headers as _headers
 from foliomark.functions import tables as _tables
 from foliomark.functions.lines import format_text, line_kind, line_markdown
-from foliomark.functions.text import is_blank, let, lines_of, shifted, strip
+from foliomark.functions.text import let, lines_of, shifted, strip
+from foliomark.operators.unnest import unnest
+
+
+@cache
+def _built(step: Callable[[Column], Column], text: str, session: str) -> Column:
+    return step(F.col(text))
+
 
+def map_text(docs: DataFrame, step: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """Apply a text -> text expression to the text column.
 
-def map_text(docs: DataFrame, step, text: str = "text") -> DataFrame:
-    """Apply a text -> text expression to the text column."""
-    return docs.withColumn(text, step(F.col(text)))
+    A long expression is thousands of calls to the driver's JVM, so it is built once per
+    application and used again: it names its column and is bound to no table.
+    """
+    return docs.withColumn(text, _built(step, text, docs.sparkSession.sparkContext.applicationId))
 
 
 def cleanup(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -34,7 +47,7 @@ def format_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def explode_text(docs: DataFrame, parts: Column, ordinal: str, value: str, *keep: str) -> DataFrame:
     """One row per element with a 0-based ordinal."""
-    return docs.select(*(keep or ("doc_id",)), F.posexplode(parts).alias(ordinal, value))
+    return unnest(docs, list(keep or ("doc_id",)), parts, value, ordinal)
 
 
 # Lines -------------------------------------------------------------------------------
@@ -67,14 +80,13 @@ def parse_headers(docs: DataFrame) -> DataFrame:
         return F.transform(found, entry)
 
     found = let(lines_of(F.col("text")), levelled)
-    return docs.select("doc_id", F.posexplode(found).alias("header_no", "h")).select(
-        "doc_id", "header_no", "h.*"
-    )
+    rows = explode_text(docs, found, "header_no", "h")
+    return rows.select("doc_id", "header_no", "h.*")
 
 
 def running_headers(docs: DataFrame) -> DataFrame:
     """``doc_id, key, n`` of the keys seen often enough in one document to be running headers."""
-    keys = docs.select("doc_id", F.explode(_headers.header_keys(F.col("text"))).alias("key"))
+    keys = unnest(docs, ["doc_id"], _headers.header_keys(F.col("text")), "key")
     counted = keys.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
     return counted.where(F.col("n") >= _headers.RUNNING_MIN)
 
@@ -93,7 +105,7 @@ def header_levels(docs: DataFrame) -> DataFrame:
         )
 
     found = let(_headers.header_levels(F.col("text")), mapped)
-    return docs.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
+    return unnest(docs, ["doc_id"], found, "m").select("doc_id", "m.*")
 
 
 # Picture-text blocks -------------------------------------------------------------------
@@ -107,7 +119,9 @@ def picture_blocks(docs: DataFrame) -> DataFrame:
 def picture_rows(blocks: DataFrame) -> DataFrame:
     """``doc_id, block_no, row_no, row``."""
     rows = _tables.picture_rows(F.col("block"))
-    return blocks.select("doc_id", "block_no", F.posexplode(rows).alias("row_no", "row"))
+    return unnest(blocks, ["doc_id", "block_no"], rows, "row", "row_no").select(
+        "doc_id", "block_no", "row_no", "row"
+    )
 
 
 def block_cells(blocks: DataFrame) -> DataFrame:
@@ -138,9 +152,7 @@ def fitted_rows(blocks: DataFrame) -> DataFrame:
         return let(_tables.modal_width(F.transform(cells, F.size)), with_modal)
 
     rows = let(F.col("cells"), fit)
-    return block_cells(blocks).select(
-        "doc_id", "block_no", F.posexplode(rows).alias("row_no", "cells")
-    )
+    return unnest(block_cells(blocks), ["doc_id", "block_no"], rows, "cells", "row_no")
 
 
 def render_blocks(blocks: DataFrame) -> DataFrame:
@@ -184,4 +196,4 @@ def table_islands(docs: DataFrame) -> DataFrame:
         return let(here, bounds)
 
     found = let(F.transform(lines_of(F.col("text")), strip), find)
-    return docs.select("doc_id", F.explode(found).alias("t")).select("doc_id", "t.*")
+    return unnest(docs, ["doc_id"], found, "t").select("doc_id", "t.*")

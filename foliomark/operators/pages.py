@@ -10,6 +10,7 @@ from foliomark.functions import pages as _pages
 from foliomark.functions.headers import RUNNING_MIN
 from foliomark.functions.images import image_name, link_item
 from foliomark.operators.ordered import SPAN, ordered_concat
+from foliomark.operators.unnest import unnest
 
 
 def pages_from_text(docs: DataFrame, text: str = "text", sep: str = "\f") -> DataFrame:
@@ -23,9 +24,8 @@ def pages_from_text(docs: DataFrame, text: str = "text", sep: str = "\f") -> Dat
 
 def enumerate_pages(docs: DataFrame, *keep: str) -> DataFrame:
     """Page table of a ``pages`` array column; page numbers start at 1."""
-    return docs.select(*(keep or ("doc_id",)), F.explode("pages").alias("p")).select(
-        *(keep or ("doc_id",)), "p.*"
-    )
+    kept = list(keep or ("doc_id",))
+    return unnest(docs, kept, F.col("pages"), "p").select(*kept, "p.*")
 
 
 def page_markers(pages: DataFrame) -> DataFrame:
@@ -91,20 +91,17 @@ def strip_page_table(
         F.struct(F.lit("top").alias("side"), F.col("_key.top").alias("key")),
         F.struct(F.lit("bottom").alias("side"), F.col("_key.bottom").alias("key")),
     )
-    long = keyed.select("doc_id", "_run", F.inline(sides)).where(F.col("key").isNotNull())
+    long = keyed.select("doc_id", "_run", F.inline_outer(sides)).where(F.col("key").isNotNull())
     per_run = long.groupBy("doc_id", "_run", "side", "key").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy("doc_id", "side", "key"))
     often = per_run.withColumn("total", total).where(F.col("total") >= at_least)
 
-    def keys_of(side: str) -> DataFrame:
-        hit = often.where(F.col("side") == side)
-        return hit.groupBy("doc_id", "_run").agg(F.collect_set("key").alias(f"_{side}"))
+    # A run has at most ``span`` distinct keys per side, so the sets stay small.
+    def keys_of(side: str):
+        return F.collect_set(F.when(F.col("side") == side, F.col("key"))).alias(f"_{side}")
 
-    # A run has at most ``span`` distinct keys, so the sets stay small.
-    flagged = keyed.join(
-        keys_of("top").join(keys_of("bottom"), ["doc_id", "_run"], "full_outer"),
-        ["doc_id", "_run"], "left",
-    )
+    sets = often.groupBy("doc_id", "_run").agg(keys_of("top"), keys_of("bottom"))
+    flagged = keyed.join(sets, ["doc_id", "_run"], "left")
 
     def hit(side: str):
         return F.coalesce(F.array_contains(f"_{side}", F.col(f"_key.{side}")), F.lit(False))

@@ -17,6 +17,8 @@ def local_session(app: str = "foliomark", cores: str | int = "*") -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("FOLIOMARK_DRIVER_MEMORY", "8g"))
+        # Call sites are captured per expression; the text steps are thousands of them.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

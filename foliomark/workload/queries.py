@@ -20,6 +20,7 @@ from foliomark.functions.lines import is_bullet, is_caps_heading, is_numbered
 from foliomark.functions.text import collapse_newlines, lines_of, strip
 from foliomark.operators import chunking, documents, pages
 from foliomark.operators.spool import checkpoint_folder
+from foliomark.operators.unnest import unnest
 from foliomark.plans.convert import ConvertOptions, convert
 from foliomark.sources import files, sinks
 from foliomark.streaming.incremental import convert_new, new_files
@@ -343,7 +344,7 @@ def paragraphs(spark, sf_dir):
 def chunk_pack(spark, sf_dir):
     """Packing of every text, also of those that would fit."""
     packed = _chunks.chunk_pack(F.col("text"), CHUNK_LIMIT // 4)
-    return _paragraph_docs(spark, sf_dir).select("doc_id", F.posexplode(packed).alias("chunk_no", "chunk"))
+    return unnest(_paragraph_docs(spark, sf_dir), ["doc_id"], packed, "chunk", "chunk_no")
 
 
 @query
