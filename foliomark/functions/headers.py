@@ -242,9 +242,7 @@ def header_levels(text: Column) -> Column:
 
 def has_gap(used: Column) -> Column:
     """Some level between the lowest and the highest used one is not used."""
-    return (F.size(used) > 1) & (
-        F.element_at(used, -1) - F.get(used, F.lit(0)) + 1 > F.size(used)
-    )
+    return F.array_max(used) - F.array_min(used) + 1 > F.size(used)
 
 
 def compress_in(lines: Column) -> Column:

@@ -8,7 +8,6 @@ before shuffling.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,21 +17,13 @@ from foliomark.functions import headers as _headers
 from foliomark.functions import tables as _tables
 from foliomark.functions.lines import format_text, line_kind, line_markdown
 from foliomark.functions.text import let, lines_of, shifted, strip
+from foliomark.operators.built import built
 from foliomark.operators.unnest import unnest
 
 
-@cache
-def _built(step: Callable[[Column], Column], text: str, session: str) -> Column:
-    return step(F.col(text))
-
-
 def map_text(docs: DataFrame, step: Callable[[Column], Column], text: str = "text") -> DataFrame:
-    """Apply a text -> text expression to the text column.
-
-    A long expression is thousands of calls to the driver's JVM, so it is built once per
-    application and used again: it names its column and is bound to no table.
-    """
-    return docs.withColumn(text, _built(step, text, docs.sparkSession.sparkContext.applicationId))
+    """Apply a text -> text expression to the text column."""
+    return docs.withColumn(text, built(docs.sparkSession, step, text))
 
 
 def cleanup(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from foliomark.functions import pages as _pages
 from foliomark.functions.headers import RUNNING_MIN
 from foliomark.functions.images import image_name, link_item
+from foliomark.operators.built import built
 from foliomark.operators.ordered import SPAN, ordered_concat
 from foliomark.operators.unnest import unnest
 
@@ -64,7 +67,10 @@ def provenance_header(docs: DataFrame) -> DataFrame:
 
 def strip_headers_footers(docs: DataFrame, at_least: int = RUNNING_MIN) -> DataFrame:
     """Drop repeated first / last lines of pages held as an array; no shuffle."""
-    texts = _pages.strip_repeated_edges(F.col("pages"), at_least)
+    step = _pages.strip_repeated_edges if at_least == RUNNING_MIN else partial(
+        _pages.strip_repeated_edges, at_least=at_least
+    )
+    texts = built(docs.sparkSession, step, "pages")
     cleaned = F.transform(
         F.arrays_zip(F.col("pages").alias("p"), texts.alias("t")),
         lambda z: z["p"].withField("text", z["t"]),

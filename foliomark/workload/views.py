@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliomark.functions.tables import BLOCK_END, BLOCK_START
 from foliomark.functions.text import let, lines_of
+from foliomark.operators.built import built
 
 PAGE_LINES = 4
 PLACEHOLDER_LINE = "**==> picture [12 x 34] intentionally omitted <==**"
@@ -86,21 +87,25 @@ def noisy_text(text: Column) -> Column:
 
 def noisy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return docs.select("doc_id", "source", noisy_text(F.col("text")).alias("text"))
+    return docs.select("doc_id", "source", built(spark, noisy_text, "text").alias("text"))
 
 
-def noisy_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages array<struct<page_no, text>>`` with a running header and a page-number footer."""
+def _paged(text: Column) -> Column:
+    return let(_items(text), _cut_pages)
+
 
-    def cut(items: Column) -> Column:
-        last = F.floor((F.size(items) - 1) / PAGE_LINES).cast("int") + 1
+def _cut_pages(items: Column) -> Column:
+    last = F.floor((F.size(items) - 1) / PAGE_LINES).cast("int") + 1
 
-        def page(p: Column) -> Column:
-            body = F.array_join(F.slice(items, (p - 1) * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n")
-            footer = F.concat(F.lit("\nPage "), p.cast("string"), F.lit("\n"))
-            return F.struct(p.alias("page_no"), F.concat(body, footer).alias("text"))
+    def page(p: Column) -> Column:
+        body = F.array_join(F.slice(items, (p - 1) * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n")
+        footer = F.concat(F.lit("\nPage "), p.cast("string"), F.lit("\n"))
+        return F.struct(p.alias("page_no"), F.concat(body, footer).alias("text"))
 
-        return F.transform(F.sequence(F.lit(1), last), page)
+    return F.transform(F.sequence(F.lit(1), last), page)
 
+
+def noisy_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages array<struct<page_no, text>>`` with a running header and a page-number footer."""
     docs = documents(spark, sf_dir)
-    return docs.select("doc_id", "source", let(_items(F.col("text")), cut).alias("pages"))
+    return docs.select("doc_id", "source", built(spark, _paged, "text").alias("pages"))

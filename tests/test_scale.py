@@ -126,6 +126,23 @@ def test_unclosed_blocks_stay_linear(spark):
     assert documents.cleanup(docs).first().text == spec.cleanup(text)
 
 
+def test_null_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "\n\n\n\n")], "doc_id long, text string")
+    assert [r.text for r in documents.cleanup(docs).orderBy("doc_id").collect()] == [None, "\n", "\n"]
+    assert documents.doc_lines(docs).count() == 1 + 5
+    assert chunking.chunk_documents(docs, 2).groupBy("doc_id").count().count() == 2
+
+
+def test_computed_arrays_are_evaluated_once(spark, docs):
+    """No inferred size filter repeats the work of an exploded array."""
+    assert "Filter (size(" not in plan(documents.picture_blocks(docs))
+
+
+def test_corpus_table_round_trip(spark, docs, tmp_path):
+    sinks.write_corpus(documents.cleanup(docs), str(tmp_path / "corpus"))
+    assert spark.read.parquet(str(tmp_path / "corpus")).count() == docs.count()
+
+
 def test_spread_keeps_large_inputs(spark):
     wide = spark.range(0, 1000, 1, 64)
     assert views.spread(wide).rdd.getNumPartitions() == 64
