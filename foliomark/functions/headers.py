@@ -132,7 +132,10 @@ def _drop_flagged(segments: Column, flags: Column) -> Column:
 
 def _running_flags(keys: Column) -> Column:
     seen = occurrences(keys, RUNNING_MIN)
-    return F.transform(seen, lambda s: s["often"] & s["again"])
+    flags = F.transform(seen, lambda s: s["often"] & s["again"])
+    # A running key leaves at least this many fewer distinct keys than keys.
+    enough = F.size(keys) - F.size(F.array_distinct(keys)) >= RUNNING_MIN - 1
+    return F.when(enough, flags).otherwise(F.array_repeat(F.lit(False), F.size(keys)))
 
 
 def _consecutive_flags(segments: Column, keys: Column) -> Column:

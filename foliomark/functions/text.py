@@ -60,16 +60,29 @@ def title(text: Column) -> Column:
     """Title-case every run of cased characters (``IT'S A-B`` -> ``It'S A-B``).
 
     Meant for upper-case input: the four digraphs are the only upper-case letters whose
-    title-case form differs from themselves.
+    title-case form differs from themselves. A sigma takes its final form by what follows in
+    the whole text, so with one the small letters come from lowering the whole text.
     """
 
+    def runs(t: Column) -> Column:
+        return F.regexp_extract_all(t, F.lit(f"([{CASED}]+|[^{CASED}]+)"), F.lit(1))
+
+    def capital(run: Column) -> Column:
+        return F.translate(F.upper(F.left(run, F.lit(1))), "ǄǇǊǱ", "ǅǈǋǲ")
+
     def word(run: Column) -> Column:
-        first = F.left(run, F.lit(1))
-        rest = F.substr(F.lower(run), F.length(F.lower(first)) + 1)
-        return F.concat(F.translate(F.upper(first), "ǄǇǊǱ", "ǅǈǋǲ"), rest)
+        rest = F.substr(F.lower(run), F.length(F.lower(F.left(run, F.lit(1)))) + 1)
+        return F.concat(capital(run), rest)
 
-    runs = F.regexp_extract_all(text, F.lit(f"([{CASED}]+|[^{CASED}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, word), "")
+    def paired(run: Column, low: Column) -> Column:
+        return F.concat(capital(run), F.substr(low, F.lit(2)))
+
+    lowered = F.lower(text)
+    aligned = F.contains(text, F.lit("Σ")) & (F.length(lowered) == F.length(text))
+    words = F.when(aligned, F.zip_with(runs(text), runs(lowered), paired)).otherwise(
+        F.transform(runs(text), word)
+    )
+    return F.array_join(words, "")
 
 
 def lines_of(text: Column) -> Column:

@@ -43,11 +43,15 @@ def chunk_requests(chunks: DataFrame, instruction: str = DEFAULT_INSTRUCTION) ->
     return chunks.withColumn("position", position).withColumn("instruction", F.lit(instruction))
 
 
-def map_chunks(chunks: DataFrame, fn: Callable[[str], str]) -> DataFrame:
+def map_chunks(
+    chunks: DataFrame, fn: Callable[[str], str], tasks: int | None = None
+) -> DataFrame:
     """Apply an external transform to every chunk; a failure becomes a row, not a lost task.
 
-    Adds ``result`` and ``error``.
+    Adds ``result`` and ``error``. The chunks of a long document are born in one task; with
+    ``tasks`` they are dealt out by chunk, so that slow calls for it run side by side.
     """
+    dealt = chunks.repartition(tasks, "doc_id", "chunk_no") if tasks else chunks
 
     def guarded(chunk: str) -> tuple[str | None, str | None]:
         try:
@@ -61,7 +65,7 @@ def map_chunks(chunks: DataFrame, fn: Callable[[str], str]) -> DataFrame:
             yield batch.assign(result=[r for r, _ in done], error=[e for _, e in done])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
-    return chunks.mapInPandas(run, f"{fields}, result string, error string")
+    return dealt.mapInPandas(run, f"{fields}, result string, error string")
 
 
 def reassemble(chunks: DataFrame, text: str = "chunk", span: int = CHUNK_SPAN) -> DataFrame:
@@ -95,7 +99,8 @@ def fallback_to_original(docs: DataFrame, results: DataFrame, span: int = CHUNK_
 
 
 def transform_documents(
-    docs: DataFrame, fn: Callable[[str], str] | None, limit: int = _chunks.CHUNK_LIMIT
+    docs: DataFrame, fn: Callable[[str], str] | None, limit: int = _chunks.CHUNK_LIMIT,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Chunk, transform and reassemble; without ``fn`` the documents pass through unchanged.
 
@@ -104,6 +109,6 @@ def transform_documents(
     """
     if fn is None:
         return docs.withColumn("transformed", F.lit(False))
-    results = map_chunks(chunk_documents(docs, limit), fn).drop("chunk")
+    results = map_chunks(chunk_documents(docs, limit), fn, tasks).drop("chunk")
     return fallback_to_original(docs, spool(results, "chunk-results"))
 

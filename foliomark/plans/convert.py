@@ -39,6 +39,7 @@ class ConvertOptions:
     cleanup: bool = False
     transform: Callable[[str], str] | None = None
     chunk_limit: int = CHUNK_LIMIT
+    transform_tasks: int | None = None
 
 
 def convert(docs: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
@@ -66,7 +67,7 @@ def convert(docs: DataFrame, options: ConvertOptions | None = None) -> DataFrame
         return staged
     # The path identifies a document from here on.
     keyed = staged.withColumn("doc_id", F.col("path"))
-    return transform_documents(keyed, o.transform, o.chunk_limit).drop("doc_id", "transformed")
+    return transform_documents(keyed, o.transform, o.chunk_limit, o.transform_tasks).drop("doc_id", "transformed")
 
 
 def convert_files(

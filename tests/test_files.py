@@ -161,6 +161,9 @@ def test_transform_hook(spark):
     assert done == {
         1: ("AA \n\n BB \n\n CC", True), 2: ("fail\n\nbb", False), 3: ("blank\n\nbb", False), 4: ("SHORT", True),
     }
+    spread = chunking.map_chunks(chunking.chunk_documents(docs, 4), shout, tasks=5)
+    assert spread.rdd.getNumPartitions() == 5
+    assert spread.count() == chunking.chunk_documents(docs, 4).count()
     same = chunking.transform_documents(docs, None).collect()
     assert [r.text for r in same] == [r.text for r in docs.collect()]
 

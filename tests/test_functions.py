@@ -19,7 +19,7 @@ POOL = [
     "pre **==> picture [1 x 2] intentionally omitted <==** post",
     "**----- Start of picture text -----**<br>", "**----- End of picture text -----**<br>",
     "Name  Qty  Note<br>", "x  1  y<br>", "z  2<br>", "a  b  c  d<br>", "word<br>", "<br>", "p  q<br> <br>r  s",
-    "𝒳 astral", "ß straße", "İX", "é" * 30,
+    "𝒳 astral", "ß straße", "İX", "é" * 30, "ΟΔΟΣ", "ΑΣ'Α ΣΑΣ", "ǄUNGLA",
 ]
 
 BLOCK = ["**----- Start of picture text -----**<br>", "Name  Qty  Note<br>", "x  1  y<br>", "w<br>",
