@@ -21,7 +21,7 @@ from foliomark.functions.text import (
 )
 
 # The replacement character and the line left behind by an omitted picture.
-REPLACEMENT = "�"
+REPLACEMENT = "\ufffd"
 PLACEHOLDER = r"(?U)\*\*==> picture \[\d+ x \d+\] intentionally omitted <==\*\*\n?"
 
 

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 # The code points Python's ``str.strip`` and ``\s`` treat as whitespace.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 # The same set as a Java character class body. Spelled out, because \s with the Unicode flag
 # is several times slower; single characters and one outer range settle most tests at once.
-_WIDE = r"[ -　&&[  -     　]]"
+_WIDE = r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 WS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0" + _WIDE
 # Without the newline, for patterns that must stay on one line.
 WS_INLINE = r"\t\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0" + _WIDE

@@ -55,7 +55,7 @@ def noisy_item(line: Column, i: Column, doc_id: Column, source: Column) -> Colum
         .when(h <= 5, F.concat(lit("| "), plain, lit(" | "), size, lit(" |")))
         .when(h <= 8, F.concat(line, lit("\n\n\n")))
         .when(h == 9, F.concat(lit(PLACEHOLDER_LINE + "\n"), line))
-        .when(h == 10, F.concat(lit("�"), line, lit("� \t")))
+        .when(h == 10, F.concat(lit("\ufffd"), line, lit("\ufffd \t")))
         .when(
             h == 11,
             F.concat(
