@@ -2,26 +2,58 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a local one only for local runs without any."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="foliomark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The shared folder the session names in ``spark.checkpoint.dir``.
+
+    Where it is unset, as in tests, the context's own checkpoint folder is used, and failing that
+    one below the session's warehouse, which driver and executors share as well.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+class Scratch:
+    """Owner of spooled tables: ``release`` deletes all of them that were not handed out."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.root = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.count = 0
+        self.paths: dict[int, str] = {}
+
+    def spool(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
+        """Write ``df`` once and read it back, so that its work is never repeated."""
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = path
+        return back
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete spooled tables that nothing will read any more."""
+        for frame in frames:
+            path = self.paths.pop(id(frame), None)
+            if path:
+                remove(self.spark, path)
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so that its work is never repeated."""
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system, wherever it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
