@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomark.llm import packing, token_counts
+from foliomark.llm import decontaminate, language_id, packing, substring, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id.op1_language_id,
+    "op5_substring_dedup": substring.op5_substring_dedup,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_packing": packing.op8_packing,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_substring_dedup": substring.op5_sql(),
+    "op6_url_filter": url_filter.op6_sql(),
+    "op10_decontamination": decontaminate.op10_sql(),
+}
