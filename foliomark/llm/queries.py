@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomark.llm import decontaminate, language_id, packing, substring, token_counts, url_filter
+from foliomark.llm import decontaminate, language_id, nn_descent, packing, substring, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
+    "op3_nn_descent": nn_descent.op3_nn_descent,
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_token_counts": token_counts.op7_token_counts,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_nn_descent": nn_descent.op3_sql(),
     "op5_substring_dedup": substring.op5_sql(),
     "op6_url_filter": url_filter.op6_sql(),
     "op10_decontamination": decontaminate.op10_sql(),

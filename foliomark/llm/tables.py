@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,34 @@ def components(scratch, links: DataFrame) -> DataFrame:  # noqa: ANN001 - a Scra
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return nodes.union(roots)
+
+
+def map_groups(df: DataFrame, key: str, step: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``step`` on tables that hold all rows of some values of the long column ``key``, sorted by it.
+
+    Groups have to be bounded by the caller; many small ones share one call.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            # rows of the batch's last key wait for the next batch
+            cut = int(np.searchsorted(keys, keys[-1], side="left"))
+            if cut or (held and held[-1].column(key)[-1].as_py() != keys[0]):
+                whole = pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held = []
+                if whole.num_rows:
+                    yield from step(whole.combine_chunks())
+            held.append(batch.slice(cut))
+        if held:
+            yield from step(pa.Table.from_batches(held).combine_chunks())
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def group_bounds(keys: np.ndarray) -> np.ndarray:
+    """Where each group of equal neighbouring keys begins, and the end."""
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
