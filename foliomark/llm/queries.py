@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomark.llm import decontaminate, language_id, nn_descent, packing, substring, token_counts, url_filter
+from foliomark.llm import decontaminate, jaccard_join, language_id, nn_descent, packing, substring, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_packing": packing.op8_packing,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
