@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomark.llm import decontaminate, jaccard_join, language_id, nn_descent, packing, pii, substring, token_counts, url_filter
+from foliomark.llm import decontaminate, jaccard_join, language_id, nn_descent, packing, pii, quality, substring, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_quality": quality.op2_quality,
     "op3_nn_descent": nn_descent.op3_nn_descent,
     "op4_pii": pii.op4_pii,
     "op5_substring_dedup": substring.op5_substring_dedup,
