@@ -160,11 +160,14 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def contained_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def contained_items(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, row_id: str | None = None
+) -> DataFrame:
     """Which words of each document lie in a window of an item, and which items have such windows.
 
-    ``docs(doc_id, text, ...)``, ``items(item_id, text, ...)`` -> (doc_id, n_words, n_hit, spans,
-    item_ids), one row per row of docs; other columns are left out. Null or empty text has no words
+    ``docs(doc_id, text, ...)``, ``items(item_id, text, ...)`` -> (row_id, doc_id, n_words, n_hit, spans,
+    item_ids), one row per row of docs; other columns are left out. ``row_id``: a long column of
+    ``docs`` that numbers its rows, made here if not given. Null or empty text has no words
     and gets zeros and empty arrays. Items without words match nothing; rows of one item_id count
     as one item, and rows without item_id mark words but count as none.
     """
@@ -176,7 +179,8 @@ def contained_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, shi
     shortest = windows.agg(F.min("size")).first()[0] or window
     own = scratch.spool(_own_shingles(windows.select("words", "size").distinct(), sizes, shingle))
     known = bit_table(own.select("shingle"), "shingle")
-    rows = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *([F.col(row_id).alias("row_id")] if row_id else []))
+    rows = rows if row_id else numbered(rows)
     read = scratch.spool(covered_runs(rows, known, sizes, shortest))
     runs = read.select("row_id", F.explode("runs").alias("run")).select("row_id", "run.at", "run.words")
     # equal runs once, with the number of their occurrences
@@ -223,6 +227,7 @@ def contained_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, shi
     kind = dict(items.dtypes)["item_id"]
     spans_type = "array<struct<first:long,last:long>>"
     return read.join(by_doc, "row_id", "left").select(
+        "row_id",
         "doc_id",
         "n_words",
         F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"]), F.lit(0)).alias("n_hit"),
