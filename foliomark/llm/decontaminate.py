@@ -195,6 +195,7 @@ def contained_items(
         .filter("rarest.n > 0")
         .select(F.col("words").alias("window"), "size", F.col("rarest.shingle").alias("shingle"), F.col("rarest.at").alias("window_at"))
     )
+    # conditions may be evaluated in any order, so each is valid for every row
     first = F.col("at") - F.col("window_at")
     matches = scratch.spool(
         inside.join(prefix, "shingle")
@@ -202,7 +203,7 @@ def contained_items(
         .filter("first >= 0")
         .withColumn("run", F.split("words", " "))
         .filter(F.col("first") + F.col("size") <= F.size("run"))
-        .filter(F.slice("run", (F.col("first") + 1).cast("int"), F.col("size")) == F.split("window", " "))
+        .filter(F.slice("run", F.greatest(F.col("first") + 1, F.lit(1)).cast("int"), F.col("size")) == F.split("window", " "))
         .select("words", "window", "first", (F.col("first") + F.col("size")).alias("last"))
         .distinct()
     )
