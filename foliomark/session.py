@@ -7,7 +7,7 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(app: str = "foliomark", cores: str | int = "*") -> SparkSession:
+def local_session(app: str = "foliomark", cores: str | int = "*", checkpoints: str | None = None) -> SparkSession:
     """A local session for tests and benchmarks. On a cluster use its own session."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -22,6 +22,8 @@ def local_session(app: str = "foliomark", cores: str | int = "*") -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

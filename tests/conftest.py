@@ -10,9 +10,7 @@ from foliomark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("tests", 8)
-    # Only tests set a folder of their own; a cluster names a shared one.
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+    # Only tests set a folder of their own, where none is given; a cluster names a shared one.
+    session = local_session("tests", 8, str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
