@@ -6,6 +6,8 @@ depend on its size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -15,33 +17,26 @@ BITS = 26
 PROBES = 4
 
 
-def _places(h: Column, bits: int) -> list[Column]:
-    step = (64 - bits) // (PROBES - 1)
-    return [F.shiftrightunsigned(h, k * step).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(PROBES)]
-
-
 def bit_table(hashes: DataFrame, column: str, bits: int = BITS) -> Broadcast:
     """The bits of all values of a long column, at most ``2**bits / 8`` bytes (8 MB) for any input."""
-    places = hashes.select(F.explode(F.array(*_places(F.col(column), bits))).alias("p"))
-    words = (
-        places.groupBy(F.shiftright("p", 6).cast("int").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b"))
-        .toArrow()
-    )
+    # the upper bits of a hash choose a word of 64 bits, the lowest ones four of its bits
+    h = F.col(column)
+    mask = reduce(lambda x, y: x.bitwiseOR(y), (_bit(F.shiftrightunsigned(h, 6 * k)) for k in range(PROBES)))
+    words = hashes.select(F.shiftrightunsigned(h, 64 - (bits - 6)).cast("int").alias("w"), mask.alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table = np.zeros(1 << (bits - 6), dtype=np.uint64)
     table[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return hashes.sparkSession.sparkContext.broadcast(table)
 
 
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def contains(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the uint64 hashes may be in the table."""
-    bits = len(table).bit_length() - 1 + 6
-    step, mask = (64 - bits) // (PROBES - 1), np.uint64((1 << bits) - 1)
-    found = np.ones(len(hashes), dtype=bool)
-    left = np.arange(len(hashes))
+    one, low = np.uint64(1), np.uint64(63)
+    mask = np.zeros(len(hashes), dtype=np.uint64)
     for k in range(PROBES):
-        p = (hashes[left] >> np.uint64(k * step)) & mask
-        ok = (table[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)
-        found[left[ok == 0]] = False
-        left = left[ok == 1]
-    return found
+        mask |= one << ((hashes >> np.uint64(6 * k)) & low)
+    return table[hashes >> np.uint64(64 - (len(table).bit_length() - 1))] & mask == mask

@@ -84,7 +84,7 @@ def test_big_blocks_are_cut_and_stay_whole(spark, texts, monkeypatch):
 
 def test_tree_bound_loses_nothing():
     rng = np.random.default_rng(1)
-    counts = rng.poisson(3, (500, jaccard_join.GROUPS)).astype(np.int64)
+    counts = rng.poisson(3, (500, jaccard_join.LEAST_GROUPS)).astype(np.int64)
     sizes = counts.sum(axis=1)
     tree = jaccard_join.RTree(counts, sizes)
     for i in range(0, 500, 50):
