@@ -10,7 +10,12 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from foliomark.operators import documents  # noqa: E402
+from foliomark.operators.spool import spool  # noqa: E402
 from foliomark.session import local_session  # noqa: E402
+from foliomark.workload import views  # noqa: E402
 from foliomark.workload.queries import QUERIES  # noqa: E402
 
 HEADLINE = (
@@ -33,9 +38,19 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - started
 
+    # The operator alone, on texts written beforehand.
+    noisy = spool(views.noisy_docs(spark, sf_dir), "bench")
+
+    def cleanup_alone() -> float:
+        started = time.perf_counter()
+        documents.cleanup(noisy).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - started
+
     # Best of several rounds: in the first one every query pays for compilation.
     rounds = [{name: run(name) for name in HEADLINE} for _ in range(REPEATS)]
     seconds = {name: round(min(r[name] for r in rounds), 3) for name in HEADLINE}
+    alone = round(min(cleanup_alone() for _ in range(REPEATS)), 3)
+    chars = noisy.agg(F.sum(F.char_length("text"))).first()[0]
     print(
         json.dumps(
             {
@@ -45,6 +60,7 @@ def main() -> None:
                 "queries": seconds,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
                 "documents": n_docs,
+                "cleanup_alone": {"seconds": alone, "chars": chars},
                 "docs_per_sec": {
                     name: round(n_docs / seconds[name]) for name in ("cleanup", "classify_lines", "chunk_documents")
                 },

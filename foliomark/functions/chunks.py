@@ -16,15 +16,16 @@ def paragraphs(text: Column) -> Column:
     return F.split(text, BREAK)
 
 
+# Paragraphs of one inner fold; its starts are appended to an array of at most this size.
+FOLD = 512
+
+
 def chunk_starts(sizes: Column, limit: int) -> Column:
     """Indexes of the paragraphs that open a chunk (greedy packing).
 
-    The fold state is the running size and the starts found so far, one integer per chunk;
-    texts are cut afterwards, so no text is copied inside the fold.
+    A fold copies its state at every step, so it goes in two levels: the inner one collects the
+    starts of ``FOLD`` paragraphs, the outer one those lists, and the work stays linear.
     """
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(0).cast("long").alias("size"), F.array(F.lit(0)).alias("starts")
-    )
 
     def step(s: Column, n: Column) -> Column:
         overflow = (s["at"] > 0) & (s["size"] + n > limit)
@@ -36,7 +37,23 @@ def chunk_starts(sizes: Column, limit: int) -> Column:
             .alias("starts"),
         )
 
-    return F.aggregate(sizes, start, step, lambda s: s["starts"])
+    def outer(s: Column, some: Column) -> Column:
+        begin = F.struct(s["at"].alias("at"), s["size"].alias("size"), F.array().cast("array<int>").alias("starts"))
+        return let(
+            F.aggregate(some, begin, step),
+            lambda inner: F.struct(
+                inner["at"].alias("at"),
+                inner["size"].alias("size"),
+                F.concat(s["lists"], F.array(inner["starts"])).alias("lists"),
+            ),
+        )
+
+    last = F.floor((F.size(sizes) - 1) / FOLD).cast("int")
+    folds = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(sizes, k * FOLD + 1, F.lit(FOLD)))
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).cast("long").alias("size"), F.array(F.array(F.lit(0))).alias("lists")
+    )
+    return F.aggregate(folds, start, outer, lambda s: F.flatten(s["lists"]))
 
 
 def chunk_pack(text: Column, limit: int) -> Column:

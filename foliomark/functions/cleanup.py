@@ -6,6 +6,9 @@ corpus is cleaned without a shuffle, whatever the distribution of keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,12 +51,27 @@ def final_newline(text: Column) -> Column:
 def cleanup(text: Column) -> Column:
     """All steps in order. Not idempotent, so apply it once.
 
-    The steps after the headers share one split into lines.
+    The steps after the headers share one split into lines. What a step looks for is searched in
+    the whole text first: that is a compiled scan, while the steps are interpreted line by line.
     """
 
     def tail(t: Column) -> Column:
+        def has(*marks: str) -> Column:
+            return reduce(lambda a, b: a | b, (F.contains(t, F.lit(m)) for m in marks))
+
+        def if_needed(needed: Column, step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+            return lambda lines: F.when(needed, step(lines)).otherwise(lines)
+
+        padded = has(" \n", "\t\n") | t.endswith(" ") | t.endswith("\t")
+        hashed = t.startswith("#") | has("\n#")
         return _chain(
-            lines_of(t), rstrip_each, collapse_blank, compress_in, repair_in, drop_last_blank
+            lines_of(t),
+            if_needed(padded, rstrip_each),
+            # lines of blanks become empty ones in the step before
+            if_needed(has("\n\n\n") | padded, collapse_blank),
+            if_needed(hashed, compress_in),
+            if_needed(has("|"), repair_in),
+            drop_last_blank,
         )
 
     cleaned = _chain(

@@ -40,8 +40,14 @@ def render_table(rows: Column) -> Column:
 
 
 def picture_blocks(text: Column) -> Column:
-    """Contents of the closed picture-text blocks of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1))
+    """Contents of the closed picture-text blocks of a text, in order.
+
+    Behind the last end marker nothing is closed, and searching there would start over at each
+    start marker.
+    """
+    tail = F.substring_index(text, BLOCK_END, -1)
+    head = F.left(text, F.length(text) - F.length(tail))
+    return F.regexp_extract_all(head, F.lit(BLOCK), F.lit(1))
 
 
 def picture_rows(block: Column) -> Column:

@@ -17,11 +17,6 @@ from foliomark.operators.unnest import unnest
 # Chunks joined by one first-level group: at the default limit about 5 MB of text.
 CHUNK_SPAN = 64
 
-DEFAULT_INSTRUCTION = (
-    "Repair the structure of this Markdown: header levels, tables, lists and lines broken "
-    "across pages. Keep all content and answer with the Markdown only."
-)
-
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     parts = _chunks.paragraphs(F.col("text"))
@@ -37,7 +32,7 @@ def chunk_documents(docs: DataFrame, limit: int = _chunks.CHUNK_LIMIT) -> DataFr
     return rows.select("doc_id", "chunk_no", "n_chunks", "chunk")
 
 
-def chunk_requests(chunks: DataFrame, instruction: str = DEFAULT_INSTRUCTION) -> DataFrame:
+def chunk_requests(chunks: DataFrame, instruction: str) -> DataFrame:
     """One request per chunk: the instruction and the 1-based position ``i/n``."""
     position = F.concat_ws("/", (F.col("chunk_no") + 1).cast("string"), F.col("n_chunks").cast("string"))
     return chunks.withColumn("position", position).withColumn("instruction", F.lit(instruction))
@@ -48,14 +43,18 @@ def map_chunks(
 ) -> DataFrame:
     """Apply an external transform to every chunk; a failure becomes a row, not a lost task.
 
-    Adds ``result`` and ``error``. The chunks of a long document are born in one task; with
-    ``tasks`` they are dealt out by chunk, so that slow calls for it run side by side.
+    Adds ``result`` and ``error``. The chunks of a long document are born in one task; they are
+    dealt out by chunk, to ``tasks`` tasks if given, so that slow calls for it run side by side.
+    An answer that is no text is a failure.
     """
-    dealt = chunks.repartition(tasks, "doc_id", "chunk_no") if tasks else chunks
+    dealt = chunks.repartition(*([tasks] if tasks else []), "doc_id", "chunk_no")
 
     def guarded(chunk: str) -> tuple[str | None, str | None]:
         try:
-            return fn(chunk), None
+            result = fn(chunk)
+            if not isinstance(result, str):
+                raise TypeError(f"the transform gave {type(result).__name__}, not str")
+            return result, None
         except Exception as failure:  # noqa: BLE001 - any failure of the hook is data
             return None, f"{type(failure).__name__}: {failure}"
 

@@ -76,10 +76,26 @@ def parse_headers(docs: DataFrame) -> DataFrame:
 
 
 def running_headers(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, n`` of the keys seen often enough in one document to be running headers."""
-    keys = unnest(docs, ["doc_id"], _headers.header_keys(F.col("text")), "key")
-    counted = keys.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") >= _headers.RUNNING_MIN)
+    """``doc_id, key, n`` of the keys seen often enough in one document to be running headers.
+
+    The count lies inside one row: equal keys are neighbours once sorted. No shuffle.
+    """
+
+    def runs(keys: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(keys) - 1)
+        first = F.filter(at, lambda i: (i == 0) | (F.get(keys, i) != F.get(keys, i - 1)))
+
+        def counted(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, F.lit(2), F.size(starts) - 1), F.array(F.size(keys)))
+            return F.zip_with(
+                starts, ends, lambda a, b: F.struct(F.get(keys, a).alias("key"), (b - a).cast("long").alias("n"))
+            )
+
+        often = F.filter(let(first, counted), lambda r: r["n"] >= _headers.RUNNING_MIN)
+        return F.when(F.size(keys) > 0, often)
+
+    found = let(F.array_sort(_headers.header_keys(F.col("text"))), runs)
+    return unnest(docs, ["doc_id"], found, "r").select("doc_id", "r.*")
 
 
 def header_levels(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from foliomark.functions.chunks import CHUNK_LIMIT
 from foliomark.functions.images import image_folder
 from foliomark.operators.chunking import transform_documents
 from foliomark.operators.documents import cleanup
+from foliomark.operators.spool import spool
 from foliomark.operators.pages import assemble_arrays, provenance_header, strip_headers_footers
 from foliomark.sources.files import (
     Extractor,
@@ -65,9 +66,12 @@ def convert(docs: DataFrame, options: ConvertOptions | None = None) -> DataFrame
     if o.transform is None:
         warnings.warn("cleanup asked for without a transform: texts stay as they are", stacklevel=2)
         return staged
-    # The path identifies a document from here on.
-    keyed = staged.withColumn("doc_id", F.col("path"))
-    return transform_documents(keyed, o.transform, o.chunk_limit, o.transform_tasks).drop("doc_id", "transformed")
+    # The path identifies a document from here on; a caller's doc_id and transformed pass through.
+    whole = spool(staged, "converted").withColumn("_row", F.struct(*staged.columns))
+    keyed = whole.select(F.col("path").alias("doc_id"), "text", "_row")
+    done = transform_documents(keyed, o.transform, o.chunk_limit, o.transform_tasks)
+    others = [c for c in staged.columns if c != "text"]
+    return done.select(*(F.col("_row")[c].alias(c) for c in others), "text").select(*staged.columns)
 
 
 def convert_files(

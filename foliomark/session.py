@@ -16,6 +16,9 @@ def local_session(app: str = "foliomark", cores: str | int = "*", checkpoints: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small inputs use all cores too; large ones have splits enough of their own.
+        .config("spark.sql.files.minPartitionNum", "8")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.driver.memory", os.environ.get("FOLIOMARK_DRIVER_MEMORY", "8g"))
         # Call sites are captured per expression; the text steps are thousands of them.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterable, Iterator
-from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliomark.sources.stores import Stores, hidden_paths, qualified
+
 # Fixed value: the two spellings a scan picks up; mixed case is not picked up.
 PATTERN = "*.{pdf,PDF}"
 
@@ -39,26 +39,49 @@ Extractor = Callable[[bytes], Iterable[dict]]
 
 
 def scan_flat(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
-    """Files directly in a folder, one row each; a missing folder is an analysis error."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    """Files directly in a folder, one row each; a missing folder is an analysis error.
+
+    Names that begin with ``_`` or ``.`` belong to it: see ``_with_hidden``.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return _with_hidden(spark, found, folder, pattern, recursive=False)
 
 
 def scan_tree(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
-    """Files at any depth, with ``rel_path`` below the folder."""
+    """Files at any depth, with ``rel_path`` below the folder, hidden names included."""
     found = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
-    return found.withColumn("rel_path", relative_path(F.col("path"), folder))
+    found = _with_hidden(spark, found, folder, pattern, recursive=True)
+    return found.withColumn("rel_path", relative_path(F.col("path"), qualified(spark, folder)))
+
+
+def _with_hidden(spark: SparkSession, found: DataFrame, folder: str, pattern: str, recursive: bool) -> DataFrame:
+    """The scan and the files Spark's listing hides; their contents are read by tasks, not here."""
+    paths = hidden_paths(spark, folder, pattern, recursive)
+    if not paths:
+        return found
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stores = Stores()
+        for batch in batches:
+            for path in batch["path"]:
+                content = stores.read(path)
+                yield pd.DataFrame({"path": [path], "length": [len(content)], "content": [content]})
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition("path")
+    read = listed.mapInPandas(run, "path string, length long, content binary")
+    return found.unionByName(read, allowMissingColumns=True)
 
 
 def relative_path(path: Column, root: str) -> Column:
-    """``path`` below ``root``; the scheme the scan puts before a path does not matter."""
-    bare = os.path.normpath(urlparse(root).path).strip("/")
-    marker = f"/{bare}/" if bare not in ("", ".") else "/"
-    return F.substr(path, F.locate(marker, path) + len(marker))
+    """``path`` below the qualified folder ``root``; any other path is an error of its row's query."""
+    start = root.rstrip("/") + "/"
+    outside = F.raise_error(F.concat(F.lit(f"not below {start}: "), path)).cast("string")
+    return F.when(F.startswith(path, F.lit(start)), F.substr(path, F.lit(len(start) + 1))).otherwise(outside)
 
 
 def file_name(path: Column) -> Column:
@@ -117,32 +140,44 @@ def extract(files: DataFrame, extractor: Extractor) -> DataFrame:
 
     One row per file with its pages as an array: pages are born together, so keeping them
     together saves the shuffle that would collect them again. A parser failure becomes the
-    row's ``error``.
+    row's ``error``, and so is content that is null or an answer of the wrong kind. Cells may be
+    anything: ``str(cell or "")``. Who reads the result twice writes it first (``spool``).
     """
     kept = [f for f in files.schema.fields if f.name != "content"]
     schema = T.StructType([
         *kept, T.StructField("pages", PAGES), T.StructField("error", T.StringType()),
     ])
 
-    def page(no: int, raw: dict) -> dict:
-        images = [{"img_no": i, "content": c} for i, c in enumerate(raw.get("images") or [], 1)]
-        return {
-            "page_no": no, "text": raw.get("text") or "", "tables": raw.get("tables") or [],
-            "images": images,
-        }
+    def cell(value: object) -> str:
+        return str(value or "")
+
+    def image(content: object) -> bytes | None:
+        if content is None or isinstance(content, (bytes, bytearray, memoryview)):
+            return None if content is None else bytes(content)
+        raise TypeError(f"an image is {type(content).__name__}, not bytes")
 
-    def parse(content: bytes) -> tuple[list[dict] | None, str | None]:
+    def page(no: int, raw: dict) -> dict:
+        text = raw.get("text") or ""
+        if not isinstance(text, str):
+            raise TypeError(f"the text of page {no} is {type(text).__name__}, not str")
+        images = [{"img_no": i, "content": image(c)} for i, c in enumerate(raw.get("images") or [], 1)]
+        tables = [[[cell(c) for c in row] for row in table] for table in raw.get("tables") or []]
+        return {"page_no": no, "text": text, "tables": tables, "images": images}
+
+    def parse(content: bytes | None) -> tuple[list[dict] | None, str | None]:
         try:
-            return [page(no, raw) for no, raw in enumerate(extractor(content), 1)], None
+            if content is None:
+                raise ValueError("no content")
+            return [page(no, raw) for no, raw in enumerate(extractor(bytes(content)), 1)], None
         except Exception as failure:  # noqa: BLE001 - any parser failure is data
             return None, f"{type(failure).__name__}: {failure}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             # Output frames follow the input bytes, so a worker holds few large documents.
-            sizes = batch["content"].map(len).cumsum()
+            sizes = batch["content"].map(lambda c: 0 if c is None else len(c)).cumsum()
             for _, part in batch.groupby(sizes // OUTPUT_BYTES, sort=True):
-                parsed = [parse(bytes(content)) for content in part["content"]]
+                parsed = [parse(content) for content in part["content"]]
                 yield part.drop(columns="content").assign(
                     pages=pd.Series([p for p, _ in parsed], index=part.index, dtype=object),
                     error=pd.Series([e for _, e in parsed], index=part.index, dtype=object),

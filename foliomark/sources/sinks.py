@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliomark.operators.spool import spool
+from foliomark.functions.images import image_folder, image_name
+from foliomark.operators.spool import Scratch, spool
+from foliomark.sources.files import parent
+from foliomark.sources.stores import Stores
 
 # Ways a group of documents with one output path is split, so that no task gets all of it.
 SPLITS = 64
@@ -18,13 +20,15 @@ SPLITS = 64
 MANIFEST = "out_path string, path string, status string, error string"
 
 
-def path_collisions(docs: DataFrame) -> DataFrame:
-    """``out_path, n, kept`` of the output paths claimed more than once.
+def precedence(path: Column) -> Column:
+    """Order in which inputs claim a path: ``.PDF`` after ``.pdf``, then by name; the last one stays."""
+    return F.struct(F.endswith(path, F.lit(".PDF")).alias("upper"), path.alias("path"))
 
-    ``kept`` is the greatest input path, the one that survives an export.
-    """
+
+def path_collisions(docs: DataFrame) -> DataFrame:
+    """``out_path, n, kept`` of the output paths claimed more than once; ``kept`` survives an export."""
     claims = docs.groupBy("out_path").agg(
-        F.count(F.lit(1)).alias("n"), F.max("path").alias("kept")
+        F.count(F.lit(1)).alias("n"), F.max(precedence(F.col("path")))["path"].alias("kept")
     )
     return claims.where(F.col("n") > 1)
 
@@ -33,27 +37,25 @@ def mark_superseded(docs: DataFrame) -> DataFrame:
     """Add ``superseded``: another document with the same output path is kept instead.
 
     Failed documents (``error``) neither win nor lose a path. The claims on a path are reduced
-    per hash split first and then over at most ``SPLITS`` rows; the verdict is joined back per
-    split. Only colliding paths reach that join. Reads ``docs`` twice.
+    per hash split first and then over at most ``SPLITS`` rows. What is joined back are the losers'
+    paths alone, so the texts stay where they are unless the losers are too many to broadcast.
+    Reads ``docs`` twice.
     """
     alive = F.col("error").isNull() if "error" in docs.columns else F.lit(True)
     split = F.pmod(F.xxhash64("path"), F.lit(SPLITS)).alias("_split")
-    claims = (
-        docs.where(alive)
-        .select("out_path", "path", split)
-        .groupBy("out_path", "_split")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("top"))
-    )
+    keys = docs.where(alive).select("out_path", "path", split)
+    claims = keys.groupBy("out_path", "_split").agg(F.count(F.lit(1)).alias("n"), F.max(precedence(F.col("path"))).alias("top"))
     over = W.partitionBy("out_path")
     contested = (
         claims.withColumn("total", F.sum("n").over(over))
-        .withColumn("_kept", F.max("top").over(over))
+        .withColumn("_kept", F.max("top").over(over)["path"])
         .where(F.col("total") > 1)
         .select("out_path", "_split", "_kept")
     )
-    joined = docs.withColumn("_split", split).join(contested, ["out_path", "_split"], "left")
-    lost = alive & F.coalesce(F.col("path") != F.col("_kept"), F.lit(False))
-    return joined.withColumn("superseded", lost).drop("_split", "_kept")
+    lost = keys.join(contested, ["out_path", "_split"]).where(F.col("path") != F.col("_kept"))
+    losers = lost.select("out_path", "path").distinct().withColumn("_lost", F.lit(True))
+    marked = docs.join(losers, ["out_path", "path"], "left")
+    return marked.select(*docs.columns, (alive & F.col("_lost").isNotNull()).alias("superseded"))
 
 
 def write_corpus(docs: DataFrame, folder: str) -> None:
@@ -67,31 +69,39 @@ def export_markdown(docs: DataFrame, manifest_folder: str) -> DataFrame:
     Takes ``docs(path, out_path, text)`` with an optional ``error``: failed documents are
     listed, not written. Works on every file system pyarrow can open. A file appears under its
     name only when complete, so a repeated task leaves no torn file; two documents never write
-    to the same path. The converted texts are written as a table first, so that the parser
-    behind them runs once.
+    to the same path. The texts are written as a table first, so that the parser behind them
+    runs once; that table is removed in the end. Give it a stored corpus to spare the copy's work.
     """
     error = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
-    stored = spool(docs.select("path", "out_path", "text", error.alias("error")), "export")
-    rows = mark_superseded(stored)
-
-    def write(out_path: str, text: str) -> str | None:
-        from pyarrow import fs
-
-        # File scans name local files with one slash after the scheme, URIs have three.
-        one_slash = out_path.startswith("file:/") and not out_path.startswith("file://")
-        uri = "file://" + out_path[len("file:") :] if one_slash else out_path
-        try:
-            store, target = fs.FileSystem.from_uri(uri)
-            store.create_dir(target.rpartition("/")[0], recursive=True)
-            partial = f"{target}.{uuid.uuid4().hex}.tmp"
-            with store.open_output_stream(partial) as out:
-                out.write(text.encode("utf-8"))
-            store.move(partial, target)
-        except Exception as failure:  # noqa: BLE001 - a failed write is a manifest row
-            return f"{type(failure).__name__}: {failure}"
-        return None
+    texts = docs.select("path", "out_path", F.col("text").cast("binary").alias("content"), error.alias("error"))
+    return _export(texts, manifest_folder)
+
+
+def export_images(docs: DataFrame, manifest_folder: str, image_dir: str = "images") -> DataFrame:
+    """Write the images of ``docs(path, out_path, stem, pages)`` beside their Markdown; returns the manifest.
+
+    An image lies where the text's link leads: ``image_dir/<stem>/page_p_img_i.png`` below the
+    folder of ``out_path``. An image without content is a failed row and keeps its number.
+    """
+    folder = F.concat(parent(F.col("out_path")), image_folder(image_dir, F.col("stem")), F.lit("/"))
+    pages = docs.where(F.col("pages").isNotNull()).select("path", folder.alias("folder"), F.explode("pages").alias("p"))
+    images = pages.select("path", "folder", F.col("p.page_no").alias("page_no"), F.explode("p.images").alias("i"))
+    rows = images.select(
+        F.concat("path", F.lit("#"), F.col("page_no").cast("string"), F.lit("."), F.col("i.img_no").cast("string")).alias("path"),
+        F.concat("folder", image_name(F.col("page_no"), F.col("i.img_no"))).alias("out_path"),
+        F.col("i.content").alias("content"),
+        F.when(F.col("i.content").isNull(), F.lit("no content")).alias("error"),
+    )
+    return _export(rows, manifest_folder)
+
+
+def _export(rows: DataFrame, manifest_folder: str) -> DataFrame:
+    """Files of ``rows(path, out_path, content, error)`` and their manifest."""
+    scratch = Scratch(rows.sparkSession, "export")
+    stored = scratch.spool(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stores = Stores()
         for batch in batches:
             done = []
             for r in batch.itertuples(index=False):
@@ -100,12 +110,16 @@ def export_markdown(docs: DataFrame, manifest_folder: str) -> DataFrame:
                 elif r.superseded:
                     done.append((r.out_path, r.path, "superseded", None))
                 else:
-                    failure = write(r.out_path, r.text)
-                    done.append((r.out_path, r.path, "failed" if failure else "written", failure))
+                    try:
+                        stores.write(r.out_path, bytes(r.content))
+                        done.append((r.out_path, r.path, "written", None))
+                    except Exception as failure:  # noqa: BLE001 - a failed write is a manifest row
+                        done.append((r.out_path, r.path, "failed", f"{type(failure).__name__}: {failure}"))
             yield pd.DataFrame(done, columns=["out_path", "path", "status", "error"])
 
-    rows.mapInPandas(run, MANIFEST).write.mode("overwrite").parquet(manifest_folder)
-    return docs.sparkSession.read.parquet(manifest_folder)
+    mark_superseded(stored).mapInPandas(run, MANIFEST).write.mode("overwrite").parquet(manifest_folder)
+    scratch.drop(stored)
+    return rows.sparkSession.read.parquet(manifest_folder)
 
 
 def manifest(docs: DataFrame) -> DataFrame:

@@ -8,13 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+# Spark forgets files older than this, counted from the newest; copies may keep old dates.
+ANY_AGE = "36500d"
+
 
 def new_files(
     spark: SparkSession, folder: str, schema: StructType, source: str = "binaryFile",
-    pattern: str | None = None,
+    pattern: str | None = None, recursive: bool = False,
 ) -> DataFrame:
-    """A stream of the files that appear in a folder."""
-    reader = spark.readStream.format(source).schema(schema)
+    """A stream of the files that appear in a folder, however old their dates are.
+
+    A file is known by its path: one rewritten under its old path is not read again, so new
+    contents get new names. ``recursive`` takes subfolders too; mirror them with
+    ``relative_path(path, qualified(spark, folder))``. Names that begin with ``_`` or ``.`` are
+    hidden from streams; ``scan_flat`` and ``scan_tree`` read them.
+    """
+    reader = spark.readStream.format(source).schema(schema).option("maxFileAge", ANY_AGE)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(folder)

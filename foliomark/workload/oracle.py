@@ -6,6 +6,7 @@ so that the two agree only when both are right.
 
 from __future__ import annotations
 
+# Fixed values up to LIMIT: markers and classes the behaviour is defined by.
 # Python's whitespace as an RE2 class body (RE2's own \s is ASCII).
 WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS_INLINE = r"\t\r\f \x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -49,6 +50,9 @@ def no_placeholders(x: str) -> str:
     return rf"regexp_replace({x}, '\*\*==> picture \[\d+ x \d+\] intentionally omitted <==\*\*\n?', '', 'g')"
 
 
+FILE_NAME = "CASE WHEN doc_id % 7 = 0 THEN '_' WHEN doc_id % 11 = 0 THEN '.' ELSE '' END || 'd' || doc_id || '.md'"
+
+
 def kind(t: str) -> str:
     return rf"""CASE WHEN {t} = '' THEN 'blank'
       WHEN length({t}) < 60 AND regexp_matches({t}, '\p{{Lu}}') AND NOT regexp_matches({t}, '[\p{{Ll}}\p{{Lt}}]') THEN 'heading'
@@ -393,8 +397,11 @@ ORACLE: dict[str, str] = {
         regexp_replace(regexp_extract(url, '[^/]*$'), '([^.])\.[^.]+$', '\1') AS stem,
         '/out/' || regexp_replace(regexp_extract(url, '[^/]*$'), '([^.])\.[^.]+$', '\1') || '.md' AS out_path FROM pages""",
     "corpus_listing": sql("SELECT '/in/' || folder AS folder, count(*) AS n_files FROM named GROUP BY folder"),
-    "path_collisions": sql("""SELECT '/out/' || stem || '.md' AS out_path, count(*) AS n, max(path) AS kept FROM named
-        GROUP BY stem HAVING count(*) > 1"""),
+    "scan_flat": f"SELECT {FILE_NAME} AS name, text FROM documents",
+    "scan_tree": f"""SELECT CASE WHEN source = 'src1' THEN '_src1/in' ELSE source END || '/' || {FILE_NAME} AS rel_path, text FROM documents""",
+    "write_markdown": f"""SELECT doc_id, {FILE_NAME} AS name, 'written' AS status, CAST(NULL AS VARCHAR) AS error FROM documents""",
+    "path_collisions": sql("""SELECT '/out/' || stem || '.md' AS out_path, count(*) AS n,
+        max(struct_pack(upper := ends_with(path, '.PDF'), path := path)).path AS kept FROM named GROUP BY stem HAVING count(*) > 1"""),
     "superseded_outputs": sql("""SELECT doc_id, '/out/' || stem || '.md' AS out_path,
         row_number() OVER (PARTITION BY stem ORDER BY path || '#' || lpad(doc_id::VARCHAR, 9, '0') DESC) > 1 AS superseded FROM named"""),
     "extract_pages": sql("SELECT doc_id, page_no, text FROM paged JOIN page_counts USING (doc_id) WHERE n > 1"),

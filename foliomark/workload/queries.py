@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomark.functions import chunks as _chunks
@@ -19,7 +19,7 @@ from foliomark.functions import tables as _tables
 from foliomark.functions.lines import is_bullet, is_caps_heading, is_numbered
 from foliomark.functions.text import collapse_newlines, lines_of, strip
 from foliomark.operators import chunking, documents, pages
-from foliomark.operators.spool import checkpoint_folder
+from foliomark.operators.spool import checkpoint_folder, remove
 from foliomark.operators.unnest import unnest
 from foliomark.plans.convert import ConvertOptions, convert
 from foliomark.sources import files, sinks
@@ -484,6 +484,48 @@ def manifest_counts(spark, sf_dir):
     return sinks.manifest_counts(manifest(spark, sf_dir))
 
 
+# Files out and back ------------------------------------------------------------------------------
+
+
+def _file_name() -> Column:
+    """Some names are hidden to Spark's own listing; none of them may be lost."""
+    mark = F.when(F.col("doc_id") % 7 == 0, "_").when(F.col("doc_id") % 11 == 0, ".").otherwise("")
+    return F.concat(mark, F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md"))
+
+
+def _exported(spark: SparkSession, sf_dir: str, folder: Column | None = None) -> tuple[str, DataFrame]:
+    base = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    place = F.concat(F.lit(f"{base}/out/"), *([folder, F.lit("/")] if folder is not None else []), _file_name())
+    rows = docs.select(F.col("doc_id").cast("string").alias("path"), place.alias("out_path"), "text")
+    return base, sinks.export_markdown(rows, f"{base}/manifest")
+
+
+@query
+def scan_flat(spark, sf_dir):
+    """All documents written as files of one folder and scanned back."""
+    base, _ = _exported(spark, sf_dir)
+    found = files.scan_flat(spark, f"{base}/out", "*.md")
+    return found.select(files.file_name(F.col("path")).alias("name"), F.col("content").cast("string").alias("text"))
+
+
+@query
+def scan_tree(spark, sf_dir):
+    """The same in folders by source, one of them hidden."""
+    folder = F.when(F.col("source") == "src1", "_src1/in").otherwise(F.col("source"))
+    base, _ = _exported(spark, sf_dir, folder)
+    found = files.scan_tree(spark, f"{base}/out", "*.md")
+    return found.select("rel_path", F.col("content").cast("string").alias("text"))
+
+
+@query
+def write_markdown(spark, sf_dir):
+    """The manifest of that export."""
+    base, listing = _exported(spark, sf_dir)
+    name = files.file_name(F.col("out_path"))
+    return listing.select(F.col("path").cast("long").alias("doc_id"), name.alias("name"), "status", "error")
+
+
 # Whole conversions -----------------------------------------------------------------------------
 
 
@@ -521,6 +563,6 @@ def incremental_cleanup(spark, sf_dir):
         return documents.cleanup(noisy).select("doc_id", "text")
 
     base = f"{checkpoint_folder(spark)}/incremental-{uuid.uuid4().hex}"
-    cores = spark.sparkContext.defaultParallelism
-    convert_new(stream, step, f"{base}/out", f"{base}/state", cores).awaitTermination()
+    convert_new(stream, step, f"{base}/out", f"{base}/state").awaitTermination()
+    remove(spark, f"{base}/state")
     return spark.read.parquet(f"{base}/out")

@@ -22,15 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than cores; large inputs stay as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     wanted = columns or ("doc_id", "source", "text")
-    return spread(table(spark, sf_dir, "documents").select(*wanted))
+    return table(spark, sf_dir, "documents").select(*wanted)
 
 
 def _first(line: Column, n: int) -> Column:

@@ -68,10 +68,17 @@ def compare(texts, column, expected):
         (text.collapse_newlines, spec.squeeze),
         (cleanup.final_newline, lambda t: t.rstrip("\n") + "\n"),
         (cleanup.cleanup, spec.cleanup),
-        (lambda t: chunks.chunk_pack(t, 60), lambda t: spec.pack(t, 60)),
-        (lambda t: chunks.chunks(t, 120), lambda t: spec.chunks(t, 120)),
     ],
     ids=lambda f: getattr(f, "__name__", "f"),
 )
 def test_matches_statement(texts, column, expected):
     compare(texts, column, expected)
+
+
+@pytest.mark.parametrize("limit", [12, 60, 120])
+def test_chunks_are_packed(texts, limit):
+    data, df = texts
+    found = df.select("i", chunks.chunk_pack(F.col("text"), limit).alias("packed"), chunks.chunks(F.col("text"), limit).alias("c"))
+    for r in found.collect():
+        assert spec.well_packed(data[r.i], r.packed, limit), data[r.i]
+        assert list(r.c) == ([data[r.i]] if len(data[r.i]) <= limit else list(r.packed))

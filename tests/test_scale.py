@@ -1,14 +1,17 @@
 """Plan shapes, and results on data where one key holds a third of all rows."""
 
+import time
+
 import pytest
 import spec
 from pyspark.sql import functions as F
 
+from foliomark.functions import chunks, tables
 from foliomark.operators import chunking, documents, pages
 from foliomark.operators.ordered import concat_parts, ordered_concat
 from foliomark.plans.convert import ConvertOptions, convert
 from foliomark.sources import files, sinks
-from foliomark.workload import views
+from foliomark.workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +40,7 @@ def test_text_operators_do_not_shuffle(docs):
         documents.cleanup(docs), documents.format_documents(docs),
         documents.classify_lines(documents.doc_lines(docs)), documents.table_islands(docs),
         documents.header_levels(docs), documents.fitted_rows(documents.picture_blocks(docs)),
-        chunking.chunk_requests(chunking.chunk_documents(docs, 4000)),
+        chunking.chunk_requests(chunking.chunk_documents(docs, 4000), "Tidy."),
         convert(identified, ConvertOptions(tables=False, strip_headers_footers=True)),
     ):
         assert exchanges(df) == 0
@@ -49,9 +52,8 @@ def test_scan_reads_only_needed_columns(docs):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in shown
 
 
-def test_counts_combine_before_the_shuffle(docs):
-    shown = plan(documents.running_headers(docs))
-    assert shown.count("HashAggregate") == 2 and exchanges(documents.running_headers(docs)) == 1
+def test_running_headers_are_counted_in_the_row(docs):
+    assert exchanges(documents.running_headers(docs)) == 0
 
 
 def test_python_runs_only_in_hooks(docs):
@@ -143,10 +145,35 @@ def test_corpus_table_round_trip(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "corpus")).count() == docs.count()
 
 
-def test_spread_keeps_large_inputs(spark):
-    wide = spark.range(0, 1000, 1, 64)
-    assert views.spread(wide).rdd.getNumPartitions() == 64
-    assert views.spread(wide.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+@pytest.mark.parametrize("name", ["cleanup", "running_headers", "format_text", "chunk_documents", "classify_lines"])
+def test_registered_document_queries_do_not_shuffle(spark, name):
+    assert exchanges(QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
+
+
+def seconds(df):
+    started = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - started
+
+
+def test_packing_chunks_is_linear(spark):
+    def run(n):
+        text = F.concat_ws("\n\n", F.array_repeat(F.lit("abcdefghij"), n))
+        return seconds(spark.range(1).select(F.size(chunks.chunk_pack(text, 12)).alias("n")))
+
+    run(1000)
+    small, large = run(50_000), run(200_000)
+    assert large < 4 * 2 * small + 2
+
+
+def test_unclosed_picture_starts_are_linear(spark):
+    def run(n):
+        text = F.concat(F.lit(tables.BLOCK_END), F.repeat(F.lit(tables.BLOCK_START + "x "), F.lit(n)))
+        return seconds(spark.range(1).select(F.size(tables.picture_blocks(text)).alias("n")))
+
+    run(100)
+    small, large = run(4000), run(16_000)
+    assert large < 4 * 2 * small + 2
 
 
 def test_identity_on_windows_of_names(spark):
