@@ -25,5 +25,6 @@ ORACLE: dict[str, str] = {
     "op3_nn_descent": nn_descent.op3_sql(),
     "op5_substring_dedup": substring.op5_sql(),
     "op6_url_filter": url_filter.op6_sql(),
+    "op9_jaccard_join": jaccard_join.op9_sql(),
     "op10_decontamination": decontaminate.op10_sql(),
 }
