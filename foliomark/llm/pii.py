@@ -2,9 +2,10 @@
 
 The base patterns give emails, addresses, cards and phones with their places. They seed a bootstrap:
 
-1. A token with a digit and at least ``SHORTEST`` characters is an instance. The two or three units
-   of text before it are its lexical patterns. Instances that overlap base entities are seeds, and so
-   are those right after an explicit naming word (``NAMED``, as in ``token = "..."``).
+1. Each base entity is an instance and a seed, whatever its shape. A token with a digit and at least
+   ``SHORTEST`` characters that no base entity overlaps is an instance too, and a seed right after an
+   explicit naming word (``NAMED``, as in ``token = "..."``). The two or three units of text before
+   an instance, whatever they hold, are its lexical patterns.
 2. Patterns and instances are a graph, with one edge for each pair however often it occurs. A pattern's
    score is the mean score of its instances, shrunk by ``PRIOR`` instances of score 0; an instance's
    score is that of its best pattern, 1 for seeds. ``ROUNDS`` rounds of joins and sums spread them.
@@ -46,13 +47,15 @@ CONFIDENT = 0.7
 RUN = 256
 
 SPAN = "struct<rank:int,start:long,end:long>"
+FOUND_TYPE = "array<struct<start:long,end:long,match:string,before:string>>"
 
 
 def placed(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match, before>> of all matches; ``before`` is the text since the last one.
+    """array<struct<start, end, match, before>> of all matches; ``before`` is the end of the text up to one.
 
     Places come from the lengths of the matches and of what lies between them, summed in runs of
-    ``RUN`` matches, so that many matches in one text cost no more than their number.
+    ``RUN`` matches, so that many matches in one text cost no more than their number. The last
+    ``CONTEXT`` characters go along with the sum.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # for each match the text before it and itself
@@ -66,28 +69,30 @@ def placed(text: Column, pattern: str) -> Column:
 
     def places(some: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(some) - 1) / RUN).cast("int")), lambda k: F.slice(some, k * RUN + 1, F.lit(RUN)))
-        empty = F.array().cast("array<struct<start:long,end:long,match:string,before:string>>")
+        empty = F.array().cast(FOUND_TYPE)
 
         def in_run(state: Column, run: Column) -> Column:
             def add(inner: Column, p: Column) -> Column:
                 end = inner["at"] + size(p)
+                before = F.right(F.concat(inner["tail"], p["before"]), F.lit(CONTEXT))
                 one = F.struct(
                     (inner["at"] + F.char_length(p["before"])).alias("start"),
                     end.alias("end"),
                     p["match"].alias("match"),
-                    F.right(p["before"], F.lit(CONTEXT)).alias("before"),
+                    before.alias("before"),
                 )
-                return F.struct(end.alias("at"), F.concat(inner["out"], F.array(one)).alias("out"))
+                tail = F.right(F.concat(inner["tail"], p["before"], p["match"]), F.lit(CONTEXT))
+                return F.struct(end.alias("at"), tail.alias("tail"), F.concat(inner["out"], F.array(one)).alias("out"))
 
-            begin = F.struct(state["at"].alias("at"), empty.alias("out"))
+            begin = F.struct(state["at"].alias("at"), state["tail"].alias("tail"), empty.alias("out"))
             done = F.aggregate(run, begin, add)
-            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+            return let(done, lambda d: F.struct(d["at"].alias("at"), d["tail"].alias("tail"), F.concat(state["out"], F.array(d["out"])).alias("out")))
 
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<struct<start:long,end:long,match:string,before:string>>>").alias("out"))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{FOUND_TYPE}>").alias("out"))
         return F.flatten(F.aggregate(runs, start, in_run)["out"])
 
     return let(pairs, lambda some: F.when(F.size(some) > 0, places(some)).otherwise(
-        F.array().cast("array<struct<start:long,end:long,match:string,before:string>>")
+        F.array().cast(FOUND_TYPE)
     ))
 
 
@@ -106,17 +111,24 @@ def _passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<rank, start, end>> of the base entities, by start, then kind."""
-    none = F.array().cast(f"array<{SPAN}>")
+def base_entities(text: Column) -> Column:
+    """array<struct<rank, start, end, match, before>> of the base entities, by kind."""
+    none = F.array().cast("array<struct<rank:int,start:long,end:long,match:string,before:string>>")
 
     def of(rank: int, kind: str) -> Column:
         found = F.filter(placed(text, BASE[kind]), lambda m: _passes(kind, m["match"]))
-        spans = F.transform(found, lambda m: F.struct(F.lit(rank).alias("rank"), m["start"].alias("start"), m["end"].alias("end")))
-        return F.when(text.rlike(NEEDS[kind]), spans).otherwise(none)
+        ranked = F.transform(
+            found,
+            lambda m: F.struct(F.lit(rank).alias("rank"), *(m[name].alias(name) for name in ("start", "end", "match", "before"))),
+        )
+        return F.when(text.rlike(NEEDS[kind]), ranked).otherwise(none)
 
-    every = F.concat(*(of(rank, kind) for rank, kind in enumerate(BASE)))
-    return in_order(every)
+    return F.concat(*(of(rank, kind) for rank, kind in enumerate(BASE)))
+
+
+def base_spans(text: Column) -> Column:
+    """array<struct<rank, start, end>> of the base entities, by start, then kind."""
+    return in_order(base_entities(text))
 
 
 def in_order(spans: Column) -> Column:
@@ -132,27 +144,35 @@ def written(spans: Column) -> Column:
     return F.concat_ws(",", one)
 
 
-def instances(text: Column, base: Column) -> Column:
-    """Tokens with a digit, with their two patterns and whether they are seeds or known to the base."""
-    kind = "array<struct<start:long,end:long,token:string,patterns:array<string>,known:boolean,named:boolean>>"
+def patterns_before(before: Column) -> Column:
+    """The two or three units that end a text, where there are so many."""
 
-    def units(before: Column, n: int) -> Column:
+    def units(n: int) -> Column:
         return F.trim(F.regexp_extract(F.lower(before), rf"(\S+(?:\s+\S+){{{n - 1}}}\s*)$", 1))
 
-    def one(m: Column) -> Column:
-        patterns = F.filter(F.array(units(m["before"], 3), units(m["before"], 2)), lambda p: p != "")
-        known = F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    return F.array_distinct(F.filter(F.array(units(3), units(2)), lambda p: p != ""))
+
+
+def instances(text: Column, entities: Column) -> Column:
+    """Base entities and tokens with a digit apart from them: their patterns, whether they are seeds, and known to the base."""
+    kind = "array<struct<start:long,end:long,token:string,patterns:array<string>,known:boolean,seed:boolean>>"
+
+    def one(m: Column, known: bool) -> Column:
         return F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
             m["match"].alias("token"),
-            F.array_distinct(patterns).alias("patterns"),
-            known.alias("known"),
-            m["before"].rlike(NAMED).alias("named"),
+            patterns_before(m["before"]).alias("patterns"),
+            F.lit(known).alias("known"),
+            (F.lit(True) if known else m["before"].rlike(NAMED)).alias("seed"),
         )
 
-    found = F.transform(F.filter(placed(text, TOKEN), lambda m: m["end"] - m["start"] >= SHORTEST), one)
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast(kind))
+    def apart(m: Column) -> Column:
+        return ~F.exists(entities, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+
+    tokens = F.filter(placed(text, TOKEN), lambda m: (m["end"] - m["start"] >= SHORTEST) & apart(m))
+    found = F.when(text.rlike("[0-9]"), F.transform(tokens, lambda m: one(m, False))).otherwise(F.array().cast(kind))
+    return F.concat(F.transform(entities, lambda m: one(m, True)), found)
 
 
 def scored_patterns(scratch: Scratch, found: DataFrame) -> DataFrame:
@@ -184,10 +204,11 @@ def personal_data(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), *([F.col(row_id).alias("row_id")] if row_id else []))
-    rows = (rows if row_id else numbered(rows)).withColumn("base", base_spans(F.col("text")))
-    read = scratch.spool(rows.select("row_id", "doc_id", "base", instances(F.col("text"), F.col("base")).alias("found")))
+    rows = (rows if row_id else numbered(rows)).withColumn("entities", base_entities(F.col("text")))
+    found = instances(F.col("text"), F.col("entities"))
+    read = scratch.spool(rows.select("row_id", "doc_id", in_order(F.col("entities")).alias("base"), found.alias("found")))
     found = read.select("row_id", F.explode("found").alias("f")).select("row_id", "f.*")
-    patterns = scored_patterns(scratch, found.select("token", "patterns", (F.col("known") | F.col("named")).alias("seed")))
+    patterns = scored_patterns(scratch, found.select("token", "patterns", "seed"))
     sure = patterns.filter((F.col("score") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern")
     new = (
         found.filter("not known")

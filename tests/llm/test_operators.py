@@ -137,6 +137,24 @@ def test_contexts_find_unseen_identifiers(spark):
     assert found[50] == ""
 
 
+def test_base_entities_seed_contexts(spark):
+    # ids without any naming word, one for each kind of base entity whose contexts they share
+    contexts = {"reached from": "{}.1.2.3", "please call": "+1 (377) 555-38{}", "mail for": "ab{}@c.org", "paid with": "{}"}
+    numbers = {"paid with": ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004"]}
+    rows, unseen = [], []
+    for context, entity in contexts.items():
+        for k in range(4):
+            value = numbers[context][k] if context in numbers else entity.format(20 + k)
+            rows.append((len(rows), f"on 2024-05-0{k} we {context} {value} today"))
+        unseen.append((len(rows), f"on 2024-06-01 we {context} zq77x-{len(rows)} today"))
+        rows.append(unseen[-1])
+    rows.append((len(rows), "in version 2024beta1 of it"))
+    found = dict(pii.personal_data(docs_of(spark, rows)).select("doc_id", pii.written(F.col("spans"))).collect())
+    for i, text in unseen:
+        assert found[i] == f"id:{text.index('zq77x')}:{text.index(' today')}"
+    assert found[len(rows) - 1] == ""
+
+
 def test_redaction(spark):
     df = docs_of(spark, [(1, "é x@y.zz and 4111111111111111!"), (2, "nothing")])
     spans = pii.base_spans(F.col("text"))
