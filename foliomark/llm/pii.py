@@ -3,14 +3,15 @@
 The base patterns give emails, addresses, cards and phones with their places. They seed a bootstrap:
 
 1. Each base entity is an instance and a seed, whatever its shape. A token with a digit and at least
-   ``SHORTEST`` characters that no base entity overlaps is an instance too, and a seed right after an
-   explicit naming word (``NAMED``, as in ``token = "..."``). The two or three units of text before
-   an instance, whatever they hold, are its lexical patterns.
+   ``SHORTEST`` characters that no base entity overlaps is an instance too. What follows an explicit
+   naming word (``NAMED``, as in ``token = "..."``), up to its closing quote or white space, is a seed
+   and a span of kind ``id`` by itself, unless a base entity covers it. The one to three units of text
+   before an instance, whatever they hold, are its lexical patterns; a single one needs a letter.
 2. Patterns and instances are a graph, with one edge for each pair however often it occurs. A pattern's
    score is the mean score of its instances, shrunk by ``PRIOR`` instances of score 0; an instance's
    score is that of its best pattern, 1 for seeds. ``ROUNDS`` rounds of joins and sums spread them.
 3. Patterns that reach ``CONFIDENT`` over at least ``SUPPORT`` different instances discover: the
-   tokens in their contexts that no base entity overlaps become spans of kind ``id``.
+   tokens in their contexts that no seed overlaps become spans of kind ``id``.
 """
 
 from __future__ import annotations
@@ -37,7 +38,10 @@ KINDS = [*BASE, FOUND]
 PART = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
 TOKEN = r"(?<![A-Za-z0-9_-])[A-Za-z_-]*+[0-9][A-Za-z0-9_-]*+"
-NAMED = r"(?i)(?:token|secret|password|passwd|api[_-]?key|ssn|passport|iban)\s*[=:]\s*[\"']?$"
+NAMES = r"(?i)(?:token|secret|password|passwd|api[_-]?key|ssn|passport|iban)\s*+[=:]"
+#: the value is what quotes of one line hold, else what ends at white space or a double quote, but no further name
+OPENING = rf"{NAMES}\s*+[\"']?"
+NAMED = rf"{NAMES}\s*+(?:\"[^\"\n]++\"|'[^'\n]++'|(?!{NAMES})[\"']?+[^\s\"]*[^\s\"'])"
 SHORTEST = 6
 CONTEXT = 64
 ROUNDS = 3
@@ -144,35 +148,63 @@ def written(spans: Column) -> Column:
     return F.concat_ws(",", one)
 
 
+def named_values(text: Column) -> Column:
+    """array<struct<start, end, match, before>> of what explicit naming words name."""
+
+    def value(m: Column) -> Column:
+        name = F.regexp_extract(m["match"], f"^{OPENING}", 0)
+        inside = F.regexp_replace(F.substr(m["match"], F.char_length(name) + 1), "[\"']$", "")
+        start = m["start"] + F.char_length(name)
+        return F.struct(
+            start.alias("start"),
+            (start + F.char_length(inside)).alias("end"),
+            inside.alias("match"),
+            F.right(F.concat(m["before"], name), F.lit(CONTEXT)).alias("before"),
+        )
+
+    return F.when(text.rlike(NAMES), F.transform(placed(text, NAMED), value)).otherwise(F.array().cast(FOUND_TYPE))
+
+
 def patterns_before(before: Column) -> Column:
-    """The two or three units that end a text, where there are so many."""
+    """The one, two and three units that end a text, where there are so many."""
 
     def units(n: int) -> Column:
         return F.trim(F.regexp_extract(F.lower(before), rf"(\S+(?:\s+\S+){{{n - 1}}}\s*)$", 1))
 
-    return F.array_distinct(F.filter(F.array(units(3), units(2)), lambda p: p != ""))
+    return F.array_distinct(F.concat(
+        F.filter(F.array(units(3), units(2)), lambda p: p != ""), F.filter(F.array(units(1)), lambda p: p.rlike(r"\p{L}"))
+    ))
+
 
+def instances(text: Column, entities: Column, named: Column) -> Column:
+    """Base entities, named values and tokens with a digit apart from them, with their patterns.
 
-def instances(text: Column, entities: Column) -> Column:
-    """Base entities and tokens with a digit apart from them: their patterns, whether they are seeds, and known to the base."""
+    ``seed``: an entity or a named value; ``known``: covered by an entity.
+    """
     kind = "array<struct<start:long,end:long,token:string,patterns:array<string>,known:boolean,seed:boolean>>"
 
-    def one(m: Column, known: bool) -> Column:
+    def one(m: Column, known: Column, seed: bool) -> Column:
         return F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
             m["match"].alias("token"),
             patterns_before(m["before"]).alias("patterns"),
-            F.lit(known).alias("known"),
-            (F.lit(True) if known else m["before"].rlike(NAMED)).alias("seed"),
+            known.alias("known"),
+            F.lit(seed).alias("seed"),
         )
 
+    def covered(m: Column) -> Column:
+        return F.exists(entities, lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))
+
     def apart(m: Column) -> Column:
-        return ~F.exists(entities, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+        meets = lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])
+        return ~F.exists(entities, meets) & ~F.exists(named, meets)
 
     tokens = F.filter(placed(text, TOKEN), lambda m: (m["end"] - m["start"] >= SHORTEST) & apart(m))
-    found = F.when(text.rlike("[0-9]"), F.transform(tokens, lambda m: one(m, False))).otherwise(F.array().cast(kind))
-    return F.concat(F.transform(entities, lambda m: one(m, True)), found)
+    found = F.when(text.rlike("[0-9]"), F.transform(tokens, lambda m: one(m, F.lit(False), False))).otherwise(F.array().cast(kind))
+    return F.concat(
+        F.transform(entities, lambda m: one(m, F.lit(True), True)), F.transform(named, lambda m: one(m, covered(m), True)), found
+    )
 
 
 def scored_patterns(scratch: Scratch, found: DataFrame) -> DataFrame:
@@ -205,15 +237,17 @@ def personal_data(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), *([F.col(row_id).alias("row_id")] if row_id else []))
     rows = (rows if row_id else numbered(rows)).withColumn("entities", base_entities(F.col("text")))
-    found = instances(F.col("text"), F.col("entities"))
+    rows = rows.withColumn("named", named_values(F.col("text")))
+    found = instances(F.col("text"), F.col("entities"), F.col("named"))
     read = scratch.spool(rows.select("row_id", "doc_id", in_order(F.col("entities")).alias("base"), found.alias("found")))
     found = read.select("row_id", F.explode("found").alias("f")).select("row_id", "f.*")
     patterns = scored_patterns(scratch, found.select("token", "patterns", "seed"))
     sure = patterns.filter((F.col("score") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern")
+    more = found.filter("not known")
+    discovered = more.filter("not seed").select("row_id", "start", "end", F.explode("patterns").alias("pattern")).join(sure, "pattern", "left_semi")
     new = (
-        found.filter("not known")
-        .select("row_id", "start", "end", F.explode("patterns").alias("pattern"))
-        .join(sure, "pattern", "left_semi")
+        more.filter("seed").select("row_id", "start", "end")
+        .union(discovered.select("row_id", "start", "end"))
         .groupBy("row_id")
         .agg(F.collect_set(F.struct(F.lit(KINDS.index(FOUND)).alias("rank"), "start", "end")).alias("new"))
     )

@@ -155,6 +155,36 @@ def test_base_entities_seed_contexts(spark):
     assert found[len(rows) - 1] == ""
 
 
+def test_named_values_are_spans(spark):
+    values = {
+        'x token = "abc123def456" and': "abc123def456",
+        "y 日本 secret: a1b2c3d4e5 end": "a1b2c3d4e5",
+        "our ssn: 123-45-6789": "123-45-6789",
+        'the password = "correct horse battery" here': "correct horse battery",
+        "a PASSWD:hunter end": "hunter",
+        "an api-key = 'it is \"x\"'": 'it is "x"',
+        "two token: secret: q7": "q7",
+        'open token = "k9z and no more': "k9z",
+        'curl "token: k9z" now': "k9z",
+        'none token = "" here': None,
+        "known password: a@b.org here": None,
+        "partly password: x!a@b.org here": "x!a@b.org",
+    }
+    rows = list(enumerate(values)) + [(100 + k, f"word{k} secret: s3cr3tcopy") for k in range(5)]
+    found = {r.doc_id: r.spans for r in pii.personal_data(docs_of(spark, rows)).collect()}
+    for i, text in rows:
+        value = values.get(text, "s3cr3tcopy")
+        ids = [(s["start"], s["end"]) for s in found[i] if s["rank"] == pii.KINDS.index("id")]
+        assert [text[a:b] for a, b in ids] == ([value] if value else []), text
+
+
+def test_one_unit_contexts_discover(spark):
+    rows = [(k, f"w{k} secret: s3cr3t{k}") for k in range(5)] + [(10, "we mail 55zq55 now")]
+    rows += [(20 + k, f"v{k} mail u{k}@b.org") for k in range(5)]
+    found = dict(pii.personal_data(docs_of(spark, rows)).select("doc_id", pii.written(F.col("spans"))).collect())
+    assert found[10] == "id:8:14" and all(found[k] for k in range(5))
+
+
 def test_redaction(spark):
     df = docs_of(spark, [(1, "é x@y.zz and 4111111111111111!"), (2, "nothing")])
     spans = pii.base_spans(F.col("text"))
