@@ -2,8 +2,9 @@
 
 A language is a distribution over hashed letter trigrams, counted over all labelled texts. In a text
 every word comes from one of the languages; expectation-maximisation estimates the proportions from
-the words' likelihoods. It runs over sets of one, two and three languages, those with the largest
-proportions, and the set with the best penalised likelihood counts.
+the words' likelihoods. It runs over sets of one language and more, those with the largest
+proportions, and the set with the best penalised likelihood counts. A text's sets grow up to all
+languages, as long as the likelihood that any mixture could reach outweighs the penalty.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ CELLS = 1 << 24
 MOST_BITS = 16
 SMOOTHING = 0.5
 STEPS = 5
-MOST_LANGUAGES = 3
 FLOOR = -14.0
 SLICE = 1 << 20
 HELD_LANGUAGES = 64
@@ -121,6 +121,14 @@ def _steps(likely: np.ndarray, shares: np.ndarray, text: np.ndarray, begins: np.
     return shares, total
 
 
+def _bound(likely: np.ndarray, shares: np.ndarray, text: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """What no mixture's log likelihood exceeds: it is concave, so its slopes at ``shares`` bound it."""
+    each = (likely * shares[text]).sum(axis=1)
+    sizes = np.diff(begins)
+    slope = (np.add.reduceat(likely / each[:, None], begins[:-1], axis=0) / sizes[:, None]).max(axis=1)
+    return np.add.reduceat(np.log(each), begins[:-1]) + sizes * np.log(slope) + 1e-3 * sizes + 1e-6
+
+
 def proportions(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(texts, languages) proportions, 0 outside the chosen set, and the number of words; 0 words: all 0."""
     codes, first, begins = _grams(texts, model.bits)
@@ -139,13 +147,23 @@ def proportions(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     rank = np.argsort(np.argsort(-shares, axis=1, kind="stable"), axis=1, kind="stable")
     best = np.full(len(some), -np.inf)
     chosen = np.zeros_like(shares)
-    for size in range(1, min(MOST_LANGUAGES, count) + 1):
-        start = np.where(rank < size, shares + np.float32(1e-6), 0).astype(np.float32)
+    bound = _bound(likely, shares, text, begins)
+    for size in range(1, count + 1):
+        penalty = (size - 1) * np.log(n + 1) + size * np.log(count)
+        open_ = np.flatnonzero(bound - penalty > best)
+        if not len(open_):
+            break
+        # only the words of texts that a larger set may still fit better
+        is_open = np.zeros(len(n), dtype=bool)
+        is_open[open_] = True
+        own, own_text = likely[is_open[text]], np.repeat(np.arange(len(open_)), n[open_])
+        own_begins = np.concatenate([[0], np.cumsum(n[open_])])
+        start = np.where(rank[open_] < size, shares[open_] + np.float32(1e-6), 0).astype(np.float32)
         start /= start.sum(axis=1, keepdims=True)
-        found, value = _steps(likely, start, text, begins, 1 if size == 1 else STEPS)
-        value = value - (size - 1) * np.log(n + 1) - size * np.log(count)
-        better = value > best
-        best[better], chosen[better] = value[better], found[better]
+        found, value = _steps(own, start, own_text, own_begins, 1 if size == 1 else STEPS)
+        value = value - penalty[open_]
+        better = value > best[open_]
+        best[open_[better]], chosen[open_[better]] = value[better], found[better]
     out[some] = chosen
     return out, n_words
 

@@ -321,6 +321,19 @@ def test_language_id(spark):
     assert all(r.lang_pred == "und" for r in language_id.identify(docs_of(spark, asked), language_id.train(labelled.limit(0))).collect())
 
 
+def test_texts_in_many_languages(spark):
+    words = {
+        "de": "das haus und der garten von ihnen", "en": "the house with this garden where they live", "fi": "talossa asuvat vanhemmat puutarha kylmä",
+        "fr": "elle avait toujours quelque chose pour eux", "pl": "przez cały dzień było bardzo zimno",
+    }
+    model = language_id.train(spark.createDataFrame([(t, lang) for lang, t in words.items() for _ in range(20)], "text string, lang string"))
+    asked = [" ".join(f"{words[lang]} " * 40 for lang in some) for some in (["de"], ["de", "en", "fi", "fr"], list(words))]
+    shares, n = language_id.proportions(model, pa.array(asked))
+    assert [[lang for lang, x in zip(model.languages, row, strict=True) if x > 0] for row in shares] == [["de"], ["de", "en", "fi", "fr"], list(words)]
+    for lang, share in zip(model.languages, shares[2].tolist(), strict=True):
+        assert abs(share - 40 * len(words[lang].split()) / n[2]) < 0.02
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.001"
     found = language_id.op1_language_id(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
