@@ -3,18 +3,20 @@
 Equal vectors are one node with a weight. Nodes meet first in the cells of a few random-hyperplane
 partitions, which gives every node a list of neighbours. Then each round joins the neighbours of a
 node, in both directions, with each other and keeps the best of each list. A list whose entries all
-reach the threshold is saturated and may grow, twice as far each round. Rounds end when they add
-hardly any pair of the threshold.
+reach the threshold is saturated and may grow, twice as far each round. The nodes that list a node
+are joined in parts of bounded size, none is left out. Rounds end when they link no further node
+and add hardly any pair of the threshold.
 
 The pairs found give components. Inside a component all pairs are compared, in square blocks that
 emit sums per node and never pairs, so a saturated list in the end is its whole component. Finally a
-bounded sample of nodes is compared with all vectors; if too many of their links were missed, new
-partitions and rounds follow.
+bounded sample of nodes of each degree class is compared with all vectors; if too many nodes of any
+class miss a link, new partitions and rounds follow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ BLOCK = 512
 ROUNDS = 6
 STOP_SHARE = 0.01
 AUDIT_NODES = 1024
+#: the least degrees of the classes of linked nodes
+DEGREES = (1, 4, 32)
 AUDIT_RECALL = 0.98
 AUDITS = 4
 SEED = 7
@@ -123,9 +127,13 @@ def best_lists(pairs: DataFrame, k: int, longest: int, threshold: float) -> Data
 
 def joined_neighbours(lists: DataFrame, nodes: DataFrame, k: int, dtype: str) -> DataFrame:
     """Pairs of neighbours of one node, one of them new, that would enter one of their lists."""
-    back = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
-    reverse = lists.withColumn("place", F.row_number().over(back)).filter(F.col("place") <= 2 * k)
-    both = lists.select("u", F.col("v").alias("w"), "fresh").union(reverse.select("v", "u", "fresh")).groupBy("u", "w").agg(F.max("fresh").alias("fresh"))
+    # a node's list meets a part of the nodes that list it; further parts meet the best of its list
+    hubs = lists.groupBy("v").agg(F.ceil(F.count("*") / (2 * k)).cast("int").alias("parts"))
+    reverse = lists.join(hubs, "v").select("v", "u", "fresh", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
+    again = lists.filter(F.col("rank") <= 2 * k).join(hubs.filter("parts > 1").select(F.col("v").alias("u"), "parts"), "u")
+    again = again.select("u", F.col("v").alias("w"), "fresh", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("part"))
+    both = lists.select("u", F.col("v").alias("w"), "fresh", F.lit(0).alias("part")).union(again).union(reverse)
+    both = both.groupBy(F.xxhash64("u", "part").alias("u"), "w").agg(F.max("fresh").alias("fresh"))
     worst = lists.groupBy(F.col("u").alias("w")).agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
     rows = both.join(worst, "w").join(nodes.select(F.col("node").alias("w"), "packed"), "w")
 
@@ -156,7 +164,7 @@ def joined_neighbours(lists: DataFrame, nodes: DataFrame, k: int, dtype: str) ->
 
 
 def links_inside(members: DataFrame, threshold: float, dtype: str) -> DataFrame:
-    """(node, links): weights of the other nodes of its component that reach the threshold, summed.
+    """(node, links, others): weights and number of the other nodes of its component that reach the threshold.
 
     ``members(root, node, packed, n)``. A component of s nodes is cut into s / BLOCK parts, and
     each pair of parts is a block of its own.
@@ -173,28 +181,40 @@ def links_inside(members: DataFrame, threshold: float, dtype: str) -> DataFrame:
         left, right = table["left"].to_numpy(), table["right"].to_numpy()
         unit = unit_rows(table["packed"].combine_chunks(), dtype)
         bounds = group_bounds(table["block"].to_numpy())
-        out_nodes, out_links = [], []
+        out_nodes, out_links, out_others = [], [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             near = unit[a:b] @ unit[a:b].T >= threshold
             np.fill_diagonal(near, False)
             # in a block of two parts only pairs of both count; else all
             if not left[a:b].all() or not right[a:b].all():
                 near &= left[a:b, None] != left[None, a:b]
-            out_nodes.append(nodes[a:b]), out_links.append(near @ n[a:b])
-        yield pa.record_batch({"node": pa.array(np.concatenate(out_nodes)), "links": pa.array(np.concatenate(out_links), pa.int64())})
+            out_nodes.append(nodes[a:b]), out_links.append(near @ n[a:b]), out_others.append(near.sum(axis=1))
+        columns = {"links": np.concatenate(out_links), "others": np.concatenate(out_others)}
+        yield pa.record_batch({"node": pa.array(np.concatenate(out_nodes)), **{name: pa.array(x, pa.int64()) for name, x in columns.items()}})
 
     def by_length(table: pa.Table) -> Iterator[pa.RecordBatch]:
         lengths = pc.binary_length(table["packed"])
         for length in pc.unique(lengths).to_pylist():
             yield from each(table.filter(pc.equal(lengths, length)))
 
-    return map_groups(rows, "block", by_length, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return map_groups(rows, "block", by_length, "node long, links long, others long").groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
 
 
 def audit(nodes: DataFrame, found: DataFrame, threshold: float, dtype: str, seed: int) -> float:
-    """Share of the true links of at most ``AUDIT_NODES`` nodes, compared with all, that ``found(node, links)`` has."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(seed))).limit(AUDIT_NODES).select("node", "packed").toArrow()
-    held = nodes.sparkSession.sparkContext.broadcast(sample)
+    """Least share, over classes of the true degree, of linked nodes whose links are all in ``found(node, others)``.
+
+    At most ``AUDIT_NODES`` nodes of each class of the found degree, and of those without a link, are
+    compared with all. Each stands for its share of its class; copies are one node and links count alike.
+    """
+    have = F.coalesce("others", F.lit(0))
+    known = nodes.select("node", "packed").join(found.select("node", "others"), "node", "left").select("node", "packed", have.alias("have"))
+    known = known.withColumn("class", sum((F.col("have") >= least).cast("int") for least in DEGREES))
+    sizes = {r["class"]: r["count"] for r in known.groupBy("class").count().collect()}
+    if not sizes:
+        return 1.0
+    asked_of = [known.filter(F.col("class") == c).orderBy(F.xxhash64("node", F.lit(seed))).limit(AUDIT_NODES) for c in sorted(sizes)]
+    sample = reduce(DataFrame.union, asked_of).toArrow().combine_chunks()
+    held = nodes.sparkSession.sparkContext.broadcast(sample.select(["node", "packed"]))
 
     def step():  # noqa: ANN202
         asked = held.value.combine_chunks()
@@ -206,15 +226,24 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, dtype: str, seed
                 some, few = batch.filter(pc.equal(lengths, length)), asked.filter(pc.equal(asked_length, length))
                 if not few.num_rows:
                     continue
-                near = unit_rows(few["packed"].combine_chunks(), dtype) @ unit_rows(some.column("packed"), dtype).T >= threshold
-                near &= few["node"].to_numpy()[:, None] != some.column("node").to_numpy()[None, :]
-                yield pa.record_batch({"node": few["node"].combine_chunks(), "true": pa.array(near @ some.column("n").to_numpy(), pa.int64())})
+                few_rows, few_nodes = unit_rows(few["packed"].combine_chunks(), dtype), few["node"].to_numpy()
+                true = np.zeros(few.num_rows, dtype=np.int64)
+                for at in range(0, some.num_rows, AUDIT_NODES):
+                    part = some.slice(at, AUDIT_NODES)
+                    near = few_rows @ unit_rows(part.column("packed"), dtype).T >= threshold
+                    true += (near & (few_nodes[:, None] != part.column("node").to_numpy()[None, :])).sum(axis=1)
+                yield pa.record_batch({"node": few["node"].combine_chunks(), "true": pa.array(true, pa.int64())})
 
         return each
 
-    true = map_batches(nodes.select("node", "packed", "n"), step, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    total, have = true.join(found, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not total else have / total
+    counted = map_batches(nodes.select("node", "packed"), step, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
+    true_of = {r["node"]: r["true"] for r in counted.collect()}
+    true = np.array([true_of.get(node, 0) for node in sample["node"].to_pylist()])
+    classes, all_found = sample["class"].to_numpy(), sample["have"].to_numpy() >= true
+    stands_for = np.array([sizes[c] for c in classes.tolist()]) / np.bincount(classes)[classes]
+    degree = np.searchsorted(DEGREES, true, side="right")
+    of = [degree == c for c in np.unique(degree[true > 0])]
+    return min((float(stands_for[x & all_found].sum() / stands_for[x].sum()) for x in of), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, trees: int = TREES, seed: int = SEED) -> DataFrame:
@@ -239,14 +268,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
         met = neighbours_in_cells(cells(nodes, trees, depth, dtype, seed + turn), k, dtype).withColumn("fresh", F.lit(True))
         met = met if lists is None else lists.select("u", "v", "sim", "fresh").union(met)
         lists = _respooled(scratch, best_lists(met, k, longest, threshold), lists)
-        reached = lists.filter(F.col("sim") >= threshold).count()
+        linked, reached = _reached(lists, threshold)
         for _ in range(ROUNDS):
             old = lists.select("u", "v", "sim", F.lit(False).alias("fresh"))
             new = joined_neighbours(lists, nodes, k, dtype).withColumn("fresh", F.lit(True))
             longest *= 2
             lists = _respooled(scratch, best_lists(old.union(new), k, longest, threshold), lists)
-            before, reached = reached, lists.filter(F.col("sim") >= threshold).count()
-            if reached - before <= STOP_SHARE * before:
+            linked_before, before = linked, reached
+            linked, reached = _reached(lists, threshold)
+            if linked == linked_before and reached - before <= STOP_SHARE * before:
                 break
         near = lists.filter(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
         roots = scratch.spool(components(scratch, near))
@@ -267,6 +297,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def _reached(lists: DataFrame, threshold: float) -> tuple[int, int]:
+    """How many nodes have an entry that reaches the threshold, and how many entries do."""
+    per_node = lists.filter(F.col("sim") >= threshold).groupBy("u").agg(F.count("*").alias("n"))
+    return tuple(per_node.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first())
+
+
 def _respooled(scratch: Scratch, df: DataFrame, old: DataFrame | None) -> DataFrame:
     new = scratch.spool(df)
     if old is not None:

@@ -309,6 +309,19 @@ def test_nn_descent(spark, kind):
     assert got[170].component_id == 0 and got[0].kept and not got[170].kept
 
 
+def test_audit_counts_small_components(spark):
+    rng = np.random.default_rng(5)
+    vectors = [v for _ in range(20) for v in [rng.standard_normal(16)] * 2]
+    vectors = np.array([*vectors, *[rng.standard_normal(16)] * 200]) + rng.normal(0, 0.001, (240, 16))
+    nodes = spark.createDataFrame([(k, v.astype("f4").tobytes(), 1) for k, v in enumerate(vectors)], "node long, packed binary, n long")
+    whole = [(k, 1 if k < 40 else 199) for k in range(240)]
+    shares = []
+    for missed in (0, 10, 40):  # pairs that nothing has found
+        found = spark.createDataFrame([(k, m, m) for k, m in whole[missed:]], "node long, links long, others long")
+        shares.append(nn_descent.audit(nodes, found, 0.95, "<f4", 1))
+    assert shares == [1.0, 0.75, 0.0]
+
+
 def test_language_id(spark):
     rows = [(i, "the house and the garden of them", "en") for i in range(20)] + [(i, "das haus und der garten von ihnen", "de") for i in range(20, 40)]
     labelled = spark.createDataFrame([*rows, (40, None, "en"), (41, "und", None)], "doc_id long, text string, lang string")
