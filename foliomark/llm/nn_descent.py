@@ -10,7 +10,8 @@ and add hardly any pair of the threshold.
 The pairs found give components. Inside a component all pairs are compared, in square blocks that
 emit sums per node and never pairs, so a saturated list in the end is its whole component. Finally a
 bounded sample of nodes of each degree class is compared with all vectors; if too many nodes of any
-class miss a link, new partitions and rounds follow.
+class miss a link, new partitions and rounds follow, and in the end an error that names the recall.
+The deeper the partitions, the more there are of them.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ AUDIT_NODES = 1024
 #: the least degrees of the classes of linked nodes
 DEGREES = (1, 4, 32)
 AUDIT_RECALL = 0.98
-AUDITS = 4
+AUDITS = 12
+#: the share of pairs at the threshold that may share no cell of one set of partitions
+MISSED = 0.01
 SEED = 7
 
 
@@ -74,6 +77,12 @@ def _pairs(us: np.ndarray, vs: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
 PAIRS = "u long, v long, sim double"
 
 
+def partitions(depth: int, threshold: float) -> int:
+    """So many that a pair at the threshold shares a cell in one of them, but for a share of ``MISSED``."""
+    together = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** depth
+    return 1 if together >= 1 else int(np.ceil(np.log(MISSED) / np.log1p(-together)))
+
+
 def cells(nodes: DataFrame, trees: int, depth: int, dtype: str, seed: int) -> DataFrame:
     """(node, packed, cell): each node once per partition; large cells are split at random."""
 
@@ -263,8 +272,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     nodes = scratch.spool(good.groupBy("packed").agg(F.min("row_id").alias("node"), F.min("vec_id").alias("first_id"), F.count("*").alias("n")))
     total = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(1, total / CELL)))))
-    longest, lists, roots, links = 2 * k, None, None, None
+    trees = max(trees, partitions(depth, threshold))
+    lists, roots, links = None, None, None
     for turn in range(AUDITS):
+        longest = 2 * k
         met = neighbours_in_cells(cells(nodes, trees, depth, dtype, seed + turn), k, dtype).withColumn("fresh", F.lit(True))
         met = met if lists is None else lists.select("u", "v", "sim", "fresh").union(met)
         lists = _respooled(scratch, best_lists(met, k, longest, threshold), lists)
@@ -279,11 +290,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
             if linked == linked_before and reached - before <= STOP_SHARE * before:
                 break
         near = lists.filter(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        # what earlier turns linked stays linked, though its entries may have left the lists
+        near = near if roots is None else near.union(roots.select("node", "root"))
         roots = scratch.spool(components(scratch, near))
         members = roots.join(nodes.select("node", "packed", "n"), "node")
         links = scratch.spool(links_inside(members, threshold, dtype))
-        if audit(nodes, links, threshold, dtype, seed + turn) >= AUDIT_RECALL:
+        recall = audit(nodes, links, threshold, dtype, seed + turn)
+        if recall >= AUDIT_RECALL:
             break
+    else:
+        raise RuntimeError(f"nn-descent: after {AUDITS} turns the audit measured a recall of {recall:.4f}, below {AUDIT_RECALL}")
     least = roots.join(nodes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = nodes.join(roots, "node", "left").join(least, "root", "left").join(links, "node", "left")
     known = known.select(

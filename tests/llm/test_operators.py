@@ -322,6 +322,20 @@ def test_audit_counts_small_components(spark):
     assert shares == [1.0, 0.75, 0.0]
 
 
+def test_failed_audit_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDITS", 1)
+    monkeypatch.setattr(nn_descent, "audit", lambda *_: 0.5)
+    vectors = spark.createDataFrame([(k, [1.0, 0.1 * k]) for k in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="0.5000"):
+        nn_descent.near_duplicates(vectors)
+
+
+def test_partitions_follow_depth():
+    for depth in (0, 7, 13, 17):
+        shared = (1 - np.arccos(0.95) / np.pi) ** depth
+        assert 1 - (1 - shared) ** nn_descent.partitions(depth, 0.95) >= 0.99
+
+
 def test_language_id(spark):
     rows = [(i, "the house and the garden of them", "en") for i in range(20)] + [(i, "das haus und der garten von ihnen", "de") for i in range(20, 40)]
     labelled = spark.createDataFrame([*rows, (40, None, "en"), (41, "und", None)], "doc_id long, text string, lang string")
