@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomark.llm import decontaminate, jaccard_join, language_id, nn_descent, packing, pii, quality, substring, token_counts, url_filter
+from foliomark.llm import decontaminate, jaccard_join, language_id, nn_descent, packing, pii, quality, site_tree, substring, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_site_style_tree": site_tree.op11_site_style_tree,
 }
 
 ORACLE: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE: dict[str, str] = {
     "op6_url_filter": url_filter.op6_sql(),
     "op9_jaccard_join": jaccard_join.op9_sql(),
     "op10_decontamination": decontaminate.op10_sql(),
+    "op11_site_style_tree": site_tree.op11_sql(),
 }
