@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomark.llm import decontaminate, jaccard_join, language_id, nn_descent, packing, pii, quality, site_tree, substring, token_counts, url_filter
+from foliomark.llm import collocations, decontaminate, jaccard_join, language_id, nn_descent, packing, pii, prefix_trie, quality, site_tree, substring, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_site_style_tree": site_tree.op11_site_style_tree,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -29,4 +31,6 @@ ORACLE: dict[str, str] = {
     "op9_jaccard_join": jaccard_join.op9_sql(),
     "op10_decontamination": decontaminate.op10_sql(),
     "op11_site_style_tree": site_tree.op11_sql(),
+    "op12_prefix_trie": prefix_trie.op12_sql(),
+    "op13_collocations": collocations.op13_sql(),
 }
