@@ -44,8 +44,10 @@ MOST = 2000
 #: percent of a phrase's occurrences inside one longer phrase that make it a part of that
 SUBSUMED = 50
 HOT = 4096
-CHUNK = 1 << 21
-HELD = 1 << 20
+#: slices of a language that are ranked apart first
+RANKED = 64
+CHUNK = 1 << 20
+HELD = 1 << 19
 OTHER = 0
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -288,7 +290,7 @@ def collocations(
 
     Null texts are empty, a null language is ``und``; repeated rows count each time; a text of any length
     is read whole. Phrases with equal score are ordered by count, then by their bytes, so ties are settled.
-    ``most=None`` gives all candidates. A language without candidates has no rows.
+    ``most=None`` gives all candidates, which then one task per language ranks. A language without candidates has no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
@@ -327,8 +329,13 @@ def collocations(
         F.struct(_score("n", "ab", "rc").alias("score"), F.lit(2).alias("k"), F.col("ab").alias("l"), F.col("rc").alias("r")).alias("two"),
     )
     three = cuts.withColumn("cut", F.least("one", "two")).select("lang", "phrase", F.col("n").alias("a"), "cut.l", "cut.r", "cut.score")
-    ranks = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    found = two.unionByName(three).withColumn("rank", ranks)
+    found = two.unionByName(three)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    if most is not None:
+        # first within slices of a language, so that no task sorts all of its phrases
+        slices_of = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANKED)))
+        found = found.withColumn("rank", F.row_number().over(slices_of.orderBy(*order))).filter(F.col("rank") <= most)
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     listed = (found if most is None else found.filter(F.col("rank") <= most)).join(sizes, "lang")
     return listed.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -327,8 +327,8 @@ def prefix_trie(conversations: DataFrame, group: int = GROUP, heads: int = HEADS
     members = paths.select(*NODE, "c", _block()).join(above, ["c", "block"]).filter("d < first")
     brought = members.select(*NODE, "saved", "leaf", F.lit(0).cast("long").alias("n_children"))
     zero = F.lit(0).cast("long")
-    children = nodes.filter("d > 1").select((F.col("d") - 1).alias("d"), F.col("qa_min").alias("sa"), F.col("qb_min").alias("sb"), zero.alias("saved"), zero.alias("leaf"), F.lit(1).cast("long").alias("n_children"))
-    extra = brought.union(children).groupBy(*NODE).agg(*[F.sum(c).alias(c) for c in ("saved", "leaf", "n_children")])
+    below = nodes.filter("d > 1").select((F.col("d") - 1).alias("d"), F.col("qa_min").alias("sa"), F.col("qb_min").alias("sb"), zero.alias("saved"), zero.alias("leaf"), F.lit(1).cast("long").alias("n_children"))
+    extra = brought.union(below).groupBy(*NODE).agg(*[F.sum(c).alias(c) for c in ("saved", "leaf", "n_children")])
 
     # only the first node of a conversation's own path has a parent with another least member
     parents = nodes.select((F.col("d") + 1).alias("d"), F.col("sa").alias("qa"), F.col("sb").alias("qb"), F.col("conv_id").alias("parent_conv_id"))
@@ -340,14 +340,13 @@ def prefix_trie(conversations: DataFrame, group: int = GROUP, heads: int = HEADS
         *NODE, "conv_id", "parent_conv_id", "n_convs", F.coalesce("n_children", zero).alias("n_children"),
         (F.col("leaf_path") + F.coalesce("leaf", zero)).alias("n_leaves"), (F.col("saved_path") + F.coalesce("saved", zero)).alias("saved_tokens"), "ref",
     )
-    roots = convs.agg(F.count(F.lit(1)).alias("n_convs"), F.min("c").alias("conv_id")).filter("n_convs > 0").withColumn("d", zero)
-    under = nodes.agg(
-        F.count(F.when(F.col("d") == 1, 1)).alias("n_children"),
-        F.sum((F.col("n_ends") == F.col("n_convs")).cast("long")).alias("leaves"), F.sum((F.col("n_convs") - 1) * F.col("n_min")).alias("saved_tokens"),
-    ).withColumn("d", zero)
-    root = roots.join(under, "d").select(
-        "d", zero.alias("sa"), zero.alias("sb"), "conv_id", F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", "n_children",
-        F.coalesce("leaves", F.lit(1).cast("long")).alias("n_leaves"), F.coalesce("saved_tokens", zero).alias("saved_tokens"), F.lit(None).cast("struct<ref_conv:bigint,ref_pos:bigint>").alias("ref"),
+    children, leaves, saved = nodes.agg(
+        F.count(F.when(F.col("d") == 1, 1)), F.sum((F.col("n_ends") == F.col("n_convs")).cast("long")), F.sum((F.col("n_convs") - 1) * F.col("n_min"))
+    ).first()
+    under = {"n_children": children, "n_leaves": leaves or 1, "saved_tokens": saved or 0}
+    root = convs.agg(F.count(F.lit(1)).alias("n_convs"), F.min("c").alias("conv_id")).filter("n_convs > 0").select(
+        *[zero.alias(c) for c in NODE], "conv_id", F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
+        *[F.lit(v).cast("long").alias(c) for c, v in under.items()], F.lit(None).cast("struct<ref_conv:bigint,ref_pos:bigint>").alias("ref"),
     )
     turnless = convs.filter("size = 0").select(*[zero.alias(c) for c in NODE], "c")
     ends = paths.filter("last").select(*NODE, "c").unionAll(turnless)
