@@ -21,7 +21,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Owner of spooled tables: ``release`` deletes all of them that were not handed out."""
+    """Owner of spooled tables: ``drop`` deletes some of them, ``release`` all."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
@@ -45,6 +45,11 @@ class Scratch:
             if path:
                 remove(self.spark, path)
 
+    def release(self) -> None:
+        """Delete everything of this owner; tables read from it are of no use afterwards."""
+        self.paths.clear()
+        remove(self.spark, self.root)
+
 
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so that its work is never repeated."""

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from foliomark.functions.chunks import CHUNK_LIMIT
 from foliomark.functions.images import image_folder
-from foliomark.operators.chunking import transform_documents
+from foliomark.operators.chunking import Mode, cascade
 from foliomark.operators.documents import cleanup
-from foliomark.operators.spool import spool
+from foliomark.operators.spool import Scratch
 from foliomark.operators.pages import assemble_arrays, provenance_header, strip_headers_footers
 from foliomark.sources.files import (
     Extractor,
@@ -27,7 +27,11 @@ from foliomark.sources.files import (
 
 @dataclass(frozen=True)
 class ConvertOptions:
-    """What a conversion does. Stages that are off are left out of the plan."""
+    """What a conversion does. Stages that are off are left out of the plan.
+
+    ``transform`` is one external hook, called per chunk; ``modes`` are several, each for what those
+    before it left. ``call_seconds`` is the deadline of a ``transform`` call, ``parse_seconds`` of the parser's for a file.
+    """
 
     preserve_formatting: bool = True
     page_breaks: bool = True
@@ -41,13 +45,22 @@ class ConvertOptions:
     transform: Callable[[str], str] | None = None
     chunk_limit: int = CHUNK_LIMIT
     transform_tasks: int | None = None
+    call_seconds: float | None = None
+    modes: tuple[Mode, ...] = ()
+    parse_seconds: float | None = None
+
+    def all_modes(self) -> tuple[Mode, ...]:
+        if self.transform is None:
+            return self.modes
+        return (Mode("transform", self.transform, self.chunk_limit, self.call_seconds, self.transform_tasks), *self.modes)
 
 
-def convert(docs: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
+def convert(docs: DataFrame, options: ConvertOptions | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Documents with ``pages`` -> the same rows with their Markdown in ``text``.
 
     Expects ``path, name, stem, pages`` (and passes other columns on). Without the external
-    step this is a chain of projections, so the corpus is converted without a shuffle.
+    step this is a chain of projections, so the corpus is converted without a shuffle. With it, what
+    is written on the way belongs to ``scratch``: release it when the result is stored.
     """
     o = options or ConvertOptions()
     staged = strip_headers_footers(docs) if o.strip_headers_footers else docs
@@ -63,24 +76,26 @@ def convert(docs: DataFrame, options: ConvertOptions | None = None) -> DataFrame
     staged = cleanup(provenance_header(staged))
     if not o.cleanup:
         return staged
-    if o.transform is None:
+    modes = o.all_modes()
+    if not modes:
         warnings.warn("cleanup asked for without a transform: texts stay as they are", stacklevel=2)
         return staged
-    # The path identifies a document from here on; a caller's doc_id and transformed pass through.
-    whole = spool(staged, "converted").withColumn("_row", F.struct(*staged.columns))
+    # The path identifies a document from here on; a caller's doc_id and mode pass through.
+    scratch = scratch or Scratch(docs.sparkSession, "converted")
+    whole = scratch.spool(staged).withColumn("_row", F.struct(*staged.columns))
     keyed = whole.select(F.col("path").alias("doc_id"), "text", "_row")
-    done = transform_documents(keyed, o.transform, o.chunk_limit, o.transform_tasks)
+    done = cascade(keyed, modes, scratch).docs
     others = [c for c in staged.columns if c != "text"]
     return done.select(*(F.col("_row")[c].alias(c) for c in others), "text").select(*staged.columns)
 
 
 def convert_files(
-    files: DataFrame, extractor: Extractor, options: ConvertOptions | None = None
+    files: DataFrame, extractor: Extractor, options: ConvertOptions | None = None, scratch: Scratch | None = None
 ) -> DataFrame:
     """Identified files -> ``path, out_path, text, error``; failures stay as rows."""
     accepted = validate_inputs(files).where("accepted").drop("accepted", "reason")
-    read = extract(accepted, extractor)
-    done = convert(read, options)
+    read = extract(accepted, extractor, options.parse_seconds if options else None)
+    done = convert(read, options, scratch)
     return done.select("path", "out_path", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
 
 

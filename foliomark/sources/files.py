@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliomark.operators.calls import Calls
 from foliomark.sources.stores import Stores, hidden_paths, qualified
 
 # Fixed value: the two spellings a scan picks up; mixed case is not picked up.
@@ -135,13 +136,15 @@ def corpus_listing(files: DataFrame) -> DataFrame:
     return files.groupBy(folder).agg(F.count(F.lit(1)).alias("n_files")).orderBy("folder")
 
 
-def extract(files: DataFrame, extractor: Extractor) -> DataFrame:
+def extract(files: DataFrame, extractor: Extractor, seconds: float | None = None) -> DataFrame:
     """Run a caller's parser on every file: ``content`` becomes ``pages`` and ``error``.
 
     One row per file with its pages as an array: pages are born together, so keeping them
     together saves the shuffle that would collect them again. A parser failure becomes the
     row's ``error``, and so is content that is null or an answer of the wrong kind. Cells may be
-    anything: ``str(cell or "")``. Who reads the result twice writes it first (``spool``).
+    anything: ``str(cell or "")``. Who reads the result twice writes it first (``spool``). With
+    ``seconds`` a parser that takes longer for a file is ended, and so is one that ends its process:
+    that file fails, the others go on.
     """
     kept = [f for f in files.schema.fields if f.name != "content"]
     schema = T.StructType([
@@ -164,24 +167,22 @@ def extract(files: DataFrame, extractor: Extractor) -> DataFrame:
         tables = [[[cell(c) for c in row] for row in table] for table in raw.get("tables") or []]
         return {"page_no": no, "text": text, "tables": tables, "images": images}
 
-    def parse(content: bytes | None) -> tuple[list[dict] | None, str | None]:
-        try:
-            if content is None:
-                raise ValueError("no content")
-            return [page(no, raw) for no, raw in enumerate(extractor(bytes(content)), 1)], None
-        except Exception as failure:  # noqa: BLE001 - any parser failure is data
-            return None, f"{type(failure).__name__}: {failure}"
+    def parse(content: bytes | None) -> list[dict]:
+        if content is None:
+            raise ValueError("no content")
+        return [page(no, raw) for no, raw in enumerate(extractor(bytes(content)), 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # Output frames follow the input bytes, so a worker holds few large documents.
-            sizes = batch["content"].map(lambda c: 0 if c is None else len(c)).cumsum()
-            for _, part in batch.groupby(sizes // OUTPUT_BYTES, sort=True):
-                parsed = [parse(content) for content in part["content"]]
-                yield part.drop(columns="content").assign(
-                    pages=pd.Series([p for p, _ in parsed], index=part.index, dtype=object),
-                    error=pd.Series([e for _, e in parsed], index=part.index, dtype=object),
-                )
+        with Calls(parse, seconds) as call:
+            for batch in batches:
+                # Output frames follow the input bytes, so a worker holds few large documents.
+                sizes = batch["content"].map(lambda c: 0 if c is None else len(c)).cumsum()
+                for _, part in batch.groupby(sizes // OUTPUT_BYTES, sort=True):
+                    parsed = [call(content) for content in part["content"]]
+                    yield part.drop(columns="content").assign(
+                        pages=pd.Series([p for p, _ in parsed], index=part.index, dtype=object),
+                        error=pd.Series([e for _, e in parsed], index=part.index, dtype=object),
+                    )
 
     return files.mapInPandas(run, schema)
 

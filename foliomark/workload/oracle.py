@@ -261,6 +261,11 @@ CTES["chunks"] = f"""SELECT doc_id, chunk_no, chunk, (count(*) OVER (PARTITION B
       UNION ALL
       SELECT doc_id, chunk_no, chunk FROM packed JOIN (SELECT doc_id FROM paras_text WHERE length(text) > {LIMIT}) USING (doc_id))"""
 
+CTES["first_mode"] = f"""SELECT doc_id, count(*) AS n_calls, count(*) FILTER (bad) AS n_failed,
+      count(*) FILTER (blank AND NOT bad) AS n_blank, NOT bool_or(bad OR blank) AS done
+    FROM (SELECT doc_id, length(chunk) % 3 = 0 AS bad, {strip("replace(chunk, ' ', '_')")} = '' AS blank
+      FROM chunks JOIN paras_text USING (doc_id) WHERE {strip("text")} <> '') GROUP BY doc_id"""
+
 CTES["paths"] = """SELECT doc_id, source || '/d' || (doc_id % 50) || (['.pdf', '.PDF', '.Pdf', '.txt'])[doc_id % 4 + 1] AS rel_path
     FROM documents"""
 CTES["named"] = r"""SELECT doc_id, rel_path, '/in/' || rel_path AS path, regexp_extract(rel_path, '[^/]*$') AS name,
@@ -388,6 +393,17 @@ ORACLE: dict[str, str] = {
         FROM paras_text JOIN (SELECT doc_id, {strip("string_agg(' <' || chunk || '> ', chr(10) || chr(10) ORDER BY chunk_no)")} AS r
           FROM chunks GROUP BY doc_id) USING (doc_id)"""),
     "transform_documents": sql(f"""SELECT doc_id, {strip("replace(text, ' ', '_')")} AS text, true AS transformed FROM paras_text"""),
+    "timed_chunks": sql("""SELECT doc_id, chunk_no::INT AS chunk_no, n_chunks,
+        CASE WHEN length(chunk) % 499 <> 7 THEN replace(chunk, ' ', '_') END AS result,
+        CASE WHEN length(chunk) % 499 = 7 THEN 'time-out' END AS error FROM chunks"""),
+    "cascade_documents": sql(f"""SELECT doc_id, CASE mode WHEN 'chunks' THEN {strip("replace(text, ' ', '_')")}
+          WHEN 'whole' THEN '<' || text || '>' ELSE text END AS text, mode
+        FROM (SELECT doc_id, text, CASE WHEN done THEN 'chunks' WHEN length(text) % 2 = 0 THEN 'whole' END AS mode
+          FROM paras_text LEFT JOIN first_mode USING (doc_id))"""),
+    "cascade_attempts": sql("""SELECT doc_id, 'chunks' AS mode, n_calls, n_failed, n_blank,
+          CASE WHEN n_failed > 0 THEN 'ValueError: every third' END AS error FROM first_mode
+        UNION ALL SELECT doc_id, 'whole', 1, 0, length(text) % 2, NULL
+        FROM paras_text JOIN first_mode USING (doc_id) WHERE NOT done"""),
     "validate_inputs": sql("""SELECT doc_id, path, ends_with(lower(path), '.pdf') AS accepted,
         CASE WHEN NOT ends_with(lower(path), '.pdf') THEN 'not a PDF: ' || path END AS reason FROM named"""),
     "with_identity": sql(r"""SELECT doc_id, rel_path, path, name, stem, '/in/' || folder || stem || '.md' AS beside,

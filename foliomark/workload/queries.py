@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -392,6 +393,52 @@ def transform_documents(spark, sf_dir):
     return chunking.transform_documents(_paragraph_docs(spark, sf_dir), _underscore(), CHUNK_LIMIT)
 
 
+def _hangs_at_times() -> Callable[[str], str]:
+    """A hook that gives no answer for a few chunks."""
+
+    def call(chunk: str) -> str:
+        if len(chunk) % 499 == 7:
+            time.sleep(3600)
+        return chunk.replace(" ", "_")
+
+    return call
+
+
+@query
+def timed_chunks(spark, sf_dir):
+    """Calls with a deadline: the hanging ones are rows, the others of their batch finish."""
+    return chunking.map_chunks(chunk_documents(spark, sf_dir), _hangs_at_times(), 8, seconds=2.0).drop("chunk")
+
+
+def _modes() -> list[chunking.Mode]:
+    """Chunks first, some of which fail; then whole documents, some of which come back blank."""
+
+    def chunk_by_chunk(chunk: str) -> str:
+        if len(chunk) % 3 == 0:
+            raise ValueError("every third")
+        return chunk.replace(" ", "_")
+
+    def whole(text: str) -> str:
+        return " \n" if len(text) % 2 else f"<{text}>"
+
+    return [
+        chunking.Mode("chunks", chunk_by_chunk, CHUNK_LIMIT, seconds=None),
+        chunking.Mode("whole", whole, limit=None, seconds=None),
+    ]
+
+
+@query
+def cascade_documents(spark, sf_dir):
+    """Each document by the first mode that succeeds, else its original."""
+    return chunking.cascade(_paragraph_docs(spark, sf_dir), _modes()).docs
+
+
+@query
+def cascade_attempts(spark, sf_dir):
+    """The calls each mode made for each document: none after one that succeeded."""
+    return chunking.cascade(_paragraph_docs(spark, sf_dir), _modes()).attempts
+
+
 # Files ---------------------------------------------------------------------------------------
 
 
