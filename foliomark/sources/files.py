@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliomark.operators.calls import Calls
-from foliomark.sources.stores import Stores, hidden_paths, qualified
+from foliomark.operators.spool import Scratch
+from foliomark.sources.listing import contents, listing
+from foliomark.sources.stores import qualified
 
 # Fixed value: the two spellings a scan picks up; mixed case is not picked up.
 PATTERN = "*.{pdf,PDF}"
@@ -39,45 +41,21 @@ OUTPUT_BYTES = 8 << 20
 Extractor = Callable[[bytes], Iterable[dict]]
 
 
-def scan_flat(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
-    """Files directly in a folder, one row each; a missing folder is an analysis error.
+def scan_flat(spark: SparkSession, folder: str, pattern: str = PATTERN, scratch: Scratch | None = None) -> DataFrame:
+    """Files directly in a folder, one row each (``FILES``); a missing folder is an analysis error.
 
-    Names that begin with ``_`` or ``.`` belong to it: see ``_with_hidden``.
+    Names that begin with ``_`` or ``.`` belong to it. Listed and read by tasks; the written listing
+    belongs to ``scratch``.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return _with_hidden(spark, found, folder, pattern, recursive=False)
+    return contents(listing(spark, folder, pattern, recursive=False, scratch=scratch))
 
 
-def scan_tree(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
-    """Files at any depth, with ``rel_path`` below the folder, hidden names included."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-    )
-    found = _with_hidden(spark, found, folder, pattern, recursive=True)
+def scan_tree(spark: SparkSession, folder: str, pattern: str = PATTERN, scratch: Scratch | None = None) -> DataFrame:
+    """Files at any depth, with ``rel_path`` below the folder."""
+    found = contents(listing(spark, folder, pattern, recursive=True, scratch=scratch))
     return found.withColumn("rel_path", relative_path(F.col("path"), qualified(spark, folder)))
 
 
-def _with_hidden(spark: SparkSession, found: DataFrame, folder: str, pattern: str, recursive: bool) -> DataFrame:
-    """The scan and the files Spark's listing hides; their contents are read by tasks, not here."""
-    paths = hidden_paths(spark, folder, pattern, recursive)
-    if not paths:
-        return found
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stores = Stores()
-        for batch in batches:
-            for path in batch["path"]:
-                content = stores.read(path)
-                yield pd.DataFrame({"path": [path], "length": [len(content)], "content": [content]})
-
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition("path")
-    read = listed.mapInPandas(run, "path string, length long, content binary")
-    return found.unionByName(read, allowMissingColumns=True)
-
-
 def relative_path(path: Column, root: str) -> Column:
     """``path`` below the qualified folder ``root``; any other path is an error of its row's query."""
     start = root.rstrip("/") + "/"

@@ -1,8 +1,11 @@
-"""File systems: qualified paths, hidden names, and bytes in and out of any store pyarrow can open."""
+"""File systems: qualified paths, and entries and bytes of any store pyarrow can open."""
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
@@ -17,31 +20,9 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return system.makeQualified(path).toString().rstrip("/")
 
 
-def hidden_paths(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> list[str]:
-    """Matching files whose name, or a folder below ``folder``, begins with ``_`` or ``.``.
-
-    Spark's listing leaves them out. Globs find them depth by depth; only hidden matches come to
-    the driver.
-    """
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = _literal(qualified(spark, folder))
-
-    def matches(glob: str) -> list:
-        return list(system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(glob)) or [])
-
-    found, depth = set(), 0
-    while True:
-        globs = [base + "/*" * depth + "/[._]" + pattern]
-        globs += [base + "/*" * k + "/[._]*" + "/*" * (depth - k - 1) + "/" + pattern for k in range(depth)]
-        found |= {s.getPath().toString() for glob in globs for s in matches(glob) if s.isFile()}
-        depth += 1
-        if not recursive or not matches(base + "/*" * depth + "/*"):
-            return sorted(found)
-
-
-def _literal(path: str) -> str:
-    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def location(path: str) -> str:
@@ -73,6 +54,45 @@ class Stores:
             target = "/" + rest.partition("/")[2]
         return self.opened[root], target
 
+    def entries(self, folder: str) -> Iterator[tuple[str, datetime | None, int | None, bool]]:
+        """(path, time, length, is folder) of what a folder holds; nothing if it is gone."""
+        from pyarrow import fs
+
+        store, target = self._at(folder)
+        base = folder.rstrip("/") + "/"
+        try:
+            if isinstance(store, fs.LocalFileSystem):
+                with os.scandir(target) as found:  # one entry at a time, however large the folder
+                    for e in found:
+                        if e.is_dir(follow_symlinks=False):
+                            yield base + e.name, None, None, True
+                        elif e.is_file():
+                            stat = e.stat()
+                            yield base + e.name, datetime.fromtimestamp(stat.st_mtime, timezone.utc), stat.st_size, False
+            else:
+                for info in store.get_file_info(fs.FileSelector(target)):
+                    is_folder = info.type == fs.FileType.Directory
+                    yield base + info.base_name, info.mtime, None if is_folder else info.size, is_folder
+        except FileNotFoundError:
+            return
+
+    def delete(self, path: str) -> None:
+        store, target = self._at(path)
+        store.delete_file(target)
+
+    def move(self, path: str, to: str) -> None:
+        """Under its new name at once, in folders that may be new; both in one store."""
+        store, target = self._at(path)
+        _, end = self._at(to)
+        store.create_dir(end.rpartition("/")[0], recursive=True)
+        store.move(target, end)
+
+    def there(self, path: str) -> bool:
+        from pyarrow import fs
+
+        store, target = self._at(path)
+        return store.get_file_info(target).type == fs.FileType.File
+
     def read(self, path: str) -> bytes:
         store, target = self._at(path)
         with store.open_input_stream(target) as stream:

@@ -51,6 +51,10 @@ def no_placeholders(x: str) -> str:
 
 
 FILE_NAME = "CASE WHEN doc_id % 7 = 0 THEN '_' WHEN doc_id % 11 = 0 THEN '.' ELSE '' END || 'd' || doc_id || '.md'"
+# a folder between two runs: some files are new, some rewritten, some deleted
+CHANGED = f"""SELECT source, {FILE_NAME} AS name, fate, CASE fate WHEN 'rewritten' THEN text || ' again' ELSE text END AS t
+      FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 7 = 3 THEN 'deleted'
+        WHEN doc_id % 5 = 0 THEN 'rewritten' ELSE 'unchanged' END AS fate FROM documents)"""
 
 
 def kind(t: str) -> str:
@@ -416,6 +420,12 @@ ORACLE: dict[str, str] = {
     "scan_flat": f"SELECT {FILE_NAME} AS name, text FROM documents",
     "scan_tree": f"""SELECT CASE WHEN source = 'src1' THEN '_src1/in' ELSE source END || '/' || {FILE_NAME} AS rel_path, text FROM documents""",
     "write_markdown": f"""SELECT doc_id, {FILE_NAME} AS name, 'written' AS status, CAST(NULL AS VARCHAR) AS error FROM documents""",
+    "file_fates": f"""SELECT name, fate, CASE WHEN length(t) % 10 = 0 THEN 'failed' ELSE 'converted' END AS outcome,
+          CASE WHEN length(t) % 10 = 0 THEN 'a multiple of ten' END AS error FROM ({CHANGED})""",
+    "changed_corpus": f"""SELECT CASE WHEN source = 'src1' THEN '_src1/in' ELSE source END || '/' || name AS rel_path, t AS text,
+          CASE WHEN length(t) % 10 = 0 THEN 'a multiple of ten' END AS error FROM ({CHANGED}) WHERE fate <> 'deleted'""",
+    "folder_listing": """SELECT CASE WHEN source = 'src1' THEN '_src1/in' ELSE source END || '/' AS folder, count(*) AS n,
+          sum(strlen(text))::BIGINT AS bytes, count(*) AS dated FROM documents GROUP BY source""",
     "path_collisions": sql("""SELECT '/out/' || stem || '.md' AS out_path, count(*) AS n,
         max(struct_pack(upper := ends_with(path, '.PDF'), path := path)).path AS kept FROM named GROUP BY stem HAVING count(*) > 1"""),
     "superseded_outputs": sql("""SELECT doc_id, '/out/' || stem || '.md' AS out_path,

@@ -24,7 +24,9 @@ from foliomark.operators.spool import checkpoint_folder, remove
 from foliomark.operators.unnest import unnest
 from foliomark.plans.convert import ConvertOptions, convert
 from foliomark.sources import files, sinks
-from foliomark.streaming.incremental import convert_new, new_files
+from foliomark.sources.listing import listing
+from foliomark.sources.stores import Stores, qualified
+from foliomark.streaming.incremental import convert_changes, convert_new, current_corpus, new_files
 from foliomark.workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -573,6 +575,80 @@ def write_markdown(spark, sf_dir):
     return listing.select(F.col("path").cast("long").alias("doc_id"), name.alias("name"), "status", "error")
 
 
+# A folder that changes -----------------------------------------------------------------------------
+
+
+def _written(docs: DataFrame, base: str, name: str) -> None:
+    """Every document as a file, those of one source in a hidden folder."""
+    folder = F.when(F.col("source") == "src1", "_src1/in").otherwise(F.col("source"))
+    place = F.concat(F.lit(f"{base}/in/"), folder, F.lit("/"), _file_name())
+    rows = docs.select(F.col("doc_id").cast("string").alias("path"), place.alias("out_path"), "text")
+    sinks.export_markdown(rows, f"{base}/{name}")
+
+
+def _deleted(paths: DataFrame) -> int:
+    def run(batches):  # noqa: ANN001, ANN202
+        stores = Stores()
+        for batch in batches:
+            for path in batch["path"]:
+                stores.delete(path)
+            yield batch
+
+    return paths.mapInPandas(run, "path string").count()
+
+
+def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder converted twice: in between, files are rewritten, deleted and added."""
+    base = f"{checkpoint_folder(spark)}/changes-{uuid.uuid4().hex}"
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    doc_id = F.col("doc_id")
+
+    def step(raw: DataFrame) -> DataFrame:
+        text = F.col("content").cast("string")
+        error = F.when(F.char_length(text) % 10 == 0, "a multiple of ten")
+        return raw.select("path", "rel_path", text.alias("text"), error.alias("error"))
+
+    def converted() -> DataFrame:
+        return convert_changes(spark, f"{base}/in", step, f"{base}/out", f"{base}/ledger", "*.md", recursive=True)
+
+    _written(docs.where(doc_id % 3 != 0), base, "first")
+    converted()
+    again = docs.where((doc_id % 3 != 0) & (doc_id % 5 == 0)).withColumn("text", F.concat("text", F.lit(" again")))
+    _written(again.unionByName(docs.where(doc_id % 3 == 0)), base, "second")
+    gone = docs.where((doc_id % 3 != 0) & (doc_id % 7 == 3)).select(_file_name().alias("name"))
+    listed = listing(spark, f"{base}/in", "*.md", recursive=True)
+    _deleted(listed.withColumn("name", files.file_name(F.col("path"))).join(gone, "name").select("path"))
+    return base, converted()
+
+
+@query
+def file_fates(spark, sf_dir):
+    """What became of every file of that folder in the second run."""
+    _, fates = _two_runs(spark, sf_dir)
+    return fates.select(files.file_name(F.col("path")).alias("name"), "fate", "outcome", "error")
+
+
+@query
+def changed_corpus(spark, sf_dir):
+    """The corpus after both runs: of each file that is still there, what its last contents gave."""
+    base, _ = _two_runs(spark, sf_dir)
+    corpus = current_corpus(spark, f"{base}/out", f"{base}/ledger")
+    return corpus.select("rel_path", "text", "error")
+
+
+@query
+def folder_listing(spark, sf_dir):
+    """Files per folder and their bytes, listed by tasks that hand on what they do not reach."""
+    base = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
+    _written(views.table(spark, sf_dir, "documents").select("doc_id", "text", "source"), base, "manifest")
+    found = listing(spark, f"{base}/in", "*.md", recursive=True, budget=100)
+    rel = files.relative_path(F.col("path"), qualified(spark, f"{base}/in"))
+    dated = F.count(F.col("modificationTime"))
+    return found.groupBy(files.parent(rel).alias("folder")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), dated.alias("dated")
+    )
+
+
 # Whole conversions -----------------------------------------------------------------------------
 
 
