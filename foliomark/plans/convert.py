@@ -15,6 +15,7 @@ from foliomark.operators.chunking import Mode, cascade
 from foliomark.operators.documents import cleanup
 from foliomark.operators.spool import Scratch
 from foliomark.operators.pages import assemble_arrays, provenance_header, strip_headers_footers
+from foliomark.sources.document_files import document_images
 from foliomark.sources.files import (
     Extractor,
     extract,
@@ -92,11 +93,18 @@ def convert(docs: DataFrame, options: ConvertOptions | None = None, scratch: Scr
 def convert_files(
     files: DataFrame, extractor: Extractor, options: ConvertOptions | None = None, scratch: Scratch | None = None
 ) -> DataFrame:
-    """Identified files -> ``path, out_path, text, error``; failures stay as rows."""
+    """Identified files -> ``path, out_path, text, error``; failures stay as rows.
+
+    With ``extract_images`` also ``images``, the image files the texts link to (``document_images``).
+    """
+    o = options or ConvertOptions()
     accepted = validate_inputs(files).where("accepted").drop("accepted", "reason")
-    read = extract(accepted, extractor, options.parse_seconds if options else None)
-    done = convert(read, options, scratch)
-    return done.select("path", "out_path", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
+    read = extract(accepted, extractor, o.parse_seconds)
+    linked = ["images"] if o.extract_images and not o.embed_images else []
+    if linked:
+        read = read.withColumn("images", document_images(F.col("pages"), F.col("out_path"), F.col("stem"), o.image_dir))
+    done = convert(read, o, scratch)
+    return done.select("path", "out_path", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error", *linked)
 
 
 def convert_directory(

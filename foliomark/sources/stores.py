@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -11,6 +12,8 @@ from pyspark.sql import SparkSession
 
 # Hadoop's names of a scheme -> the one pyarrow knows.
 SCHEMES = {"s3a": "s3", "s3n": "s3"}
+# Tries to remove a folder that tasks on their way out still write to.
+ATTEMPTS = 20
 
 
 def qualified(spark: SparkSession, folder: str) -> str:
@@ -80,6 +83,26 @@ class Stores:
         store, target = self._at(path)
         store.delete_file(target)
 
+    def make(self, folder: str, parents: bool = True) -> None:
+        """Make a folder; without ``parents`` the one around it has to be there."""
+        store, target = self._at(folder)
+        store.create_dir(target, recursive=parents)
+
+    def clear(self, folder: str) -> None:
+        """Remove a folder with all it holds, if it is there, also while others still write to it."""
+        from pyarrow import fs
+
+        store, target = self._at(folder)
+        for attempt in range(ATTEMPTS):
+            try:
+                store.delete_dir(target)
+            except OSError:
+                if attempt + 1 == ATTEMPTS and store.get_file_info(target).type != fs.FileType.NotFound:
+                    raise
+            if store.get_file_info(target).type == fs.FileType.NotFound:
+                return
+            time.sleep(0.05 * attempt)
+
     def move(self, path: str, to: str) -> None:
         """Under its new name at once, in folders that may be new; both in one store."""
         store, target = self._at(path)
@@ -98,10 +121,14 @@ class Stores:
         with store.open_input_stream(target) as stream:
             return stream.read()
 
-    def write(self, path: str, content: bytes) -> None:
-        """The file appears under its name only when complete; nothing is left of a failed write."""
+    def write(self, path: str, content: bytes, make: bool = True) -> None:
+        """The file appears under its name only when complete; nothing is left of a failed write.
+
+        Without ``make`` its folder has to be there.
+        """
         store, target = self._at(path)
-        store.create_dir(target.rpartition("/")[0], recursive=True)
+        if make:
+            store.create_dir(target.rpartition("/")[0], recursive=True)
         partial = f"{target}.{uuid.uuid4().hex}.tmp"
         try:
             with store.open_output_stream(partial) as out:

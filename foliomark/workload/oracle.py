@@ -420,6 +420,13 @@ ORACLE: dict[str, str] = {
     "scan_flat": f"SELECT {FILE_NAME} AS name, text FROM documents",
     "scan_tree": f"""SELECT CASE WHEN source = 'src1' THEN '_src1/in' ELSE source END || '/' || {FILE_NAME} AS rel_path, text FROM documents""",
     "write_markdown": f"""SELECT doc_id, {FILE_NAME} AS name, 'written' AS status, CAST(NULL AS VARCHAR) AS error FROM documents""",
+    "exported_images": sql("""SELECT 'images/' || source || '-' || doc_id || '/' || name AS rel_path, line AS content
+        FROM images JOIN (SELECT doc_id, source FROM documents) USING (doc_id)"""),
+    "exported_manifest": sql("""SELECT 'text' AS kind, '/in/' || source || '-' || doc_id || '.pdf' AS path,
+          source || '-' || doc_id || '.md' AS name, 'written' AS status, NULL::VARCHAR AS error FROM documents
+        UNION ALL SELECT 'image', '/in/' || source || '-' || doc_id || '.pdf#' || (i // 4 + 1) || '.' || (i % 4 + 1),
+          'page_' || (i // 4 + 1) || '_img_' || (i % 4 + 1) || '.png', CASE WHEN contains(line, '|') THEN 'failed' ELSE 'written' END,
+          CASE WHEN contains(line, '|') THEN 'no content' END FROM doc_lines"""),
     "file_fates": f"""SELECT name, fate, CASE WHEN length(t) % 10 = 0 THEN 'failed' ELSE 'converted' END AS outcome,
           CASE WHEN length(t) % 10 = 0 THEN 'a multiple of ten' END AS error FROM ({CHANGED})""",
     "changed_corpus": f"""SELECT CASE WHEN source = 'src1' THEN '_src1/in' ELSE source END || '/' || name AS rel_path, t AS text,

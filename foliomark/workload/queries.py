@@ -22,8 +22,9 @@ from foliomark.functions.text import collapse_newlines, lines_of, strip
 from foliomark.operators import chunking, documents, pages
 from foliomark.operators.spool import checkpoint_folder, remove
 from foliomark.operators.unnest import unnest
-from foliomark.plans.convert import ConvertOptions, convert
+from foliomark.plans.convert import ConvertOptions, convert, convert_files
 from foliomark.sources import files, sinks
+from foliomark.sources.document_files import export_documents
 from foliomark.sources.listing import listing
 from foliomark.sources.stores import Stores, qualified
 from foliomark.streaming.incremental import convert_changes, convert_new, current_corpus, new_files
@@ -575,6 +576,42 @@ def write_markdown(spark, sf_dir):
     return listing.select(F.col("path").cast("long").alias("doc_id"), name.alias("name"), "status", "error")
 
 
+def _by_lines() -> files.Extractor:
+    """A parser hook: four lines are a page, every line of it an image, lines with a pipe failed ones."""
+
+    def parse(content: bytes) -> list[dict]:
+        found = content.decode("utf-8").split("\n")
+        pages = [found[k : k + 4] for k in range(0, len(found), 4)]
+        return [{"text": "\n".join(p), "images": [None if "|" in x else x.encode() for x in p]} for p in pages]
+
+    return parse
+
+
+def _with_images(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Conversion and export of all documents with their images, from one run of the parser."""
+    base = f"{checkpoint_folder(spark)}/images-{uuid.uuid4().hex}"
+    name = F.concat(F.lit("/in/"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    docs = views.documents(spark, sf_dir).select(name.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    placed = files.with_identity(docs, f"{base}/out")
+    done = convert_files(placed, _by_lines(), ConvertOptions(tables=False, extract_images=True))
+    return base, export_documents(done, f"{base}/manifest")
+
+
+@query
+def exported_images(spark, sf_dir):
+    """The image files of that export, read back."""
+    base, _ = _with_images(spark, sf_dir)
+    found = files.scan_tree(spark, f"{base}/out", "*.png")
+    return found.select("rel_path", F.col("content").cast("string").alias("content"))
+
+
+@query
+def exported_manifest(spark, sf_dir):
+    """A row for every text and image of that export."""
+    _, rows = _with_images(spark, sf_dir)
+    return rows.select("kind", "path", files.file_name(F.col("out_path")).alias("name"), "status", "error")
+
+
 # A folder that changes -----------------------------------------------------------------------------
 
 
