@@ -397,6 +397,21 @@ ORACLE: dict[str, str] = {
         FROM paras_text JOIN (SELECT doc_id, {strip("string_agg(' <' || chunk || '> ', chr(10) || chr(10) ORDER BY chunk_no)")} AS r
           FROM chunks GROUP BY doc_id) USING (doc_id)"""),
     "transform_documents": sql(f"""SELECT doc_id, {strip("replace(text, ' ', '_')")} AS text, true AS transformed FROM paras_text"""),
+    **{
+        name: sql(f"""SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line
+          FROM (SELECT doc_id, string_split({text}, chr(10)) AS l FROM {source})""")
+        for name, source, text in (
+            ("long_artifacts", "noisy", no_placeholders("replace(text, '�', '')")),
+            ("long_picture_blocks", "pictured", "text"),
+            ("long_headers", "deduped", "text"),
+            ("long_blank_lines", "noisy", squeeze(rstrip_lines("text"))),
+            ("long_levels", "levelled", "text"),
+            ("long_tables", "repaired", "text"),
+            ("cleanup_lines", "clean", "text[:-2]"),
+        )
+    },
+    "paragraph_rows": sql("SELECT doc_id, n AS para_no, p AS paragraph FROM paras"),
+    "pack_paragraphs": sql("SELECT doc_id, chunk_no::BIGINT AS chunk_no, chunk FROM packed_small"),
     "timed_chunks": sql("""SELECT doc_id, chunk_no::INT AS chunk_no, n_chunks,
         CASE WHEN length(chunk) % 499 <> 7 THEN replace(chunk, ' ', '_') END AS result,
         CASE WHEN length(chunk) % 499 = 7 THEN 'time-out' END AS error FROM chunks"""),

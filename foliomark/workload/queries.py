@@ -19,8 +19,8 @@ from foliomark.functions import images as _images
 from foliomark.functions import tables as _tables
 from foliomark.functions.lines import is_bullet, is_caps_heading, is_numbered
 from foliomark.functions.text import collapse_newlines, lines_of, strip
-from foliomark.operators import chunking, documents, pages
-from foliomark.operators.spool import checkpoint_folder, remove
+from foliomark.operators import chunking, documents, long_chunks, long_documents, pages
+from foliomark.operators.spool import Scratch, checkpoint_folder, remove
 from foliomark.operators.unnest import unnest
 from foliomark.plans.convert import ConvertOptions, convert, convert_files
 from foliomark.sources import files, sinks
@@ -442,6 +442,49 @@ def cascade_attempts(spark, sf_dir):
     return chunking.cascade(_paragraph_docs(spark, sf_dir), _modes()).attempts
 
 
+# Documents larger than a row ---------------------------------------------------------------------
+
+# Small runs, so that every document of the given tables goes over several of them.
+RUN = 16
+
+
+def _on_line_table(name: str, step: Callable) -> None:
+    """Register a step on line tables over the lines of the noisy documents."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scratch = Scratch(spark, "lines")
+        lines = scratch.spool(_noisy_lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line"))
+        return step(scratch, lines, RUN)
+
+    QUERIES[name] = run
+
+
+for _name, _line_step in {
+    "long_artifacts": long_documents.drop_artifacts,
+    "long_picture_blocks": long_documents.picture_blocks,
+    "long_headers": long_documents.repeated_headers,
+    "long_blank_lines": long_documents.blank_lines,
+    "long_levels": long_documents.header_levels,
+    "long_tables": long_documents.table_separators,
+    "cleanup_lines": lambda scratch, lines, span: long_documents.cleanup_lines(lines, span, scratch),
+}.items():
+    _on_line_table(_name, _line_step)
+
+
+@query
+def paragraph_rows(spark, sf_dir):
+    """Paragraphs of line tables."""
+    lines = documents.doc_lines(_paragraph_docs(spark, sf_dir))
+    return long_chunks.paragraph_rows(lines, RUN)
+
+
+@query
+def pack_paragraphs(spark, sf_dir):
+    """Chunks of paragraph rows."""
+    paragraphs = chunking.paragraphs(_paragraph_docs(spark, sf_dir))
+    return long_chunks.pack_paragraphs(paragraphs, CHUNK_LIMIT // 4, RUN)
+
+
 # Files ---------------------------------------------------------------------------------------
 
 
