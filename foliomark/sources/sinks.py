@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliomark.functions.images import image_folder, image_name
-from foliomark.operators.spool import Scratch, spool
+from foliomark.operators.spool import Scratch
 from foliomark.sources.files import parent
 from foliomark.sources.stores import Stores
 
@@ -58,9 +58,16 @@ def mark_superseded(docs: DataFrame) -> DataFrame:
     return marked.select(*docs.columns, (alive & F.col("_lost").isNotNull()).alias("superseded"))
 
 
-def write_corpus(docs: DataFrame, folder: str) -> None:
-    """The corpus as a table, the form to use at scale."""
-    docs.write.mode("overwrite").parquet(folder)
+def write_corpus(docs: DataFrame, folder: str) -> dict[str, int]:
+    """The corpus as a table, the form to use at scale; returns how many documents were written and failed.
+
+    The counts are observed while the rows pass by, so nothing is read or parsed a second time.
+    """
+    failed = F.col("error").isNotNull() if "error" in docs.columns else F.lit(False)
+    seen = Observation()
+    counts = {"written": F.count(F.when(~failed, 1)), "failed": F.count(F.when(failed, 1))}
+    docs.observe(seen, *[c.alias(name) for name, c in counts.items()]).write.mode("overwrite").parquet(folder)
+    return {name: int(seen.get[name]) for name in counts}
 
 
 def export_markdown(docs: DataFrame, manifest_folder: str) -> DataFrame:
@@ -125,12 +132,11 @@ def _export(rows: DataFrame, manifest_folder: str) -> DataFrame:
 def manifest(docs: DataFrame) -> DataFrame:
     """``out_path, status, error`` of a converted corpus, ordered by path.
 
-    Written before it is sorted: a sort samples its input first, and a parser behind it
-    would run twice.
+    A plan only. A sort samples its input first, so give it a stored corpus (``write_corpus``) where a
+    parser is behind the rows.
     """
     status = F.when(F.col("error").isNotNull(), "failed").otherwise("written")
-    listing = docs.select("out_path", status.alias("status"), "error")
-    return spool(listing, "manifest").orderBy("out_path")
+    return docs.select("out_path", status.alias("status"), "error").orderBy("out_path")
 
 
 def manifest_counts(listing: DataFrame) -> DataFrame:

@@ -270,6 +270,15 @@ CTES["first_mode"] = f"""SELECT doc_id, count(*) AS n_calls, count(*) FILTER (ba
     FROM (SELECT doc_id, length(chunk) % 3 = 0 AS bad, {strip("replace(chunk, ' ', '_')")} = '' AS blank
       FROM chunks JOIN paras_text USING (doc_id) WHERE {strip("text")} <> '') GROUP BY doc_id"""
 
+KINDS = ("blank", "heading", "bullet", "numbered", "paragraph")
+CLEANED = ("c0", "c_pictured", "c_deduped", "c1", "c_levelled", "c_repaired", "clean")
+CTES["profiles"] = f"""SELECT doc_id, source, length(noisy.text) AS n_chars, n_lines, coalesce(n_headers, 0) AS n_headers,
+      coalesce(n_picture_blocks, 0) AS n_picture_blocks, {", ".join(f"n_{k}" for k in KINDS)},
+      {", ".join(f"length({a}.text) - length({b}.text) AS removed_{n}" for a, b, n in zip(("noisy", *CLEANED), CLEANED, ("artifacts", "pictures", "headers", "blanks", "levels", "tables", "end")))}
+    FROM noisy {" ".join(f"JOIN {c} USING (doc_id)" for c in CLEANED)}
+    JOIN (SELECT doc_id, count(*) AS n_lines, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)} FROM kinds GROUP BY doc_id) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n_headers FROM headers GROUP BY doc_id) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n_picture_blocks FROM blocks GROUP BY doc_id) USING (doc_id)"""
 CTES["paths"] = """SELECT doc_id, source || '/d' || (doc_id % 50) || (['.pdf', '.PDF', '.Pdf', '.txt'])[doc_id % 4 + 1] AS rel_path
     FROM documents"""
 CTES["named"] = r"""SELECT doc_id, rel_path, '/in/' || rel_path AS path, regexp_extract(rel_path, '[^/]*$') AS name,
@@ -412,6 +421,15 @@ ORACLE: dict[str, str] = {
     },
     "paragraph_rows": sql("SELECT doc_id, n AS para_no, p AS paragraph FROM paras"),
     "pack_paragraphs": sql("SELECT doc_id, chunk_no::BIGINT AS chunk_no, chunk FROM packed_small"),
+    "structure_profile": sql("SELECT * EXCLUDE (source) FROM profiles"),
+    "profile_totals": sql(f"""SELECT source, count(*) AS n_docs, {", ".join(f"sum({c})::BIGINT AS {c}" for c in (
+        "n_chars", "n_lines", "n_headers", "n_picture_blocks", *(f"n_{k}" for k in KINDS),
+        *(f"removed_{s}" for s in ("artifacts", "pictures", "headers", "blanks", "levels", "tables", "end"))))} FROM profiles GROUP BY source"""),
+    "sql_transform": sql("""SELECT doc_id, chunk_no::INT AS chunk_no, n_chunks, replace(chunk, ' ', '_') AS result,
+        NULL::VARCHAR AS error FROM chunks"""),
+    "sql_pages": sql("""SELECT doc_id, page_no, text, NULL::VARCHAR AS error FROM paged JOIN page_counts USING (doc_id) WHERE n > 1
+        UNION ALL SELECT doc_id, NULL, NULL, 'ValueError: single page' FROM page_counts WHERE n = 1"""),
+    "written_counts": sql("SELECT CASE WHEN n = 1 THEN 'failed' ELSE 'written' END AS status, count(*) AS n FROM page_counts GROUP BY 1"),
     "timed_chunks": sql("""SELECT doc_id, chunk_no::INT AS chunk_no, n_chunks,
         CASE WHEN length(chunk) % 499 <> 7 THEN replace(chunk, ' ', '_') END AS result,
         CASE WHEN length(chunk) % 499 = 7 THEN 'time-out' END AS error FROM chunks"""),

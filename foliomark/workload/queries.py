@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from foliomark.functions import chunks as _chunks
 from foliomark.functions import cleanup as _cleanup
 from foliomark.functions import headers as _headers
+from foliomark.functions import hooks
 from foliomark.functions import images as _images
 from foliomark.functions import tables as _tables
 from foliomark.functions.lines import is_bullet, is_caps_heading, is_numbered
 from foliomark.functions.text import collapse_newlines, lines_of, strip
-from foliomark.operators import chunking, documents, long_chunks, long_documents, pages
+from foliomark.operators import chunking, documents, long_chunks, long_documents, pages, profile
 from foliomark.operators.spool import Scratch, checkpoint_folder, remove
 from foliomark.operators.unnest import unnest
 from foliomark.plans.convert import ConvertOptions, convert, convert_files
@@ -569,7 +570,9 @@ def quarantine(spark, sf_dir):
 @query
 def manifest(spark, sf_dir):
     path = F.concat(F.lit("/out/"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return sinks.manifest(_extracted(spark, sf_dir).withColumn("out_path", path))
+    # written once, so that the sort does not run the parser again
+    read = _extracted(spark, sf_dir).select(path.alias("out_path"), "error")
+    return sinks.manifest(Scratch(spark, "manifest").spool(read))
 
 
 @query
@@ -577,6 +580,47 @@ def manifest_counts(spark, sf_dir):
     return sinks.manifest_counts(manifest(spark, sf_dir))
 
 
+@query
+def written_counts(spark, sf_dir):
+    """The same counts, observed while the corpus is written."""
+    scratch = Scratch(spark, "corpus")
+    counts = sinks.write_corpus(_extracted(spark, sf_dir), f"{scratch.root}/corpus")
+    scratch.release()
+    return spark.createDataFrame([(k, n) for k, n in counts.items() if n], "status string, n long")
+
+
+@query
+def sql_pages(spark, sf_dir):
+    """Pages by a parser in SQL text: a table function with LATERAL."""
+    hooks.register_parser(spark, "parse_by_form_feed", _by_form_feed())
+    text = F.array_join(F.transform("pages", lambda p: p["text"]), "\f")
+    raw = views.noisy_paged(spark, sf_dir).select("doc_id", F.encode(text, "UTF-8").alias("content"))
+    return spark.sql(
+        "SELECT d.doc_id, p.page_no, p.text, p.error FROM {raw} d, LATERAL parse_by_form_feed(d.content) p", raw=raw
+    )
+
+
+@query
+def sql_transform(spark, sf_dir):
+    """Chunks transformed in SQL text."""
+    hooks.register_transform(spark, "underscored", _underscore())
+    return spark.sql(
+        "SELECT c.doc_id, c.chunk_no, c.n_chunks, t.result, t.error FROM {chunks} c, LATERAL underscored(c.chunk) t",
+        chunks=chunk_documents(spark, sf_dir),
+    )
+
+
+@query
+def structure_profile(spark, sf_dir):
+    """What every noisy document consists of and what cleanup removes."""
+    return profile.structure_profile(views.noisy_docs(spark, sf_dir))
+
+
+@query
+def profile_totals(spark, sf_dir):
+    return profile.profile_totals(profile.structure_profile(views.noisy_docs(spark, sf_dir), "source"), "source")
+
+
 # Files out and back ------------------------------------------------------------------------------
 
 
