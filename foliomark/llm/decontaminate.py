@@ -5,8 +5,9 @@ window is the set of its shingles of five words. A window is only contained if a
 so one of them is its necessary prefix: the one that is rarest in the documents.
 
 1. The documents are read once. Shingles that some window has are found by a bit table of fixed size;
-   words covered by them without a gap form a run. Runs shorter than the shortest window are left out.
-2. Equal runs are joined once, however many documents hold them.
+   words covered by them without a gap form a run. Runs shorter than the shortest window are left out,
+   long ones are cut into pieces that overlap by a window less a word, so every window lies in one.
+2. Equal pieces are joined once, however many documents hold them.
 3. Shingle counts over all documents order the shingles of each window. Windows with a shingle that
    no document has are gone; the others join by their rarest shingle.
 4. Its positions in run and window fix where the window would lie; it has to lie inside the run, and
@@ -31,6 +32,8 @@ from foliomark.operators.spool import Scratch
 
 WINDOW = 10
 SHINGLE = 5
+#: words after which a run is cut; the next piece begins there, and a piece goes on for a window less a word
+PIECE = 32
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,8 +105,8 @@ def shingled(texts: DataFrame, sizes: list[int]) -> DataFrame:
     return map_batches(texts.select("words"), step, "words string, at int, shingle long")
 
 
-def covered_runs(docs: DataFrame, known: Broadcast, sizes: list[int], shortest: int) -> DataFrame:
-    """Each document with its number of words and its runs of words covered by known shingles."""
+def covered_runs(docs: DataFrame, known: Broadcast, sizes: list[int], shortest: int, longest: int) -> DataFrame:
+    """Each document with its number of words and the pieces of its runs of words covered by known shingles."""
 
     def step():  # noqa: ANN202
         values, bits = byte_values(lower=False), known.value
@@ -126,6 +129,11 @@ def covered_runs(docs: DataFrame, known: Broadcast, sizes: list[int], shortest:
                 touch = begins[1:-1][(begins[1:-1] > 0) & (begins[1:-1] < len(hashes))]
                 touch = np.unique(touch[inside[touch] & inside[touch + 1]])
                 first, last = np.union1d(first, touch), np.union1d(last, touch)
+                # pieces of each run: one begins every PIECE words, and reaches as far as its last window can
+                many = -(-(last - first) // PIECE)
+                end = np.repeat(last, many)
+                first = ragged_steps(first, many)
+                last = np.minimum(first + PIECE + longest - 1, end)
                 long = last - first >= shortest
                 runs: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
@@ -147,6 +155,36 @@ def covered_runs(docs: DataFrame, known: Broadcast, sizes: list[int], shortest:
     return map_batches(docs, step, f"row_id long, doc_id {kind}, n_words long, runs array<struct<at:long,words:string>>")
 
 
+def ragged_steps(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Begin of each piece: ``first``, ``first + PIECE``, ... of each run."""
+    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(first, many) + at * PIECE
+
+
+def _joined_spans(hits: DataFrame) -> DataFrame:
+    """(row_id, spans, items) with spans of different pieces joined where they meet; linear in the spans."""
+
+    def step():  # noqa: ANN202
+        span = pa.struct([("first", pa.int64()), ("last", pa.int64())])
+
+        def merged(spans: list[dict]) -> list[dict]:
+            out: list[dict] = []
+            for s in sorted(spans, key=lambda s: s["first"]):
+                if out and s["first"] <= out[-1]["last"]:
+                    out[-1]["last"] = max(out[-1]["last"], s["last"])
+                else:
+                    out.append(dict(s))
+            return out
+
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            spans = pa.array([merged(x) for x in batch.column("spans").to_pylist()], pa.list_(span))
+            yield pa.record_batch({"row_id": batch.column("row_id"), "spans": spans, "items": batch.column("items")})
+
+        return each
+
+    return map_batches(hits, step, f"row_id long, spans array<struct<first:long,last:long>>, items {dict(hits.dtypes)['items']}")
+
+
 def _merged(spans: Column) -> Column:
     """Sorted disjoint (first, last) spans, ends exclusive, of spans that may overlap."""
     empty = F.array().cast("array<struct<first:long,last:long>>")
@@ -176,14 +214,14 @@ def contained_items(
     items = items.select("item_id", F.col("text").cast("string").alias("text"))
     windows = scratch.spool(item_windows(items, window))
     sizes = sorted({min(shingle, r["size"]) for r in windows.select("size").distinct().collect()})
-    shortest = windows.agg(F.min("size")).first()[0] or window
+    shortest, longest = (x or window for x in windows.agg(F.min("size"), F.max("size")).first())
     own = scratch.spool(_own_shingles(windows.select("words", "size").distinct(), sizes, shingle))
     known = bit_table(own.select("shingle"), "shingle")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *([F.col(row_id).alias("row_id")] if row_id else []))
     rows = rows if row_id else numbered(rows)
-    read = scratch.spool(covered_runs(rows, known, sizes, shortest))
+    read = scratch.spool(covered_runs(rows, known, sizes, shortest, longest))
     runs = read.select("row_id", F.explode("runs").alias("run")).select("row_id", "run.at", "run.words")
-    # equal runs once, with the number of their occurrences
+    # equal pieces once, with the number of their occurrences
     once = scratch.spool(runs.groupBy("words").agg(F.count("*").alias("n")))
     inside = scratch.spool(shingled(once, sizes))
     counts = inside.join(once, "words").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -223,8 +261,9 @@ def contained_items(
         runs.join(hits, "words")
         .select("row_id", moved.alias("spans"), "items")
         .groupBy("row_id")
-        .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     )
+    by_doc = _joined_spans(by_doc)
     kind = dict(items.dtypes)["item_id"]
     spans_type = "array<struct<first:long,last:long>>"
     return read.join(by_doc, "row_id", "left").select(
