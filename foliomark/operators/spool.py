@@ -45,6 +45,12 @@ class Scratch:
             if path:
                 remove(self.spark, path)
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete all spooled tables but these."""
+        kept = {id(frame) for frame in frames}
+        for key in [k for k in self.paths if k not in kept]:
+            remove(self.spark, self.paths.pop(key))
+
     def release(self) -> None:
         """Delete everything of this owner; tables read from it are of no use afterwards."""
         self.paths.clear()
