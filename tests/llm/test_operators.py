@@ -82,6 +82,51 @@ def test_big_blocks_are_cut_and_stay_whole(spark, texts, monkeypatch):
     same(found, jaccard_components(texts))
 
 
+def test_chains_around_the_threshold(spark, monkeypatch):
+    """Groups in which most pairs just fail and some just hold, settled in blocks of any size."""
+    rng = random.Random(12)
+    rows = []
+    for group in range(6):
+        words = [f"g{group}w{k}" for k in range(rng.choice([12, 60, 150]))]
+        for _ in range(25):
+            if rng.random() < 0.5:
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            some = list(words)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                some[rng.randrange(len(some))] = f"y{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(some)))
+    expected = jaccard_components(rows)
+    for block, shingles in ((2048, 1 << 20), (4, 1 << 20), (2048, 200)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", shingles)
+        found = jaccard_join.joined(docs_of(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+        same(found, expected)
+
+
+def test_fine_counts_lose_no_link():
+    rng = np.random.default_rng(3)
+    sets = []
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    for _ in range(40):
+        some = np.unique(np.concatenate([rng.choice(base, rng.integers(150, 290), replace=False), rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64)]))
+        sets.append(some)
+
+    def counts(x, groups):
+        return jaccard_join.from_nibbles(jaccard_join.nibbles(np.bincount((x % np.uint64(groups)).astype(np.int64), minlength=groups)))
+
+    sizes = np.array([len(x) for x in sets])
+    fine = [counts(x, jaccard_join.fine_number(len(x))) for x in sets]
+    coarse = [counts(x, jaccard_join.group_number(len(x))) for x in sets]
+    points = jaccard_join.Candidates(sizes, coarse, fine)
+    found = {(min(i, j), max(i, j)) for i in range(40) for j in points.near(i).tolist() if i != j}
+    for i in range(40):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            assert jaccard_join._shared(sets[i], sets[j]) == shared
+            if 100 * shared >= 75 * (len(sets[i]) + len(sets[j]) - shared):
+                assert (j, i) in found
+
+
 def test_tree_bound_loses_nothing():
     rng = np.random.default_rng(1)
     counts = rng.poisson(3, (500, jaccard_join.LEAST_GROUPS)).astype(np.int64)
