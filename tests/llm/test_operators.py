@@ -118,7 +118,7 @@ def test_fine_counts_lose_no_link():
     fine = [counts(x, jaccard_join.fine_number(len(x))) for x in sets]
     coarse = [counts(x, jaccard_join.group_number(len(x))) for x in sets]
     points = jaccard_join.Candidates(sizes, coarse, fine)
-    found = {(min(i, j), max(i, j)) for i in range(40) for j in points.near(i).tolist() if i != j}
+    found = {(min(i, j), max(i, j)) for i in range(40) for j in points.similar(i, points.near(i)).tolist() if i != j}
     for i in range(40):
         for j in range(i):
             shared = len(np.intersect1d(sets[i], sets[j]))
