@@ -31,6 +31,27 @@ def _without(rows: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
     return rows.join(gone.select("row_id"), "row_id", "left_anti").drop("row_id").toDF(*names)
 
 
+#: the numbered copies of their input that stages have written, by stage
+_copies: dict[str, Scratch] = {}
+
+
+def _numbered(spark: SparkSession, rows: DataFrame, stage: str) -> DataFrame:
+    """The rows with a number, written once.
+
+    What earlier stages wrote this way goes: their results have been written and read again by now.
+    """
+    _release_before(stage)
+    _copies[stage] = Scratch(spark, stage)
+    return _copies[stage].spool(numbered(rows))
+
+
+def _release_before(stage: str) -> None:
+    names = [name for name, _ in STAGES]
+    for name in names[: names.index(stage)]:
+        if name in _copies:
+            _copies.pop(name).release()
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and those without any letter. Learns from the input.
 
@@ -48,7 +69,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the least doc_id; texts without words stay."""
     rows, names = _renamed(docs)
-    rows = Scratch(spark, "near-duplicates").spool(numbered(rows))
+    rows = _numbered(spark, rows, "jaccard_join")
     groups = jaccard_join.joined(rows, "row_id")
     gone = groups.select("row_id").join(jaccard_join.first_of_each(groups), "row_id", "left_anti")
     return _without(rows, gone, names)
@@ -57,7 +78,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     rows, names = _renamed(docs)
-    rows = Scratch(spark, "decontamination").spool(numbered(rows))
+    rows = _numbered(spark, rows, "decontamination")
     found = decontaminate.contained_items(rows, table(spark, sf_dir, "benchmark", "item_id", "text"), row_id="row_id")
     return _without(rows, found.filter("n_hit > 0"), names)
 
@@ -65,7 +86,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets; ``n_chars``, where there is one, follows the text."""
     rows, names = _renamed(docs)
-    rows = Scratch(spark, "personal-data").spool(numbered(rows))
+    rows = _numbered(spark, rows, "pii")
     spans = pii.personal_data(rows, "row_id").select("row_id", "spans").filter(F.size("spans") > 0)
     text = pii.redacted(F.col("text").cast("string"), F.col("spans"))
     # a column of its own first: inside lambdas, Spark takes a name for the new column of that name
@@ -86,6 +107,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
     import public_tokenizers
 
+    _release_before("packing")
     return packing.packed(docs, public_tokenizers.path(TOKENIZER))
 
 
