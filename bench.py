@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -25,21 +26,33 @@ HEADLINE = (
     "fallback_to_original", "convert_pages", "superseded_outputs",
 )
 REPEATS = 3
+FILES = 16
+
+
+def in_many_files(spark, sf_dir: str) -> str:
+    """The tables with the documents in several files: the given one is a single row group, so one task's work."""
+    folder = tempfile.mkdtemp(prefix="bench-")
+    for table in Path(sf_dir).glob("*.parquet"):
+        if table.name != "documents.parquet":
+            os.symlink(table, f"{folder}/{table.name}")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(FILES).write.parquet(f"{folder}/documents.parquet")
+    return folder
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables = in_many_files(spark, sf_dir)
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
     n_docs = docs.count()
 
     def run(name: str) -> float:
         started = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        QUERIES[name](spark, tables).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - started
 
     # The operator alone, on texts written beforehand.
-    noisy = spool(views.noisy_docs(spark, sf_dir), "bench")
+    noisy = spool(views.noisy_docs(spark, tables), "bench")
 
     def cleanup_alone() -> float:
         started = time.perf_counter()
@@ -60,6 +73,7 @@ def main() -> None:
                 "queries": seconds,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
                 "documents": n_docs,
+                "tasks": {"documents": docs.rdd.getNumPartitions(), "cleanup": documents.cleanup(noisy).rdd.getNumPartitions()},
                 "cleanup_alone": {"seconds": alone, "chars": chars},
                 "docs_per_sec": {
                     name: round(n_docs / seconds[name]) for name in ("cleanup", "classify_lines", "chunk_documents")
