@@ -2,7 +2,7 @@
 
 A language is a distribution over hashed letter trigrams, counted over all labelled texts. In a text
 every word comes from one of the languages; expectation-maximisation estimates the proportions from
-the words' likelihoods. It runs over sets of one language and more, those with the largest
+the words' likelihoods, until no proportion moves. It runs over sets of one language and more, those with the largest
 proportions, and the set with the best penalised likelihood counts. A text's sets grow up to all
 languages, as long as the likelihood that any mixture could reach outweighs the penalty.
 """
@@ -25,7 +25,8 @@ from foliomark.llm.words import bytes_outside, slices, text_bytes, word_spans
 CELLS = 1 << 24
 MOST_BITS = 16
 SMOOTHING = 0.5
-STEPS = 5
+#: expectation-maximisation of a text ends when no proportion moves by more
+STILL = 1e-4
 FLOOR = -14.0
 SLICE = 1 << 20
 HELD_LANGUAGES = 64
@@ -108,17 +109,24 @@ def train(labelled: DataFrame) -> Model:
     return Model(languages, scores.astype(np.float32))
 
 
-def _steps(likely: np.ndarray, shares: np.ndarray, text: np.ndarray, begins: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after some steps of expectation-maximisation, and the log likelihood they had before the last."""
-    sizes = np.diff(begins)[:, None]
-    total = np.zeros(len(shares))
-    for _ in range(steps):
-        joint = likely * shares[text]
+def _settled(likely: np.ndarray, shares: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where expectation-maximisation settles from ``shares``, and the log likelihood before its last step.
+
+    ``n`` is the number of words of each text. A text is done when none of its proportions moves by more
+    than ``STILL``, whatever other texts it lies with; every step raises its likelihood, so this ends.
+    """
+    out, value = shares.copy(), np.zeros(len(shares))
+    open_ = np.arange(len(shares))
+    while len(open_):
+        begins = np.concatenate([[0], np.cumsum(n)[:-1]])
+        joint = likely * np.repeat(shares, n, axis=0)
         each = joint.sum(axis=1)
         joint /= each[:, None]
-        total = np.add.reduceat(np.log(each), begins[:-1])
-        shares = np.add.reduceat(joint, begins[:-1], axis=0) / sizes
-    return shares, total
+        after = np.add.reduceat(joint, begins, axis=0, dtype=np.float64) / n[:, None]
+        moving = np.abs(after - shares).max(axis=1) > STILL
+        out[open_], value[open_] = after, np.add.reduceat(np.log(each), begins, dtype=np.float64)
+        likely, shares, open_, n = likely[np.repeat(moving, n)], after[moving].astype(np.float32), open_[moving], n[moving]
+    return out, value
 
 
 def _bound(likely: np.ndarray, shares: np.ndarray, text: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -143,7 +151,7 @@ def proportions(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(some)), np.diff(begins))
     n, count = np.diff(begins), len(model.languages)
     even = np.full((len(some), count), 1 / count, dtype=np.float32)
-    shares, _ = _steps(likely, even, text, begins, STEPS)
+    shares, _ = _settled(likely, even, n)
     rank = np.argsort(np.argsort(-shares, axis=1, kind="stable"), axis=1, kind="stable")
     best = np.full(len(some), -np.inf)
     chosen = np.zeros_like(shares)
@@ -156,11 +164,10 @@ def proportions(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # only the words of texts that a larger set may still fit better
         is_open = np.zeros(len(n), dtype=bool)
         is_open[open_] = True
-        own, own_text = likely[is_open[text]], np.repeat(np.arange(len(open_)), n[open_])
-        own_begins = np.concatenate([[0], np.cumsum(n[open_])])
+        own = likely[is_open[text]]
         start = np.where(rank[open_] < size, shares[open_] + np.float32(1e-6), 0).astype(np.float32)
         start /= start.sum(axis=1, keepdims=True)
-        found, value = _steps(own, start, own_text, own_begins, 1 if size == 1 else STEPS)
+        found, value = _settled(own, start, n[open_])
         value = value - penalty[open_]
         better = value > best[open_]
         best[open_[better]], chosen[open_[better]] = value[better], found[better]

@@ -7,11 +7,17 @@ The base patterns give emails, addresses, cards and phones with their places. Th
    naming word (``NAMED``, as in ``token = "..."``), up to its closing quote or white space, is a seed
    and a span of kind ``id`` by itself, unless a base entity covers it. The one to three units of text
    before an instance, whatever they hold, are its lexical patterns; a single one needs a letter.
+   Units come from the ``CONTEXT`` characters before the instance, which is part of what a pattern is.
 2. Patterns and instances are a graph, with one edge for each pair however often it occurs. A pattern's
    score is the mean score of its instances, shrunk by ``PRIOR`` instances of score 0; an instance's
-   score is that of its best pattern, 1 for seeds. ``ROUNDS`` rounds of joins and sums spread them.
+   score is that of its best pattern, 1 for seeds. ``ROUNDS`` rounds of joins and sums spread them. Their
+   number is part of the definition: with ever more rounds a pattern's own instances would lift it to
+   seeds / (seeds + 1), whatever share of its instances the seeds are.
 3. Patterns that reach ``CONFIDENT`` over at least ``SUPPORT`` different instances discover: the
    tokens in their contexts that no seed overlaps become spans of kind ``id``.
+
+Within a text, entities, named values and tokens are sorted together and looked at in one pass. The base
+entities stay in their rows; only rows with further spans are joined.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomark.functions.text import let
+from foliomark.llm.bits import parted
 from foliomark.llm.tables import numbered, table
 from foliomark.operators.spool import Scratch
 
@@ -51,7 +58,9 @@ CONFIDENT = 0.7
 RUN = 256
 
 SPAN = "struct<rank:int,start:long,end:long>"
+SPANS = f"array<{SPAN}>"
 FOUND_TYPE = "array<struct<start:long,end:long,match:string,before:string>>"
+REACH = "struct<entity:long,other:long>"
 
 
 def placed(text: Column, pattern: str) -> Column:
@@ -72,7 +81,6 @@ def placed(text: Column, pattern: str) -> Column:
         return (F.char_length(p["before"]) + F.char_length(p["match"])).cast("long")
 
     def places(some: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(some) - 1) / RUN).cast("int")), lambda k: F.slice(some, k * RUN + 1, F.lit(RUN)))
         empty = F.array().cast(FOUND_TYPE)
 
         def in_run(state: Column, run: Column) -> Column:
@@ -93,7 +101,7 @@ def placed(text: Column, pattern: str) -> Column:
             return let(done, lambda d: F.struct(d["at"].alias("at"), d["tail"].alias("tail"), F.concat(state["out"], F.array(d["out"])).alias("out")))
 
         start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{FOUND_TYPE}>").alias("out"))
-        return F.flatten(F.aggregate(runs, start, in_run)["out"])
+        return F.flatten(F.aggregate(in_runs(some), start, in_run)["out"])
 
     return let(pairs, lambda some: F.when(F.size(some) > 0, places(some)).otherwise(
         F.array().cast(FOUND_TYPE)
@@ -176,35 +184,78 @@ def patterns_before(before: Column) -> Column:
     ))
 
 
+def in_runs(some: Column) -> Column:
+    """A non-empty array in slices of ``RUN``, so that what grows by appending stays short."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(some) - 1) / RUN).cast("int")), lambda k: F.slice(some, k * RUN + 1, F.lit(RUN)))
+
+
+def reaches(events: Column) -> Column:
+    """For each of ``events(start, tag, end, ...)`` the greatest end of the entities before it, and of all but tokens."""
+
+    def add(state: Column, e: Column) -> Column:
+        one = F.struct(state["entity"].alias("entity"), state["other"].alias("other"))
+        return F.struct(
+            F.when(e["tag"] == 0, F.greatest(state["entity"], e["end"])).otherwise(state["entity"]).alias("entity"),
+            F.when(e["tag"] < 2, F.greatest(state["other"], e["end"])).otherwise(state["other"]).alias("other"),
+            F.concat(state["out"], F.array(one)).alias("out"),
+        )
+
+    def in_run(state: Column, run: Column) -> Column:
+        empty = F.array().cast(f"array<{REACH}>")
+        done = F.aggregate(run, F.struct(state["entity"].alias("entity"), state["other"].alias("other"), empty.alias("out")), add)
+        return let(done, lambda d: F.struct(
+            d["entity"].alias("entity"), d["other"].alias("other"), F.concat(state["out"], F.array(d["out"])).alias("out")
+        ))
+
+    nothing = F.lit(-1).cast("long")
+    start = F.struct(nothing.alias("entity"), nothing.alias("other"), F.array().cast(f"array<array<{REACH}>>").alias("out"))
+    return F.flatten(F.aggregate(in_runs(events), start, in_run)["out"])
+
+
 def instances(text: Column, entities: Column, named: Column) -> Column:
     """Base entities, named values and tokens with a digit apart from them, with their patterns.
 
-    ``seed``: an entity or a named value; ``known``: covered by an entity.
+    ``seed``: an entity or a named value; ``known``: covered by an entity. All are sorted by start, of
+    equal ones entities first, then named values. Tokens do not overlap each other, so what a token meets
+    either begins before it and ends after its start, or is the next in order.
     """
     kind = "array<struct<start:long,end:long,token:string,patterns:array<string>,known:boolean,seed:boolean>>"
 
-    def one(m: Column, known: Column, seed: bool) -> Column:
-        return F.struct(
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            m["match"].alias("token"),
-            patterns_before(m["before"]).alias("patterns"),
-            known.alias("known"),
-            F.lit(seed).alias("seed"),
-        )
+    def tagged(found: Column, tag: int) -> Column:
+        return F.transform(found, lambda m: F.struct(
+            m["start"].alias("start"), F.lit(tag).alias("tag"), m["end"].alias("end"), m["match"].alias("match"), m["before"].alias("before")
+        ))
+
+    def judged(events: Column, before: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            reach, after = F.get(before, i), F.get(events, i + 1)
+            meets = (reach["other"] > e["start"]) | F.coalesce((after["tag"] < 2) & (after["start"] < e["end"]), F.lit(False))
+            return F.struct(
+                e.alias("e"),
+                ((e["tag"] < 2) | ~meets).alias("counts"),
+                ((e["tag"] == 0) | (e["tag"] == 1) & (reach["entity"] >= e["end"])).alias("known"),
+            )
 
-    def covered(m: Column) -> Column:
-        return F.exists(entities, lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))
+        return F.transform(events, one)
 
-    def apart(m: Column) -> Column:
-        meets = lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])
-        return ~F.exists(entities, meets) & ~F.exists(named, meets)
+    def written_out(j: Column) -> Column:
+        e = j["e"]
+        return F.struct(
+            e["start"].alias("start"),
+            e["end"].alias("end"),
+            e["match"].alias("token"),
+            patterns_before(e["before"]).alias("patterns"),
+            j["known"].alias("known"),
+            (e["tag"] < 2).alias("seed"),
+        )
 
-    tokens = F.filter(placed(text, TOKEN), lambda m: (m["end"] - m["start"] >= SHORTEST) & apart(m))
-    found = F.when(text.rlike("[0-9]"), F.transform(tokens, lambda m: one(m, F.lit(False), False))).otherwise(F.array().cast(kind))
-    return F.concat(
-        F.transform(entities, lambda m: one(m, F.lit(True), True)), F.transform(named, lambda m: one(m, covered(m), True)), found
-    )
+    tokens = F.filter(placed(text, TOKEN), lambda m: m["end"] - m["start"] >= SHORTEST)
+    tokens = F.when(text.rlike("[0-9]"), tokens).otherwise(F.array().cast(FOUND_TYPE))
+    every = F.array_sort(F.concat(tagged(entities, 0), tagged(named, 1), tagged(tokens, 2)))
+    found = let(every, lambda events: F.when(F.size(events) > 0, let(
+        reaches(events), lambda before: F.transform(F.filter(judged(events, before), lambda j: j["counts"]), written_out)
+    )))
+    return F.coalesce(found.cast(kind), F.array().cast(kind))
 
 
 def scored_patterns(scratch: Scratch, found: DataFrame) -> DataFrame:
@@ -225,49 +276,74 @@ def scored_patterns(scratch: Scratch, found: DataFrame) -> DataFrame:
     return patterns
 
 
-def personal_data(docs: DataFrame, row_id: str | None = None) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> (row_id, doc_id, spans), one row per row.
+def with_spans(docs: DataFrame, keep: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """``docs(text, ...)`` -> its columns, or those in ``keep``, and ``spans``, one row per row.
 
     ``spans`` is array<struct<rank, start, end>> in code points, ends exclusive, by start and kind;
-    ``rank`` counts in ``KINDS``. Null and empty texts have none. Repeated rows and null ids are
-    rows like others; equal tokens in equal contexts count once in the graph. ``row_id``: a long
-    column of ``docs`` that numbers its rows, made here if not given. Other columns are left out.
+    ``rank`` counts in ``KINDS``. Null and empty texts have none. Repeated rows and nulls elsewhere are
+    rows like others; equal tokens in equal contexts count once in the graph. A column of ``docs`` called
+    ``spans`` is replaced. What is written on the way, the kept columns once, belongs to ``scratch``.
     """
-    scratch = Scratch(docs.sparkSession, "pii")
+    scratch = scratch or Scratch(docs.sparkSession, "pii")
+    keep = [name for name in (docs.columns if keep is None else keep) if name != "spans"]
+    # columns by position, so that no name can clash with those made here
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), *([F.col(row_id).alias("row_id")] if row_id else []))
-    rows = (rows if row_id else numbered(rows)).withColumn("entities", base_entities(F.col("text")))
+    held = [f"c{k}" for k in range(len(keep))]
+    rows = numbered(docs.select(*(F.col(name).alias(c) for name, c in zip(keep, held, strict=True)), text.alias("text")))
+    rows = rows.withColumn("entities", base_entities(F.col("text")))
     rows = rows.withColumn("named", named_values(F.col("text")))
     found = instances(F.col("text"), F.col("entities"), F.col("named"))
-    read = scratch.spool(rows.select("row_id", "doc_id", in_order(F.col("entities")).alias("base"), found.alias("found")))
+    read = scratch.spool(rows.select("row_id", *held, in_order(F.col("entities")).alias("base"), found.alias("found")))
     found = read.select("row_id", F.explode("found").alias("f")).select("row_id", "f.*")
     patterns = scored_patterns(scratch, found.select("token", "patterns", "seed"))
     sure = patterns.filter((F.col("score") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern")
     more = found.filter("not known")
     discovered = more.filter("not seed").select("row_id", "start", "end", F.explode("patterns").alias("pattern")).join(sure, "pattern", "left_semi")
-    new = (
+    new = scratch.spool(
         more.filter("seed").select("row_id", "start", "end")
         .union(discovered.select("row_id", "start", "end"))
         .groupBy("row_id")
         .agg(F.collect_set(F.struct(F.lit(KINDS.index(FOUND)).alias("rank"), "start", "end")).alias("new"))
     )
-    out = read.select("row_id", "doc_id", "base").join(new, "row_id", "left")
+    may, clear = parted(read.drop("found"), new, "row_id")
+    joined = may.join(new, "row_id", "left")
     every = F.when(F.col("new").isNull(), F.col("base")).otherwise(in_order(F.concat("base", "new")))
-    return out.select("row_id", "doc_id", every.alias("spans"))
+    out = joined.select(*held, every.cast(SPANS).alias("spans")).union(clear.select(*held, F.col("base").cast(SPANS).alias("spans")))
+    return out.toDF(*keep, "spans")
+
+
+def personal_data(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> (doc_id, spans), one row per row, as ``with_spans`` gives them."""
+    return with_spans(docs, ["doc_id"])
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span, overlapping ones together, replaced by ``[KIND]`` of the first."""
+    """The text with each span, overlapping ones together, replaced by ``[KIND]`` of the first.
+
+    A run of spans is cut from the text first and its pieces from that, since a place in a text is found
+    by reading up to it.
+    """
     kinds = F.array(*(F.lit(f"[{kind.upper()}]") for kind in KINDS))
+    none = F.array().cast("array<string>")
+
+    def in_run(state: Column, run: Column) -> Column:
+        last = F.array_max(F.transform(run, lambda s: s["end"]))
+        region = F.substr(text, (state["at"] + 1).cast("int"), F.greatest(last - state["at"], F.lit(0)).cast("int"))
+
+        def cut(piece: Column) -> Column:
+            def add(inner: Column, s: Column) -> Column:
+                gap = F.substr(piece, (inner["at"] - state["at"] + 1).cast("int"), (s["start"] - inner["at"]).cast("int"))
+                more = F.struct(s["end"].alias("at"), F.concat(inner["out"], F.array(gap, F.get(kinds, s["rank"]))).alias("out"))
+                inside = F.struct(F.greatest(inner["at"], s["end"]).alias("at"), inner["out"].alias("out"))
+                return F.when(s["start"] < inner["at"], inside).otherwise(more)
+
+            return F.aggregate(run, F.struct(state["at"].alias("at"), none.alias("out")), add)
 
-    def add(state: Column, s: Column) -> Column:
-        gap = F.substr(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        more = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(gap, F.get(kinds, s["rank"]))).alias("out"))
-        inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-        return F.when(s["start"] < state["at"], inside).otherwise(more)
+        done = let(region, cut)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(d["out"], ""))).alias("out")))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(spans, start, add)
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    done = F.aggregate(in_runs(spans), start, in_run)
     whole = let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substr(text, (d["at"] + 1).cast("int"))))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 

@@ -5,7 +5,9 @@
    often each labeller votes on good and on bad ones, and so how often it is right. Texts with the same votes are one row with a count,
    so it sees all texts in at most 2 ** labellers rows.
 3. The posterior of each text's votes is its label. A logistic scorer over hashed word and shape
-   features is fitted to the labels of at most ``FIT_ROWS`` texts, and scores every text.
+   features is fitted to the labels of at most ``FIT_ROWS`` texts, and scores every text. The sample is
+   the texts with the least hashes of id and text, so that the same rows in other files or another order
+   give the same scores.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomark.llm.tables import map_batches, numbered, table
+from foliomark.llm.tables import map_batches, table
 from foliomark.llm.words import SPACED, byte_values, mixed, slices, text_bytes, word_hashes, word_spans
+from foliomark.operators.spool import Scratch
 
 #: votes
 GOOD, BAD, ABSTAIN = 1, 0, -1
@@ -118,10 +121,10 @@ def fit_labels(votes: np.ndarray, weights: np.ndarray) -> LabelModel:
 
 
 def voted(docs: DataFrame) -> DataFrame:
-    """``docs(row_id, doc_id, text)`` with an array of votes, in the order of ``voters``."""
+    """``docs(doc_id, text)`` with an array of votes, in the order of ``voters``."""
     text = F.coalesce("text", F.lit(""))
     measured = docs.withColumns(measures(text))
-    return measured.select("row_id", "doc_id", "text", F.array(*(v.cast("int") for v in voters().values())).alias("votes"))
+    return measured.select("doc_id", "text", F.array(*(v.cast("int") for v in voters().values())).alias("votes"))
 
 
 def features(texts: pa.Array, bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +161,7 @@ class Scorer:
 
 
 def hashed_rows(chosen: DataFrame) -> DataFrame:
-    """(votes, codes, shares): the features of each text of the sample, made where the texts are."""
+    """(hash, votes, codes, shares): the features of each text of the sample, made where the texts are."""
 
     def step():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -167,6 +170,7 @@ def hashed_rows(chosen: DataFrame) -> DataFrame:
                 begins = pa.array(np.searchsorted(rows, np.arange(part.num_rows + 1)), pa.int32())
                 yield pa.record_batch(
                     {
+                        "hash": part.column("hash"),
                         "votes": part.column("votes"),
                         "codes": pa.ListArray.from_arrays(begins, pa.array(codes, pa.int32())),
                         "shares": pa.ListArray.from_arrays(begins, pa.array(values, pa.float32())),
@@ -175,7 +179,7 @@ def hashed_rows(chosen: DataFrame) -> DataFrame:
 
         return each
 
-    return map_batches(chosen.select("text", "votes"), step, "votes array<int>, codes array<int>, shares array<float>")
+    return map_batches(chosen.select("hash", "text", "votes"), step, "hash long, votes array<int>, codes array<int>, shares array<float>")
 
 
 def fit_scorer(code_lists: pa.ListArray, value_lists: pa.ListArray, labels: np.ndarray) -> Scorer:
@@ -201,25 +205,43 @@ def fit_scorer(code_lists: pa.ListArray, value_lists: pa.ListArray, labels: np.n
     return Scorer(weights, bias)
 
 
+def sample_of(rows: DataFrame, total: int, fit_rows: int) -> pa.Table:
+    """The features of the ``fit_rows`` different rows with the least hashes, in the order of these.
+
+    A hash is within the bound with the share of rows wanted and six standard deviations, so what
+    is written first is little more than the sample.
+    """
+    share = min(1.0, (fit_rows + 6 * math.sqrt(fit_rows) + 1) / max(1, total))
+    bound = min(2**63 - 1, int((share - 0.5) * 2**64))  # xxhash64 is spread evenly over the longs
+    scratch = Scratch(rows.sparkSession, "quality")
+    hashed = rows.withColumn("hash", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    near = scratch.spool(voted(hashed.filter(F.col("hash") <= F.lit(bound)).select("doc_id", "text")).withColumn(
+        "hash", F.xxhash64(F.col("doc_id").cast("string"), "text")
+    ))
+    last = near.select("hash").distinct().orderBy("hash").limit(fit_rows).agg(F.max("hash")).first()[0]
+    chosen = near.filter(F.col("hash") <= F.lit(last)).dropDuplicates(["hash"])
+    out = hashed_rows(chosen).toArrow().sort_by("hash").combine_chunks()
+    scratch.release()
+    return out
+
+
 def scored(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> (doc_id, votes, label, score), one row per row.
 
     ``label`` is the posterior of the label model, ``score`` what the linear scorer gives, both the
-    probability of good. ``fit_rows`` bounds the sample the scorer is fitted on, taken by hash of the
-    row number; the label model counts all rows. Null text is empty: bad to all labellers that vote.
-    Repeated rows and null ids are rows like others. Other columns are left out. Empty: empty.
+    probability of good. ``fit_rows`` bounds the sample the scorer is fitted on, taken by hash of id and
+    text, in which repeated rows count once; the label model counts all rows. Null text is empty: bad to
+    all labellers that vote. Posteriors of one half are neither good nor bad to the scorer. Repeated rows
+    and null ids are rows like others. Other columns are left out. Empty: empty.
     """
     spark = docs.sparkSession
-    rows = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     names = list(VOTERS)
-    counts = voted(rows).groupBy("votes").agg(F.count("*").alias("n")).toArrow()
+    counts = voted(rows).groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").toArrow()
     patterns = np.array(counts["votes"].to_pylist(), dtype=np.int64).reshape(-1, len(names))
     model = fit_labels(patterns, counts["n"].to_numpy().astype(float))
     total = int(counts["n"].to_numpy().sum()) if counts.num_rows else 0
-    share = min(1.0, fit_rows / max(1, total))
-    bound = min(2**63 - 1, int((share - 0.5) * 2**64))  # xxhash64 is spread evenly over the longs
-    chosen = voted(rows).filter(F.xxhash64("row_id") <= F.lit(bound)).limit(fit_rows)
-    sample = hashed_rows(chosen).toArrow()
+    sample = sample_of(rows, total, fit_rows)
     labels = model.posterior(np.array(sample["votes"].to_pylist(), dtype=np.int64).reshape(-1, len(names)))
     scorer = fit_scorer(sample["codes"].combine_chunks(), sample["shares"].combine_chunks(), labels)
     held = spark.sparkContext.broadcast((model, scorer))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foliomark.llm import (
+    bits,
     decontaminate,
     jaccard_join,
     language_id,
@@ -440,3 +442,103 @@ def test_empty_tables(spark):
 def test_documents_without_benchmark(spark, texts):
     found = decontaminate.contained_items(docs_of(spark, texts), spark.createDataFrame([], "item_id long, text string"))
     assert found.count() == len(texts) and found.filter("n_hit > 0").count() == 0
+
+
+def test_scores_do_not_follow_files(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    table = table.union(table.filter("doc_id % 7 = 0"))
+    found = []
+    for files in (1, 2, 7):
+        path = f"{tmp_path}/{files}"
+        table.orderBy(F.xxhash64("doc_id", F.lit(files))).repartition(files).write.parquet(path)
+        some = quality.scored(spark.read.parquet(path), fit_rows=40).collect()
+        found.append(sorted((r.doc_id, r.label, r.score) for r in some))
+    assert found[0] == found[1] == found[2]
+
+
+def test_label_model_against_plain_statement():
+    rng = np.random.default_rng(3)
+    names = list(quality.VOTERS)
+    good = rng.random(400) < 0.6
+    rates = {name: (0.1, 0.7) if vote == quality.GOOD else (0.6, 0.05) for name, vote in quality.VOTERS.items()}
+    votes = np.array([[quality.VOTERS[n] if rng.random() < rates[n][int(g)] else quality.ABSTAIN for n in names] for g in good])
+    patterns, n = np.unique(votes, axis=0, return_counts=True)
+    model = quality.fit_labels(patterns, n.astype(float))
+    # the same, text by text
+    share = [0.1 if quality.BAD in row else 0.9 for row in votes.tolist()]
+    for _ in range(quality.EM_ROUNDS):
+        weight = [sum(1 - s for s in share), sum(share)]
+        rate = [
+            [(sum((s if c else 1 - s) for s, row in zip(share, votes.tolist(), strict=True) if row[k] != quality.ABSTAIN) + 0.5) / (weight[c] + 1)
+             for k in range(len(names))] for c in (0, 1)
+        ]
+        prior = (weight[1] + 1) / (sum(weight) + 2)
+        after = []
+        for row in votes.tolist():
+            both = [1 - prior, prior]
+            for c in (0, 1):
+                for k, vote in enumerate(row):
+                    both[c] *= rate[c][k] if vote != quality.ABSTAIN else 1 - rate[c][k]
+            after.append(both[1] / sum(both))
+        share = after
+    assert np.abs(model.posterior(votes) - np.array(share)).max() < 1e-3
+    assert ((np.array(share) > 0.5) == good).mean() > 0.9 and all(model.accuracy()[name] > 0.7 for name in names)
+
+
+def test_mixtures_against_plain_statement():
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 30, 200]
+    likely = rng.random((sum(sizes), 3)).astype(np.float32) ** 4 + 1e-6
+    found, _ = language_id._settled(likely, np.full((4, 3), 1 / 3, dtype=np.float32), np.array(sizes))
+    for k, size in enumerate(sizes):
+        rows, share = likely[sum(sizes[:k]) :][:size].astype(float), [1 / 3] * 3
+        moved = 1.0
+        while moved > language_id.STILL:
+            each = [[s * x / sum(a * b for a, b in zip(share, row, strict=True)) for s, x in zip(share, row, strict=True)] for row in rows.tolist()]
+            after = [sum(column) / size for column in zip(*each, strict=True)]
+            moved, share = max(abs(a - b) for a, b in zip(after, share, strict=True)), after
+        assert np.abs(found[k] - share).max() < 1e-3
+
+
+def test_rows_apart_by_bits(spark):
+    rows = spark.range(5000).select(F.col("id").alias("row_id"), F.lit("x").alias("c"))
+    ids = rows.filter("row_id % 97 = 3").select("row_id")
+    may, clear = bits.parted(rows, ids, "row_id")
+    assert may.count() + clear.count() == 5000 and may.join(ids, "row_id").count() == ids.count() and may.count() < 100
+    assert sorted(r.row_id for r in bits.without(rows, ids, "row_id").collect()) == [k for k in range(5000) if k % 97 != 3]
+    assert bits.without(rows, ids.limit(0), "row_id").count() == 5000
+    plan = bits.without(rows, ids, "row_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def _overlapping(text):
+    """What instances has to give but patterns, by comparing every token with everything."""
+    base = [tuple(map(int, e.split(":")[1:])) for e in entities(text)]
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z_-]*+[0-9][A-Za-z0-9_-]*+", text)]
+    free = [(a, b) for a, b in tokens if b - a >= pii.SHORTEST and not any(c < b and a < d for c, d in base)]
+    return sorted([(a, b, True) for a, b in base] + [(a, b, False) for a, b in free])
+
+
+def test_instances_against_all_pairs(spark):
+    rng = random.Random(6)
+    pieces = ["a@b.c", "1.2.3.4", "4111 1111 1111 1111", "+1 (377) 555-0271", "zz99zz9", "-", " ", ".", "12345678", "é", "+44 1234567890123", "x1", "@"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(200)] + [" ".join(rng.choice(pieces) for _ in range(1200))]
+    df = docs_of(spark, list(enumerate(texts)))
+    found = pii.instances(F.col("text"), pii.base_entities(F.col("text")), F.array().cast(pii.FOUND_TYPE))
+    for r in df.select("text", found.alias("f")).collect():
+        assert sorted((x.start, x.end, x.seed) for x in r.f) == _overlapping(r.text)
+
+
+def test_redaction_of_many_spans(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcé😀 ") for _ in range(9000))
+    spans = sorted((rng.randrange(8900), rng.randrange(5)) for _ in range(700))
+    spans = [(a, rank, a + rng.randrange(1, 60 if k % 90 == 0 else 9)) for k, (a, rank) in enumerate(spans)]
+    out, at = [], 0
+    for a, rank, b in spans:
+        if a >= at:
+            out += [text[at:a], f"[{pii.KINDS[rank].upper()}]"]
+        at = max(at, b)
+    row = [(text, [(rank, a, b) for a, rank, b in spans])]
+    found = spark.createDataFrame(row, f"text string, spans array<{pii.SPAN}>").select(pii.redacted(F.col("text"), F.col("spans"))).first()[0]
+    assert found == "".join(out) + text[at:]
