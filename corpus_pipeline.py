@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomark.llm import decontaminate, jaccard_join, language_id, packing, pii
+from foliomark.llm.bits import without
 from foliomark.llm.tables import numbered, table
 from foliomark.operators.spool import Scratch
 
@@ -26,12 +27,13 @@ def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return docs.toDF(*(n if n in ("doc_id", "text") else f"c{k}" for k, n in enumerate(names))), names
 
 
-def _without(rows: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
-    """The rows but those numbered in ``gone``, in their old columns."""
-    return rows.join(gone.select("row_id"), "row_id", "left_anti").drop("row_id").toDF(*names)
+def _without(rows: DataFrame, gone: DataFrame, names: list[str], stage: str) -> DataFrame:
+    """The rows but those numbered in ``gone``, in their old columns; texts that stay hardly travel."""
+    gone = _copies[stage].spool(gone.select("row_id"))
+    return without(rows, gone, "row_id").drop("row_id").toDF(*names)
 
 
-#: the numbered copies of their input that stages have written, by stage
+#: what stages have written of their input, by stage
 _copies: dict[str, Scratch] = {}
 
 
@@ -40,9 +42,13 @@ def _numbered(spark: SparkSession, rows: DataFrame, stage: str) -> DataFrame:
 
     What earlier stages wrote this way goes: their results have been written and read again by now.
     """
+    return _own(spark, stage).spool(numbered(rows))
+
+
+def _own(spark: SparkSession, stage: str) -> Scratch:
     _release_before(stage)
     _copies[stage] = Scratch(spark, stage)
-    return _copies[stage].spool(numbered(rows))
+    return _copies[stage]
 
 
 def _release_before(stage: str) -> None:
@@ -72,7 +78,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _numbered(spark, rows, "jaccard_join")
     groups = jaccard_join.joined(rows, "row_id")
     gone = groups.select("row_id").join(jaccard_join.first_of_each(groups), "row_id", "left_anti")
-    return _without(rows, gone, names)
+    return _without(rows, gone, names, "jaccard_join")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,20 +86,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows, names = _renamed(docs)
     rows = _numbered(spark, rows, "decontamination")
     found = decontaminate.contained_items(rows, table(spark, sf_dir, "benchmark", "item_id", "text"), row_id="row_id")
-    return _without(rows, found.filter("n_hit > 0"), names)
+    return _without(rows, found.filter("n_hit > 0"), names, "decontamination")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets; ``n_chars``, where there is one, follows the text."""
     rows, names = _renamed(docs)
-    rows = _numbered(spark, rows, "pii")
-    spans = pii.personal_data(rows, "row_id").select("row_id", "spans").filter(F.size("spans") > 0)
+    found = pii.with_spans(rows, scratch=_own(spark, "pii"))
     text = pii.redacted(F.col("text").cast("string"), F.col("spans"))
     # a column of its own first: inside lambdas, Spark takes a name for the new column of that name
-    joined = rows.join(spans, "row_id", "left").withColumn("redacted", F.when(F.col("spans").isNotNull(), text))
+    joined = found.withColumn("redacted", F.when(F.size("spans") > 0, text))
     columns = []
     for name, column in zip(names, rows.columns[: len(names)], strict=True):
-        if name == "text":
+        if column == "text":
             columns.append(F.coalesce("redacted", F.col("text").cast("string")).alias("text"))
         elif name == "n_chars":
             size = F.char_length("redacted").cast(dict(rows.dtypes)[column])
