@@ -28,6 +28,12 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def is_folder(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(path) and system.getFileStatus(path).isDirectory()
+
+
 def location(path: str) -> str:
     """The URI pyarrow opens for a path as scans give it."""
     # File scans name local files with one slash after the scheme, URIs have three.

@@ -27,7 +27,7 @@ from foliomark.plans.convert import ConvertOptions, convert, convert_files
 from foliomark.sources import files, sinks
 from foliomark.sources.document_files import export_documents
 from foliomark.sources.listing import listing
-from foliomark.sources.stores import Stores, qualified
+from foliomark.sources.stores import Stores, is_folder, qualified
 from foliomark.streaming.incremental import convert_changes, convert_new, current_corpus, new_files
 from foliomark.workload import views
 
@@ -803,7 +803,10 @@ def convert_stripped(spark, sf_dir):
 def incremental_cleanup(spark, sf_dir):
     """Cleanup as a stream over the files of the folder, run until nothing is new."""
     schema = views.table(spark, sf_dir, "documents").schema
-    stream = new_files(spark, sf_dir, schema, "parquet", "documents.parquet")
+    place = f"{sf_dir}/documents.parquet"
+    # a large table is a folder of parts, a small one a single file
+    whole = is_folder(spark, place)
+    stream = new_files(spark, place if whole else sf_dir, schema, "parquet", None if whole else "documents.parquet")
 
     def step(docs: DataFrame) -> DataFrame:
         noisy = docs.select("doc_id", views.noisy_text(F.col("text")).alias("text"), "source")
