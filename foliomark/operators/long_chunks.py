@@ -10,9 +10,6 @@ document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +17,7 @@ from foliomark.functions.chunks import BREAK, CHUNK_LIMIT
 from foliomark.operators.ordered import ordered_concat
 from foliomark.operators.scans import Running, running
 from foliomark.operators.spool import Scratch
+from foliomark.operators.unnest import unnest
 
 # Paragraphs of one run.
 SPAN = 1 << 14
@@ -65,15 +63,20 @@ def chunk_heads(sizes: DataFrame, limit: int, span: int = SPAN, scratch: Scratch
     following = F.greatest(F.col("end_of"), F.col("para_no") + 1)
     last = F.col("end_of").isNull()
     run = F.floor(F.col("para_no") / F.lit(span)).cast("long").alias("run")
-    pointers = scratch.spool(answered.where("kind = 1").select("doc_id", run, "para_no", F.when(~last, following).alias("next")))
+    pointers = answered.where("kind = 1").select("doc_id", run, F.struct("para_no", F.when(~last, following).alias("next")).alias("p"))
+    # a run is one row, so that what follows paths in it has no cost for each group
+    paras = pointers.groupBy("doc_id", "run").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    runs = scratch.spool(paras.select("doc_id", "run", F.col("p.para_no").alias("paras"), F.col("p.next").alias("nexts")))
     scratch.drop(events)
 
-    # where a path that is at a paragraph leaves the paragraph's run
-    exits = scratch.spool(_in_runs(pointers, _exits, "doc_id {0}, para_no long, next long"))
+    # where a path that is at a paragraph leaves the paragraph's run; none does in the last run of a document
+    dense = F.size("paras") == F.array_max("paras") - F.array_min("paras") + 1
+    inside = dense & (F.coalesce(F.array_max("nexts"), F.lit(0)) <= F.array_max("paras"))
+    exits = F.udf(_exits, "array<bigint>", useArrow=False)(F.col("paras"), F.col("nexts"))
+    left = unnest(runs.where(~inside), ["doc_id"], F.arrays_zip(F.col("paras").alias("para_no"), exits.alias("next")), "x")
+    jumps = scratch.spool(left.where("x.next IS NOT NULL").select("doc_id", "x.para_no", "x.next"))
     first = F.lit(0).cast("long")
-    reached = scratch.spool(pointers.where("para_no = 0").select("doc_id", first.alias("para_no")))
-    jumps = scratch.spool(exits.where("next IS NOT NULL"))
-    scratch.drop(exits)
+    reached = scratch.spool(runs.where(F.array_contains("paras", first)).select("doc_id", first.alias("para_no")))
     n = reached.count()
     while True:
         steps = reached.join(jumps, ["doc_id", "para_no"]).select("doc_id", F.col("next").alias("para_no"))
@@ -85,37 +88,28 @@ def chunk_heads(sizes: DataFrame, limit: int, span: int = SPAN, scratch: Scratch
         doubled = scratch.spool(twice.select("doc_id", "para_no", F.col("then").alias("next")))
         scratch.drop(reached, jumps)
         reached, jumps, n = more, doubled, now
-    entered = pointers.join(more.withColumn("entry", F.lit(True)), ["doc_id", "para_no"], "left")
-    heads = _in_runs(entered.select("doc_id", "run", "para_no", "next", F.coalesce("entry", F.lit(False)).alias("entry")), _path, "doc_id {0}, para_no long")
-    return scratch.spool(heads)
-
-
-def _in_runs(pointers: DataFrame, step, schema: str) -> DataFrame:  # noqa: ANN001
-    kind = dict(pointers.dtypes)["doc_id"]
-    return pointers.groupBy("doc_id", "run").applyInPandas(step, schema.format(kind))
+    entries = more.groupBy("doc_id", run).agg(F.collect_list("para_no").alias("entries"))
+    path = F.udf(_path, "array<bigint>", useArrow=False)(F.col("paras"), F.col("nexts"), F.col("entries"))
+    return scratch.spool(unnest(runs.join(entries, ["doc_id", "run"]), ["doc_id"], path, "para_no"))
 
 
-def _exits(run: pd.DataFrame) -> pd.DataFrame:
+def _exits(paras: list[int], nexts: list[int | None]) -> list[int | None]:
     """For every paragraph of a run the first one behind the run on its path; null where the path ends."""
-    run = run.sort_values("para_no", ignore_index=True)
-    begin = int(run["para_no"].iloc[0])
-    targets = [None if pd.isna(x) else int(x) for x in run["next"]]
-    out = list(targets)
+    begin, out = paras[0], list(nexts)
     for k in range(len(out) - 1, -1, -1):
-        if targets[k] is not None and targets[k] - begin < len(out):
-            out[k] = out[targets[k] - begin]
-    return pd.DataFrame({"doc_id": run["doc_id"], "para_no": run["para_no"], "next": pd.array(out, dtype="Int64")})
-
-
-def _path(run: pd.DataFrame) -> pd.DataFrame:
-    """The paragraphs of a run on the path that enters it."""
-    run = run.sort_values("para_no", ignore_index=True)
-    begin = int(run["para_no"].iloc[0])
-    on = run["entry"].tolist()
-    for k, x in enumerate(run["next"]):
-        if on[k] and not pd.isna(x) and int(x) - begin < len(on):
-            on[int(x) - begin] = True
-    return run.loc[on, ["doc_id", "para_no"]]
+        if nexts[k] is not None and nexts[k] - begin < len(out):
+            out[k] = out[nexts[k] - begin]
+    return out
+
+
+def _path(paras: list[int], nexts: list[int | None], entries: list[int]) -> list[int]:
+    """The paragraphs of a run on the paths that enter it."""
+    begin, entered = paras[0], set(entries)
+    on = [p in entered for p in paras]
+    for k, x in enumerate(nexts):
+        if on[k] and x is not None and x - begin < len(on):
+            on[x - begin] = True
+    return [p for p, there in zip(paras, on, strict=True) if there]
 
 
 def pack_paragraphs(paragraphs: DataFrame, limit: int = CHUNK_LIMIT, span: int = SPAN, scratch: Scratch | None = None) -> DataFrame:
