@@ -27,7 +27,7 @@ from foliomark.plans.convert import ConvertOptions, convert, convert_files
 from foliomark.sources import files, sinks
 from foliomark.sources.document_files import export_documents
 from foliomark.sources.listing import listing
-from foliomark.sources.stores import Stores, is_folder, qualified
+from foliomark.sources.stores import Stores, exists, is_folder, qualified
 from foliomark.streaming.incremental import convert_changes, convert_new, current_corpus, new_files
 from foliomark.workload import views
 
@@ -674,29 +674,60 @@ def _by_lines() -> files.Extractor:
     return parse
 
 
-def _with_images(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """Conversion and export of all documents with their images, from one run of the parser."""
+# Files of one portion may take so much disk; above this many portions the next would only cost time.
+PORTION_BYTES, PORTIONS = 1 << 28, 32
+# A file takes whole blocks, however small it is.
+BLOCK = 1 << 12
+
+
+def _with_images(spark: SparkSession, sf_dir: str, taken: Callable[[str, DataFrame, Scratch], DataFrame]) -> DataFrame:
+    """What ``taken`` reads of the conversion and export of all documents with their images.
+
+    Small files take many times their bytes on disk. So documents go in portions, each converted and
+    exported from one run of the parser; what is read back goes into a table and the portion's files make room for the
+    next. Documents that claim one path are in one portion.
+    """
+    scratch = Scratch(spark, "portions")
     base = f"{checkpoint_folder(spark)}/images-{uuid.uuid4().hex}"
     name = F.concat(F.lit("/in/"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    docs = views.documents(spark, sf_dir).select(name.alias("path"), F.encode("text", "UTF-8").alias("content"))
-    placed = files.with_identity(docs, f"{base}/out")
-    done = convert_files(placed, _by_lines(), ConvertOptions(tables=False, extract_images=True))
-    return base, export_documents(done, f"{base}/manifest")
+    docs = views.documents(spark, sf_dir)
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    room = docs.agg(F.sum((lines + 1) * BLOCK + 2 * F.octet_length("text")).alias("room")).first()["room"] or 0
+    n = min(PORTIONS, 1 + room // PORTION_BYTES)
+    placed = files.with_identity(docs.select(name.alias("path"), F.encode("text", "UTF-8").alias("content")), f"{base}/out")
+    dealt = placed.withColumn("portion", F.pmod(F.xxhash64("out_path"), F.lit(n)).cast("int"))
+    dealt.write.partitionBy("portion").parquet(f"{scratch.root}/dealt")
+    for k in range(n):
+        raw = spark.read.schema(dealt.schema).parquet(f"{scratch.root}/dealt").where(F.col("portion") == k).drop("portion")
+        done = convert_files(raw, _by_lines(), ConvertOptions(tables=False, extract_images=True))
+        rows = export_documents(done, f"{base}/manifest")
+        taken(base, rows, scratch).write.mode("append").parquet(f"{base}-read")
+        remove(spark, base)
+    scratch.release()
+    return spark.read.parquet(f"{base}-read")
 
 
 @query
 def exported_images(spark, sf_dir):
     """The image files of that export, read back."""
-    base, _ = _with_images(spark, sf_dir)
-    found = files.scan_tree(spark, f"{base}/out", "*.png")
-    return found.select("rel_path", F.col("content").cast("string").alias("content"))
+
+    def taken(base: str, rows: DataFrame, scratch: Scratch) -> DataFrame:
+        if not exists(spark, f"{base}/out"):  # a portion without files
+            return spark.createDataFrame([], "rel_path string, content string")
+        found = files.scan_tree(spark, f"{base}/out", "*.png", scratch)
+        return found.select("rel_path", F.col("content").cast("string").alias("content"))
+
+    return _with_images(spark, sf_dir, taken)
 
 
 @query
 def exported_manifest(spark, sf_dir):
     """A row for every text and image of that export."""
-    _, rows = _with_images(spark, sf_dir)
-    return rows.select("kind", "path", files.file_name(F.col("out_path")).alias("name"), "status", "error")
+
+    def taken(base: str, rows: DataFrame, scratch: Scratch) -> DataFrame:
+        return rows.select("kind", "path", files.file_name(F.col("out_path")).alias("name"), "status", "error")
+
+    return _with_images(spark, sf_dir, taken)
 
 
 # A folder that changes -----------------------------------------------------------------------------

@@ -1,7 +1,10 @@
 """Queries over tables as they come at size: folders of parts."""
 
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
+from foliomark.operators import long_chunks
+from foliomark.workload import queries
 from foliomark.workload.queries import QUERIES
 
 DOCS = "doc_id long, text string, source string"
@@ -18,3 +21,37 @@ def test_stream_over_a_table_of_parts(spark, tmp_path):
     found = {r.doc_id: r.text for r in QUERIES["incremental_cleanup"](spark, sf_dir).collect()}
     assert found == {r.doc_id: r.text for r in QUERIES["cleanup"](spark, sf_dir).collect()}
     assert len(found) == 30
+
+
+def test_chunk_heads_have_no_cost_for_each_group(spark, monkeypatch):
+    """A run of paragraphs is a row: groups of pandas cost a millisecond each, and runs are many."""
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    rows = [(d, i, "word " * (i % 7)) for d in range(3) for i in range(50)]
+    paragraphs = spark.createDataFrame(rows, "doc_id long, para_no int, paragraph string")
+    found = long_chunks.pack_paragraphs(paragraphs, 60, span=4).collect()
+    texts = {d: [p for e, _, p in rows if e == d] for d in range(3)}
+    for d, parts in texts.items():
+        assert "\n\n".join(r.chunk for r in sorted(found, key=lambda r: r.chunk_no) if r.doc_id == d) == "\n\n".join(parts)
+    assert all(len(r.chunk) <= 60 for r in found)
+
+
+def test_small_files_take_the_disk_of_a_portion_only(spark, tmp_path, monkeypatch):
+    """Every image is read back, and no more than a portion's files are there at a time."""
+    rows = [(k, "\n".join(f"line {k} {i}" for i in range(1 + k % 9)), f"src{k % 3}") for k in range(60)]
+    sf_dir = stored(spark, tmp_path, rows)
+    monkeypatch.setattr(queries, "PORTION_BYTES", 1 << 18, raising=False)
+    most, export = [], queries.export_documents
+
+    def watched(docs, manifest):
+        done = export(docs, manifest)
+        most.append(done.count())
+        return done
+
+    monkeypatch.setattr(queries, "export_documents", watched)
+    images = QUERIES["exported_images"](spark, sf_dir).collect()
+    want = sorted(line for _, text, _ in rows for line in text.split("\n"))
+    assert sorted(r.content for r in images) == want and len({r.rel_path for r in images}) == len(want)
+    assert len(most) > 3 and max(most) < sum(most) / 2 and sum(most) == len(want) + 60
+    assert QUERIES["exported_manifest"](spark, sf_dir).groupBy("kind", "status").count().orderBy("kind").collect() == [
+        ("image", "written", len(want)), ("text", "written", 60)
+    ]
