@@ -15,8 +15,11 @@ import signal
 import struct
 import subprocess
 import sys
+import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from queue import Empty, LifoQueue
 from typing import Any
 
 #: Fixed value: seconds an external call for one text may take by default.
@@ -25,6 +28,8 @@ CALL_SECONDS = 120.0
 TIME_OUT = "time-out"
 #: seconds a new process may take until it listens; not part of a call
 START_SECONDS = 120.0
+#: processes of one task at most; another one starts only when all others are held up by a call for so many seconds
+BESIDE, HELD_SECONDS = 8, 0.2
 
 _SERVER = """
 import ctypes, os, pickle, struct, sys
@@ -147,6 +152,36 @@ class Calls:
         self.hook, self.seconds = hook, seconds
         self._packed: bytes | None = None
         self._process: _Process | None = None
+        self._free: LifoQueue[Calls] = LifoQueue()
+        self._lanes: list[Calls] = [self]
+        self._threads: ThreadPoolExecutor | None = None
+        self._lock = threading.Lock()
+        self._free.put(self)
+
+    def many(self, arguments: Iterable[Any]) -> list[tuple[Any, str | None]]:
+        """The answers in the order of the arguments; calls that take long run side by side, if there is a deadline."""
+        if self.seconds is None:
+            return [self(a) for a in arguments]
+        if self._threads is None:  # they stay: a process dies with the thread that started it
+            self._threads = ThreadPoolExecutor(BESIDE)
+        return list(self._threads.map(self._in_lane, arguments))
+
+    def _in_lane(self, argument: Any) -> tuple[Any, str | None]:  # noqa: ANN401
+        lane = self._lane()
+        try:
+            return lane(argument)
+        finally:
+            self._free.put(lane)
+
+    def _lane(self) -> Calls:
+        try:
+            return self._free.get(timeout=HELD_SECONDS)
+        except Empty:
+            with self._lock:
+                if len(self._lanes) < BESIDE:
+                    self._lanes.append(Calls(self.hook, self.seconds))
+                    return self._lanes[-1]
+        return self._free.get()
 
     def __call__(self, argument: Any) -> tuple[Any, str | None]:  # noqa: ANN401
         try:
@@ -178,4 +213,7 @@ class Calls:
         return self
 
     def __exit__(self, *_: object) -> None:
-        self.close()
+        for lane in self._lanes:
+            lane.close()
+        if self._threads is not None:
+            self._threads.shutdown()

@@ -1,9 +1,13 @@
 """Queries over tables as they come at size: folders of parts."""
 
+import time
+
+import pyarrow as pa
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
-from foliomark.operators import long_chunks
+from foliomark.operators import chunking, long_chunks
+from foliomark.operators.calls import TIME_OUT, Calls
 from foliomark.workload import queries
 from foliomark.workload.queries import QUERIES
 
@@ -55,3 +59,28 @@ def test_small_files_take_the_disk_of_a_portion_only(spark, tmp_path, monkeypatc
     assert QUERIES["exported_manifest"](spark, sf_dir).groupBy("kind", "status").count().orderBy("kind").collect() == [
         ("image", "written", len(want)), ("text", "written", 60)
     ]
+
+
+def test_calls_run_beside_those_that_hang():
+    def hook(x):
+        import time
+
+        if x % 5 == 3:
+            time.sleep(60)
+        return x + 1
+
+    want = [(None, TIME_OUT) if k % 5 == 3 else (k + 1, None) for k in range(60)]
+    with Calls(hook, 1.0) as call:
+        began = time.monotonic()
+        assert call.many(range(60)) == want  # twelve hang for a second each
+        assert time.monotonic() - began < 10
+        assert call.many(range(3)) == want[:3]  # the processes are still there
+
+
+def test_batches_of_chunks_are_cut_by_size(monkeypatch):
+    monkeypatch.setattr(chunking, "OUTPUT_BYTES", 1000)
+    batch = pa.record_batch({"n": range(50), "chunk": [None if k == 7 else "x" * (k * 13 % 400) for k in range(50)]})
+    parts = list(chunking._of_size(batch, "chunk"))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
+    assert len(parts) > 5 and all(sum(len(t or "") for t in p["chunk"].to_pylist()) <= 1400 for p in parts)
+    assert list(chunking._of_size(batch.slice(0, 0), "chunk")) == []
