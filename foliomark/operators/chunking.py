@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from foliomark.operators.unnest import unnest
 
 # Chunks joined by one first-level group: at the default limit about 5 MB of text.
 CHUNK_SPAN = 64
+# Bytes of chunks after which a worker hands on what it has.
+OUTPUT_BYTES = 4 << 20
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -50,6 +54,7 @@ def map_chunks(
     dealt out by chunk, to ``tasks`` tasks if given, so that slow calls for it run side by side.
     An answer that is no text is a failure. With ``seconds`` a call that takes longer is ended, its
     ``error`` is ``time-out``, and the other chunks go on; so do they after a call that ends its process.
+    While calls of a task are held up, others run beside them, up to ``calls.BESIDE`` in a task.
     """
     dealt = chunks.repartition(*([tasks] if tasks else []), "doc_id", "chunk_no")
 
@@ -59,14 +64,26 @@ def map_chunks(
             raise TypeError(f"the transform gave {type(result).__name__}, not str")
         return result
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Calls(textual, seconds) as call:
             for batch in batches:
-                done = [call(chunk) for chunk in batch["chunk"]]
-                yield batch.assign(result=[r for r, _ in done], error=[e for _, e in done])
+                for part in _of_size(batch, "chunk"):
+                    done = call.many(part.column("chunk").to_pylist())
+                    added = [pa.array([d[k] for d in done], pa.string()) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "result", "error"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
-    return dealt.mapInPandas(run, f"{fields}, result string, error string")
+    return dealt.mapInArrow(run, f"{fields}, result string, error string")
+
+
+def _of_size(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``OUTPUT_BYTES`` of text, so that a worker holds few texts as objects."""
+    sizes = pc.fill_null(pc.cast(pc.binary_length(batch.column(text)), pa.int64()), 0).to_numpy(zero_copy_only=False)
+    slices = np.cumsum(sizes) // OUTPUT_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), batch.num_rows]
+    for begin, end in zip(cuts, cuts[1:], strict=False):
+        if end > begin:
+            yield batch.slice(begin, end - begin)
 
 
 def reassemble(chunks: DataFrame, text: str = "chunk", span: int = CHUNK_SPAN) -> DataFrame:
