@@ -20,7 +20,7 @@ from foliomark.functions.cleanup import PLACEHOLDER, REPLACEMENT
 from foliomark.functions.headers import LEVEL, RUNNING_MIN, header_key, is_header
 from foliomark.functions.text import is_blank, lines_of, strip
 from foliomark.operators.ordered import concat_parts, ordered_concat
-from foliomark.operators.scans import SPAN, Running, running
+from foliomark.operators.scans import SPAN, Running, run_of, running
 from foliomark.operators.spool import Scratch
 from foliomark.operators.unnest import unnest
 
@@ -45,21 +45,19 @@ def parts_of_lines(lines: DataFrame, span: int = 1024) -> DataFrame:
     return parts.withColumnRenamed("line", "text")
 
 
-def _relined(scratch: Scratch, pieces: DataFrame, span: int) -> DataFrame:
+def _relined(scratch: Scratch, pieces: DataFrame, span: int, stored: bool = False) -> DataFrame:
     """Lines of ``doc_id, o1, o2, o3, piece, ends``: pieces in order, a line ends where a piece does."""
     order = ["o1", "o2", "o3"]
-    stored = scratch.spool(pieces)
+    twice = pieces if stored else scratch.spool(pieces)
     ends = F.col("ends").cast("long")
     one = F.lit(1).cast("long")
     values = [Running("line_no", ends, "sum"), Running("at", one, "sum"), Running("whole", F.col("ends"))]
-    placed = scratch.spool(running(stored, "doc_id", order, values, span))
-    scratch.drop(stored)
+    placed = scratch.spool(running(twice, "doc_id", order, values, span))
+    scratch.drop(twice)
     alone = F.col("ends") & F.coalesce("whole", F.lit(True))
     single = placed.where(alone).select("doc_id", "line_no", F.col("piece").alias("line"))
     glued = ordered_concat(placed.where(~alone), ["doc_id", "line_no"], "at", "piece", "").select("doc_id", "line_no", F.col("piece").alias("line"))
-    lines = scratch.spool(single.unionByName(glued))
-    scratch.drop(placed)
-    return lines
+    return single.unionByName(glued)
 
 
 def _pieces(lines: DataFrame, piece: Column, ends: Column) -> DataFrame:
@@ -72,9 +70,7 @@ def _kept(scratch: Scratch, lines: DataFrame, span: int) -> DataFrame:
     """The lines with ``keep``, numbered anew."""
     stored = scratch.spool(lines)
     placed = running(stored, "doc_id", ["line_no"], [Running("_no", F.col("keep").cast("long"), "sum")], span)
-    out = scratch.spool(placed.where("keep").select("doc_id", F.col("_no").alias("line_no"), "line"))
-    scratch.drop(stored)
-    return out
+    return placed.where("keep").select("doc_id", F.col("_no").alias("line_no"), "line")
 
 
 def _per_run(rows: DataFrame, by: list[str], whole: DataFrame, span: int, at: str = "line_no") -> DataFrame:
@@ -107,28 +103,35 @@ def picture_blocks(scratch: Scratch, lines: DataFrame, span: int) -> DataFrame:
     line = F.col("line")
     opens, closes = line.endswith(OPEN), F.contains(line, F.lit(_tables.BLOCK_END))
     states = [
-        Running("state", F.when(opens | closes, opens)),
-        Running("end_at", F.when(closes, F.col("line_no")), after=True),
+        Running("state", F.when(F.col("opens") | F.col("closes"), F.col("opens"))),
+        Running("end_at", F.when(F.col("closes"), F.col("line_no")), after=True),
     ]
-    marked = scratch.spool(running(lines.withColumn("opens", opens).withColumn("closes", closes), "doc_id", ["line_no"], states, span))
+    at = F.instr(line, _tables.BLOCK_END)
+
+    def breaks_in(text: Column) -> Column:
+        return (F.size(F.split(text, "<br>")) - 1).cast("long")
+
+    # what the states are made of is told before the rows go to their runs, so sums over runs move no text
+    told = lines.select(
+        "doc_id", "line_no", "line", run_of("line_no", span).alias("_at"), opens.alias("opens"), closes.alias("closes"),
+        F.when(closes, breaks_in(F.left(line, at - 1))).otherwise(breaks_in(line)).alias("breaks"),
+    )
+    marked = running(told, "doc_id", ["line_no"], states, span, "_at")
     inside = F.coalesce("state", F.lit(False))
     later = F.col("end_at").isNotNull()
-    at = F.instr(line, _tables.BLOCK_END)
     marked = marked.select(
-        "doc_id", "line_no",
+        "doc_id", "line_no", "_at", "breaks", "line", "closes",
         # an opening marker inside a block is content, unless the block ends in the same line before it
         (F.col("opens") & (~inside | F.col("closes")) & later).alias("opening"),
         (inside & F.col("closes")).alias("closing"), (inside & ~F.col("closes") & later).alias("within"),
-        F.when(inside & F.col("closes"), F.substr(line, at + len(_tables.BLOCK_END))).otherwise(line).alias("shown"),
-        F.when(inside & F.col("closes"), F.left(line, at - 1)).when(inside & later, line).alias("content"),
     )
-    content = F.when(F.col("closing") | F.col("within"), F.col("content"))
+    held_breaks = F.when(F.col("closing") | F.col("within"), F.col("breaks"))
+    values = [Running("block", F.when(F.col("opening"), F.col("line_no"))), Running("row_no", held_breaks, "sum")]
+    placed = scratch.spool(running(marked, "doc_id", ["line_no"], values, span, "_at").drop("_at", "breaks", "closes"))
+    content = F.when(F.col("closing"), F.left(line, at - 1)).when(F.col("within"), line)
     cells = F.split(content, "<br>")
-    breaks = F.when(content.isNotNull(), (F.size(cells) - 1).cast("long"))
-    values = [Running("block", F.when(F.col("opening"), F.col("line_no"))), Running("row_no", breaks, "sum")]
-    stored = scratch.spool(marked)
-    placed = scratch.spool(running(stored, "doc_id", ["line_no"], values, span))
-    scratch.drop(stored)
+    tail = F.when(F.col("closing"), F.substr(line, at + len(_tables.BLOCK_END))).otherwise(line)
+    placed = placed.withColumn("shown", tail)
 
     shown = F.col("shown")
     outside = F.when(F.col("opening"), F.left(shown, F.length(shown) - len(OPEN))).otherwise(shown)
@@ -154,31 +157,31 @@ def picture_blocks(scratch: Scratch, lines: DataFrame, span: int) -> DataFrame:
     rendered = F.when(tabular, F.concat(fitted, head)).otherwise(F.col("row"))
     table = unnest(shaped, ["doc_id", F.col("line_no").alias("o1"), F.col("k").alias("o2")], lines_of(rendered), "piece", "o3")
     table = table.select("doc_id", "o1", "o2", F.col("o3").cast("long").alias("o3"), "piece", F.lit(True).alias("ends"))
-    out = _relined(scratch, plain.unionByName(table), span)
-    scratch.drop(rows, placed)
-    return out
+    return _relined(scratch, plain.unionByName(scratch.spool(table)), span, stored=True)
 
 
 def repeated_headers(scratch: Scratch, lines: DataFrame, span: int) -> DataFrame:
     """Of running headers the first, and no header twice with only blank lines between."""
     line = F.col("line")
     key = F.when(line.startswith("#") & is_header(line), header_key(line))
-    run = F.floor(F.col("line_no") / F.lit(span)).cast("long")
-    keyed = scratch.spool(lines.withColumn("key", key))
-    seen = keyed.where("key IS NOT NULL").groupBy("doc_id", run.alias("_r"), "key").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"))
+    keyed = lines.select("doc_id", "line_no", "line", run_of("line_no", span).alias("_at"), key.alias("key"))
+    seen = keyed.where("key IS NOT NULL").groupBy("doc_id", "_at", "key").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"))
     often = seen.groupBy("doc_id", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= RUNNING_MIN)
-    marked = _per_run(keyed, ["doc_id", "key"], often.select("doc_id", "key", "first"), span)
+    often = scratch.spool(often.select("doc_id", "key", "first"))
+    # only headers meet the verdict on their key, the other lines stay where they are
+    headers = _per_run(keyed.where("key IS NOT NULL"), ["doc_id", "key"], often, span)
+    marked = headers.unionByName(keyed.where("key IS NULL").withColumn("first", F.lit(None).cast("long")))
     gone = F.col("first").isNotNull() & (F.col("line_no") > F.col("first"))
     # a header that stays, or a line of text, decides for the next header
     event = F.when(gone, None).when(F.col("key").isNotNull(), F.struct(F.col("key").alias("k"))).when(
         ~is_blank(line), F.struct(F.lit(None).cast("string").alias("k"))
     )
-    stored = scratch.spool(marked.withColumn("gone", gone).withColumn("event", event))
-    nearest = running(stored, "doc_id", ["line_no"], [Running("before", F.col("event"))], span)
+    told = marked.withColumn("gone", gone).withColumn("event", event)
+    nearest = running(told, "doc_id", ["line_no"], [Running("before", F.col("event"))], span, "_at")
     again = F.col("first").isNull() & (F.col("key") != "") & (F.col("before.k") == F.col("key"))
-    out = _kept(scratch, nearest.withColumn("keep", ~(F.col("gone") | F.coalesce(again, F.lit(False)))).select("doc_id", "line_no", "line", "keep"), span)
-    scratch.drop(keyed, stored)
-    return out
+    kept = nearest.select("doc_id", "line_no", "line", "_at", (~(F.col("gone") | F.coalesce(again, F.lit(False)))).alias("keep"))
+    placed = running(kept, "doc_id", ["line_no"], [Running("_no", F.col("keep").cast("long"), "sum")], span, "_at")
+    return placed.where("keep").select("doc_id", F.col("_no").alias("line_no"), "line")
 
 
 def blank_lines(scratch: Scratch, lines: DataFrame, span: int) -> DataFrame:
@@ -235,7 +238,7 @@ def last_lines(scratch: Scratch, lines: DataFrame, span: int) -> DataFrame:
     """Without the empty lines at the end; the first line stays in any case."""
     near = running(lines, "doc_id", ["line_no"], [Running("text", F.when(F.col("line") != "", True), after=True)], span)
     kept = (F.col("line_no") == 0) | (F.col("line") != "") | F.col("text").isNotNull()
-    return scratch.spool(near.where(kept).select("doc_id", "line_no", "line"))
+    return near.where(kept).select("doc_id", "line_no", "line")
 
 
 STEPS = (drop_artifacts, picture_blocks, repeated_headers, blank_lines, header_levels, table_separators, last_lines)
@@ -251,7 +254,9 @@ def cleanup_lines(lines: DataFrame, span: int = SPAN, scratch: Scratch | None =
     begin = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce("line", F.lit("")).alias("line"))
     now = scratch.spool(begin)
     for step in STEPS:
-        after = step(scratch, now, span)
+        part = Scratch(lines.sparkSession, "step")
+        after = scratch.spool(step(part, now, span))
+        part.release()
         scratch.drop(now)
         now = after
     return now

@@ -29,14 +29,20 @@ class Running:
     after: bool = False
 
 
-def running(df: DataFrame, key: str, order: list[str], values: list[Running], span: int = SPAN) -> DataFrame:
+def run_of(position: str, span: int) -> Column:
+    return F.floor(F.col(position) / F.lit(span)).cast("long")
+
+
+def running(df: DataFrame, key: str, order: list[str], values: list[Running], span: int = SPAN, run: str | None = None) -> DataFrame:
     """Add running values in the order of ``order``; its first column is the position that is cut into runs.
 
     Positions are whole numbers from 0, ``order`` is unique in a key, keys are not null. The rows are
-    read twice: give a stored table.
+    read twice: give a stored table. ``run`` names a column that has the runs (``run_of``) already: rows
+    go to their run once, however many calls with it follow each other.
     """
-    run = F.floor(F.col(order[0]) / F.lit(span)).cast("long")
-    named = df.select("*", run.alias("_run"), *[v.value.alias(f"_v{k}") for k, v in enumerate(values)])
+    at = run or "_run"
+    numbered = df if run else df.withColumn(at, run_of(order[0], span))
+    named = numbered.select("*", *[v.value.alias(f"_v{k}") for k, v in enumerate(values)])
     place = F.struct(*order)
 
     def total(k: int, v: Running) -> Column:
@@ -55,12 +61,12 @@ def running(df: DataFrame, key: str, order: list[str], values: list[Running], sp
     def ordered(by: list[str], columns: list[str], after: bool):  # noqa: ANN202
         return Window.partitionBy(*by).orderBy(*[F.desc(c) if after else F.asc(c) for c in columns])
 
-    totals = named.groupBy(key, "_run").agg(*[total(k, v) for k, v in enumerate(values)])
+    totals = named.groupBy(key, at).agg(*[total(k, v) for k, v in enumerate(values)])
     carried = totals.select(
-        key, "_run", *[over(f"_t{k}", v, ordered([key], ["_run"], v.after)).alias(f"_c{k}") for k, v in enumerate(values)]
+        key, at, *[over(f"_t{k}", v, ordered([key], [at], v.after)).alias(f"_c{k}") for k, v in enumerate(values)]
     )
-    local = named.select("*", *[over(f"_v{k}", v, ordered([key, "_run"], order, v.after)).alias(f"_l{k}") for k, v in enumerate(values)])
-    joined = local.join(carried, [key, "_run"])
+    local = named.select("*", *[over(f"_v{k}", v, ordered([key, at], order, v.after)).alias(f"_l{k}") for k, v in enumerate(values)])
+    joined = local.join(carried, [key, at])
 
     def whole(k: int, v: Running) -> Column:
         here, before = F.col(f"_l{k}"), F.col(f"_c{k}")
