@@ -75,8 +75,7 @@ def chunk_heads(sizes: DataFrame, limit: int, span: int = SPAN, scratch: Scratch
     exits = F.udf(_exits, "array<bigint>", useArrow=False)(F.col("paras"), F.col("nexts"))
     left = unnest(runs.where(~inside), ["doc_id"], F.arrays_zip(F.col("paras").alias("para_no"), exits.alias("next")), "x")
     jumps = scratch.spool(left.where("x.next IS NOT NULL").select("doc_id", "x.para_no", "x.next"))
-    first = F.lit(0).cast("long")
-    reached = scratch.spool(runs.where(F.array_contains("paras", first)).select("doc_id", first.alias("para_no")))
+    reached = scratch.spool(unnest(runs, ["doc_id"], F.filter("paras", lambda p: p == 0), "para_no"))
     n = reached.count()
     while True:
         steps = reached.join(jumps, ["doc_id", "para_no"]).select("doc_id", F.col("next").alias("para_no"))
