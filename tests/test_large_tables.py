@@ -6,8 +6,9 @@ import pyarrow as pa
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
-from foliomark.operators import chunking, long_chunks
+from foliomark.operators import chunking, long_chunks, long_documents
 from foliomark.operators.calls import TIME_OUT, Calls
+from foliomark.operators.spool import Scratch
 from foliomark.workload import queries
 from foliomark.workload.queries import QUERIES
 
@@ -84,3 +85,20 @@ def test_batches_of_chunks_are_cut_by_size(monkeypatch):
     assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
     assert len(parts) > 5 and all(sum(len(t or "") for t in p["chunk"].to_pylist()) <= 1400 for p in parts)
     assert list(chunking._of_size(batch.slice(0, 0), "chunk")) == []
+
+
+def test_line_steps_write_texts_seldom(spark):
+    """Texts are shuffled and written as seldom as can be: running values of lines move without them."""
+    texts = []
+
+    class Watched(Scratch):
+        def spool(self, df, partitions=None):
+            texts.extend([c for c in df.columns if c in ("line", "piece", "shown")])
+            return super().spool(df, partitions)
+
+    rows = [(d, i, ["# A", "text", "", "# A", "b  c"][i % 5]) for d in range(3) for i in range(20)]
+    lines = spark.createDataFrame(rows, "doc_id long, line_no long, line string")
+    assert long_documents.repeated_headers(Watched(spark, "test"), lines, 4).count() > 0
+    assert texts == []
+    assert long_documents.picture_blocks(Watched(spark, "test"), lines, 4).count() == 60
+    assert len(texts) <= 3
