@@ -19,6 +19,8 @@ from foliomark.llm.words import ragged, text_bytes
 
 WORDS_LIMIT = 700_000
 BATCH_WORDS = 20_000
+#: words whose ids are looked up at once
+RUN_WORDS = 1 << 18
 
 
 def single_threaded() -> None:
@@ -42,7 +44,7 @@ class WordEncoder:
     def _clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.starts = np.zeros(1 << 16, dtype=np.int64)
-        self.lengths = np.zeros(1 << 16, dtype=np.int64)
+        self.lengths = np.zeros(1 << 16, dtype=np.int32)
         self.ids = np.zeros(1 << 18, dtype=np.uint32)
         self.used = 0
 
@@ -73,27 +75,40 @@ class WordEncoder:
         texts = pc.if_else(plain, pc.ascii_lower(texts), texts)
         texts = pc.replace_substring_regex(texts, pattern="([A-Za-z])([.,;:!?])", replacement=r"\1 \2")
         lists = pc.ascii_split_whitespace(texts)
+        del raw, plain, texts  # each is as large as the slice
+        offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         words = lists.flatten().dictionary_encode()
+        del lists
         distinct = words.dictionary.to_pylist()
         if len(self.slots) > self.limit:
             self._clear()
         slots = self.slots
         if new := [w for w in distinct if w not in slots]:
             self._add(new)
-        at = np.fromiter(map(slots.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        at = np.fromiter(map(slots.__getitem__, distinct), dtype=np.int32, count=len(distinct))
         indices = words.indices.to_numpy(zero_copy_only=False)
-        offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-        return (at[indices] if len(indices) else np.empty(0, np.int64)), offsets - offsets[0]
+        return (at[indices] if len(indices) else np.empty(0, np.int32)), offsets - offsets[0]
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """The number of ids of each text."""
         slots, offsets = self.words_of(texts)
-        before = np.concatenate([[0], np.cumsum(self.lengths[slots])])
+        before = self._before(self.lengths[slots])
         return before[offsets[1:]] - before[offsets[:-1]]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's begin (one more at the end)."""
         slots, offsets = self.words_of(texts)
         lengths = self.lengths[slots]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids[ragged(self.starts[slots], lengths)], before[offsets]
+        before = self._before(lengths)
+        ids = np.empty(int(before[-1]), dtype=np.uint32)
+        for at in range(0, len(slots), RUN_WORDS):
+            some = slice(at, min(at + RUN_WORDS, len(slots)))
+            ids[before[some.start] : before[some.stop]] = self.ids[ragged(self.starts[slots[some]], lengths[some])]
+        return ids, before[offsets]
+
+    @staticmethod
+    def _before(lengths: np.ndarray) -> np.ndarray:
+        """The sum of the lengths before each word, and of all."""
+        out = np.zeros(len(lengths) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=out[1:])
+        return out

@@ -49,7 +49,8 @@ def pieces(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END
                 nth = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
                 starts = nth * length
                 lengths = np.minimum(sizes[rows] - starts, length)
-                ids = np.insert(flat, begins[1:], end_id).astype("<u4")
+                ids = np.insert(flat, begins[1:], end_id).astype("<u4", copy=False)
+                del flat
                 first = begins[:-1][rows] + rows + starts
                 view = memoryview(ids).cast("B")
                 spans = list(zip((first * 4).tolist(), ((first + lengths) * 4).tolist(), strict=True))
