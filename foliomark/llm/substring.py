@@ -4,9 +4,11 @@ The minimiser of a window is its least hash of ``gram`` words. Consecutive windo
 travel as one string, a super-k-mer, to the bucket of that minimiser; equal windows have equal
 minimisers, so each bucket counts its windows on its own.
 
-1. A first reading counts the places that are minimisers. A window whose minimiser has one place
-   occurs once, so only super-k-mers of repeated minimisers travel; a bit table of fixed size tells them.
-2. A second reading writes documents without such super-k-mers as done, the others with their words.
+1. A first reading counts anchors. The anchor of a window is the longer run of words at its minimiser:
+   those up to it where it lies in the window's second half, else those from it on. Equal windows have equal
+   anchors at different places, so a window whose anchor has one place occurs once. Only windows of repeated
+   anchors travel, as words that meet by chance are rarely that many; a bit table of fixed size tells them.
+2. A second reading writes documents without such windows as done, the others with their words.
 3. Equal super-k-mers are counted before they travel, so copies of a passage are one row.
 4. A bucket sorts its windows and compares neighbours word by word. Minimisers with more than
    ``bucket_windows`` windows in different super-k-mers send their windows apart instead, as digests
@@ -16,7 +18,7 @@ minimisers, so each bucket counts its windows on its own.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ BUCKET_WINDOWS = 200_000
 FLUSH_WINDOWS = 50_000
 
 
-def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
-    """The least (``np.minimum``) or greatest (``np.maximum``) of each ``width`` consecutive values."""
+def _sliding(values: np.ndarray, width: int, best: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The ``best`` of each ``width`` consecutive values; of two, the first argument lies first."""
     have, out = 1, values
     while have < width:
         step = min(have, width - have)
@@ -47,30 +49,40 @@ def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
 
 
 class Windows:
-    """The windows of some texts: which are inside one text, their minimisers, and the words of each text."""
+    """The windows of some texts: which are inside one text, their minimisers and anchors, and the words of each text."""
 
     def __init__(self, texts: pa.Array, window: int, gram: int, values: np.ndarray) -> None:
         raw, offsets = text_bytes(texts)
         starts, ends, self.begins = word_spans(raw, offsets, SPACED)
         self.sizes = np.diff(self.begins)
-        self.width = window - gram + 1
-        self.grams = run_hashes(word_hashes(raw, starts, ends, values), gram)
-        self.least = _sliding(self.grams, self.width, np.minimum)
+        self.gram, self.width = gram, window - gram + 1
+        self.grams = grams = run_hashes(word_hashes(raw, starts, ends, values), gram)
+        # the first place of the least hash, so that it lies at the same place in equal windows
+        place = _sliding(np.arange(len(grams)), self.width, lambda a, b: np.where(grams[b] < grams[a], b, a))
+        self.least = grams[place]
         n = len(self.least)
         self.valid = np.arange(n) + window <= np.repeat(self.begins[1:], self.sizes)[:n]
-
-    def minimisers(self) -> np.ndarray:
-        """The hash at every place that is the minimiser of some window, each place once."""
-        if not len(self.least):
-            return self.least
-        # a place is one if the greatest of the minimisers of the windows over it is its own hash
-        edge = np.zeros(self.width - 1, dtype=np.uint64)
-        over = _sliding(np.concatenate([edge, np.where(self.valid, self.least, 0), edge]), self.width, np.maximum)
-        return self.grams[over == self.grams[: len(over)]]
-
-    def super_kmers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, start, windows, minimiser) of all super-k-mers, of ``LONGEST`` windows at most."""
-        least, valid = self.least, self.valid
+        self.half = self.width // 2
+        self.anchor = place - np.where(place - np.arange(n) >= self.half, self.half, 0)
+        starts_one = np.zeros(len(grams), dtype=bool)
+        starts_one[self.anchor[self.valid]] = True
+        self.places = np.flatnonzero(starts_one)
+
+    def anchors(self) -> np.ndarray:
+        """The hash of the ``half + gram`` words at every place that is the anchor of some window, each place once."""
+        total = np.zeros(len(self.places), dtype=np.uint64)
+        for step in (*range(0, self.half, self.gram), self.half):
+            total = mixed(total) + self.grams[self.places + step]
+        return mixed(total)
+
+    def super_kmers(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, windows, minimiser) of all super-k-mers of the windows whose anchor is ``repeated``.
+
+        ``repeated``: a flag for each of ``anchors()``. A super-k-mer has ``LONGEST`` windows at most.
+        """
+        flags = np.zeros(len(self.grams), dtype=bool)
+        flags[self.places] = repeated
+        least, valid = self.least, self.valid & flags[self.anchor]
         fresh = valid.copy()
         fresh[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
         goes_on = np.zeros(len(least), dtype=bool)
@@ -83,20 +95,20 @@ class Windows:
         return row, at - self.begins[row], length, least[at]
 
 
-def minimisers(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(minimiser, n): places that are minimisers by hash, summed per slice."""
+def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(anchor, n): places of anchors by hash, summed per slice."""
 
     def step():  # noqa: ANN202
         values = byte_values(lower=False)
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch):
-                found, n = np.unique(Windows(part.column("text"), window, gram, values).minimisers(), return_counts=True)
-                yield pa.record_batch({"minimiser": pa.array(signed(found)), "n": pa.array(n, pa.int64())})
+                found, n = np.unique(Windows(part.column("text"), window, gram, values).anchors(), return_counts=True)
+                yield pa.record_batch({"anchor": pa.array(signed(found)), "n": pa.array(n, pa.int64())})
 
         return each
 
-    return map_batches(docs.select("text"), step, "minimiser long, n long")
+    return map_batches(docs.select("text"), step, "anchor long, n long")
 
 
 def _joined(text: bytes) -> bytes:
@@ -104,7 +116,7 @@ def _joined(text: bytes) -> bytes:
 
 
 def candidates(docs: DataFrame, repeated: Broadcast, window: int, gram: int) -> DataFrame:
-    """Per document its super-k-mers of repeated minimisers and its words; without any, the result."""
+    """Per document its super-k-mers of repeated anchors and its words; without any, the result."""
 
     def step():  # noqa: ANN202
         values, bits = byte_values(lower=False), repeated.value
@@ -113,9 +125,7 @@ def candidates(docs: DataFrame, repeated: Broadcast, window: int, gram: int) ->
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch):
                 windows = Windows(part.column("text"), window, gram, values)
-                row, start, length, least = windows.super_kmers()
-                some = contains(bits, least)
-                row, start, length, least = row[some], start[some], length[some], least[some]
+                row, start, length, least = windows.super_kmers(contains(bits, windows.anchors()))
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
                 kmers = pa.StructArray.from_arrays(
                     [pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(signed(least))], fields=list(kmer)
@@ -309,8 +319,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
     """
     scratch = Scratch(docs.sparkSession, "substring")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    often = minimisers(rows, window, gram).groupBy("minimiser").agg(F.sum("n").alias("n")).filter("n > 1")
-    repeated = bit_table(often.select("minimiser"), "minimiser")
+    often = anchors(rows, window, gram).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
+    repeated = bit_table(often.select("anchor"), "anchor")
     read = scratch.spool(candidates(numbered(rows), repeated, window, gram))
     packed = travelling(read, window, with_text=True)
     distinct = scratch.spool(packed.groupBy("minimiser", "key", "windows", "packed").agg(F.count("*").alias("n")))
