@@ -27,7 +27,19 @@ from pyspark.sql import functions as F
 
 from foliomark.llm.bits import bit_table, contains
 from foliomark.llm.tables import map_batches, numbered, table
-from foliomark.llm.words import ALNUM, byte_values, lowered, mixed, run_hashes, signed, slices, text_bytes, word_hashes, word_spans
+from foliomark.llm.words import (
+    ALNUM,
+    SLICE_BYTES,
+    byte_values,
+    lowered,
+    mixed,
+    run_hashes,
+    signed,
+    slices,
+    text_bytes,
+    word_hashes,
+    word_spans,
+)
 from foliomark.operators.spool import Scratch
 
 WINDOW = 10
@@ -219,7 +231,7 @@ def contained_items(
     known = bit_table(own.select("shingle"), "shingle")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *([F.col(row_id).alias("row_id")] if row_id else []))
     rows = rows if row_id else numbered(rows)
-    read = scratch.spool(covered_runs(rows, known, sizes, shortest, longest))
+    read = scratch.spool(covered_runs(rows, known, sizes, shortest, longest), batch_bytes=SLICE_BYTES)
     runs = read.select("row_id", F.explode("runs").alias("run")).select("row_id", "run.at", "run.words")
     # equal pieces once, with the number of their occurrences
     once = scratch.spool(runs.groupBy("words").agg(F.count("*").alias("n")))

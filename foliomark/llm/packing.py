@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from foliomark.llm.encoder import WordEncoder
 from foliomark.llm.tables import map_batches, table
-from foliomark.llm.words import slices
+from foliomark.llm.words import SLICE_BYTES, slices
 from foliomark.operators.spool import Scratch
 
 SEQUENCE = 4096
@@ -103,11 +103,12 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack(cut: DataFrame, length: int = SEQUENCE, group: int = GROUP, seed: int = SEED) -> DataFrame:
     """``cut``: pieces of at most ``length`` -> the same with sequence_id and offset.
 
-    The pieces are written once with their random numbers, so a repeated task packs the same again.
+    The pieces are written once with their random numbers, so a repeated task packs the same again;
+    while they are made, Python gets texts of about 4 MB at once.
     Columns of ``cut`` other than doc_id and those of a piece stay, also ids. Empty: empty.
     """
     scratch = Scratch(cut.sparkSession, "packing")
-    kept = scratch.spool(cut.withColumn("__draw", F.rand(seed)))
+    kept = scratch.spool(cut.withColumn("__draw", F.rand(seed)), batch_bytes=SLICE_BYTES)
     groups = max(1, -(-kept.count() // group))
 
     def each(some: pd.DataFrame) -> pd.DataFrame:
