@@ -25,7 +25,7 @@ SEQUENCE = 4096
 GROUP = 16_384
 END_ID = 2
 SEED = 20_260
-SLICE = 16 << 20
+SLICE = 1 << 20
 BIN_BITS = 24
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
