@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
@@ -41,6 +43,10 @@ ROWS = f"path string, out_path string, text string, error string, images {IMAGES
 MANIFEST = "kind string, out_path string, path string, status string, error string"
 STAGED = pa.schema([(c, pa.string()) for c in ("kind", "out_path", "path", "error", "document", "staged")])
 _COMMITTED = "committed.json"
+# Files that a folder of an attempt gets at most: large folders are slow.
+FOLDER_FILES = 256
+# Staging folders that stay after an export, see ``staging_kept``.
+_KEPT: set[str] = set()
 
 
 @dataclass
@@ -62,29 +68,51 @@ class DocumentFiles(DataSource):
         return ROWS
 
     def writer(self, schema: StructType, overwrite: bool) -> DocumentWriter:
-        return DocumentWriter(self.options["staging"])
+        return DocumentWriter(self.options["staging"], self.options.get("spare"))
 
 
 class DocumentWriter(DataSourceArrowWriter):
-    """Stages files in tasks; the commit names the attempts that count, an abort removes everything."""
+    """Stages files in tasks; the commit names the attempts that count, an abort removes everything.
 
-    def __init__(self, staging: str) -> None:
-        self.staging = staging
+    Folders in ``spare`` hold files that nobody needs any more: a task takes one over and writes into its files.
+    """
+
+    def __init__(self, staging: str, spare: str | None = None) -> None:
+        self.staging, self.spare = staging, spare
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         stores, attempt = Stores(), uuid.uuid4().hex
-        folder = f"{self.staging}/{attempt}"
+        folders: list[str] = []
         rows: list[tuple] = []
+        spare = [path for path, _, _, is_folder in stores.entries(self.spare) if is_folder] if self.spare else []
+        random.shuffle(spare)  # so that tasks seldom reach for the same one
+
+        def new_folder(name: str) -> str:
+            # Folders are made one level at a time: after an abort there is none to write to any more.
+            stores.make(f"{self.staging}/{name}", parents=False)
+            folders.append(f"{self.staging}/{name}")
+            return folders[-1]
+
+        def places() -> Iterator[str]:
+            while True:
+                name = f"{attempt}-{len(folders)}"
+                if not spare:
+                    made = new_folder(name)
+                    yield from (f"{made}/{k}" for k in range(FOLDER_FILES))
+                elif stores.shift(spare.pop(), f"{self.staging}/{name}"):
+                    folders.append(f"{self.staging}/{name}")
+                    yield from [path for path, _, _, is_folder in stores.entries(folders[-1]) if not is_folder]
+
+        free = places()
 
         def stage(kind: str, out_path: str, path: str, content: bytes | None, error: str | None, document: str) -> None:
             staged = None
             if error is None:
-                staged = f"{folder}/{len(rows)}"
-                stores.write(staged, content, make=False)
+                staged = next(free)
+                stores.put(staged, content)  # no one looks for it before its attempt is listed
             rows.append((kind, out_path, path, error, document, staged))
 
-        # Folders are made one level at a time: after an abort there is none to write to any more.
-        stores.make(folder, parents=False)
+        folder = new_folder(attempt)
         try:
             for batch in iterator:
                 for r in batch.to_pylist():
@@ -98,7 +126,8 @@ class DocumentWriter(DataSourceArrowWriter):
             pq.write_table(pa.table([pa.array([r[k] for r in rows], pa.string()) for k in range(len(STAGED))], schema=STAGED), listed)
             stores.write(f"{folder}/staged.parquet", listed.getvalue(), make=False)
         except BaseException:
-            stores.clear(folder)
+            for made in folders:
+                stores.clear(made)
             raise
         return Staged(attempt, sum(r[5] is not None for r in rows))
 
@@ -130,6 +159,64 @@ def _staging(spark: SparkSession, manifest_folder: str) -> str:
     return f"{qualified(spark, manifest_folder)}.staging"
 
 
+@contextmanager
+def staging_kept(spark: SparkSession, manifest_folder: str) -> Iterator[None]:
+    """Exports inside follow each other, and each is read and withdrawn before the next; all name this manifest.
+
+    Where files were deleted just now, some disks (ext4 without a journal) look at each of them for every file
+    they make. So the files of a withdrawn export are written into by the next, and the staging folder stays.
+    """
+    staging = _staging(spark, manifest_folder)
+    _KEPT.add(staging)
+    try:
+        yield
+    finally:
+        _KEPT.discard(staging)
+        remove(spark, staging)
+        remove(spark, _spare(staging))
+
+
+def withdraw(spark: SparkSession, rows: DataFrame, manifest_folder: str) -> None:
+    """Take away the files of an export, given the ``rows`` of its manifest; images go with their whole folders.
+
+    Inside ``staging_kept`` the next export gets them to write into. Each goes there by one rename, so a task that
+    runs twice never hands on a file under two names.
+    """
+    spare = _spare(_staging(spark, manifest_folder))
+    Stores().make(spare)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores = Stores()
+        for batch in batches:
+            found = list(zip(batch.column("kind").to_pylist(), batch.column("out_path").to_pylist(), strict=True))
+            for folder in {parent_of(path) for kind, path in found if kind == "image"}:
+                if not stores.shift(folder, f"{spare}/{uuid.uuid4().hex}"):
+                    stores.clear(folder)
+            texts = f"{spare}/{uuid.uuid4().hex}"
+            stores.make(texts)
+            for k, path in enumerate({path for kind, path in found if kind == "text"}):
+                if not stores.shift(path, f"{texts}/{k}"):
+                    stores.discard(path)
+            yield batch
+
+    def parent_of(path: str) -> str:
+        return path.rpartition("/")[0]
+
+    written = rows.where("status = 'written'").select("kind", "out_path")
+    written.mapInArrow(run, "kind string, out_path string").count()
+
+
+def _spare(staging: str) -> str:
+    return f"{staging}.spare"
+
+
+def _clear(spark: SparkSession, staging: str) -> None:
+    if staging in _KEPT:
+        Stores().empty(staging)
+    else:
+        remove(spark, staging)
+
+
 def export_documents(docs: DataFrame, manifest_folder: str) -> DataFrame:
     """Write ``docs(path, out_path, text)`` with optional ``error`` and ``images`` as files; returns the manifest.
 
@@ -140,7 +227,7 @@ def export_documents(docs: DataFrame, manifest_folder: str) -> DataFrame:
     """
     spark = docs.sparkSession
     staging = _staging(spark, manifest_folder)
-    remove(spark, staging)  # what an earlier write that died left, if it was not committed
+    _clear(spark, staging)  # what an earlier write that died left, if it was not committed
     nothing = F.lit(None)
     rows = docs.select(
         F.col("path").cast("string").alias("path"), "out_path", "text",
@@ -149,7 +236,8 @@ def export_documents(docs: DataFrame, manifest_folder: str) -> DataFrame:
     )
     Stores().make(staging)
     spark.dataSource.register(DocumentFiles)
-    rows.write.format(FORMAT).mode("append").option("staging", staging).save()
+    place = {"staging": staging} | ({"spare": _spare(staging)} if staging in _KEPT else {})
+    rows.write.format(FORMAT).mode("append").options(**place).save()
     return publish(spark, manifest_folder)
 
 
@@ -188,8 +276,7 @@ def publish(spark: SparkSession, manifest_folder: str) -> DataFrame:
                     status = "superseded"
                 else:
                     try:
-                        if stores.there(r.staged) or not stores.there(r.out_path):
-                            stores.move(r.staged, r.out_path)
+                        stores.move_once(r.staged, r.out_path)
                     except Exception as failure:  # noqa: BLE001 - a failed move is a manifest row
                         status, error = "failed", f"{type(failure).__name__}: {failure}"
                 done.append((r.kind, r.out_path, r.path, status, error))
@@ -198,5 +285,5 @@ def publish(spark: SparkSession, manifest_folder: str) -> DataFrame:
     moved = marked.select(*STAGED.names, "superseded").unionByName(images).mapInPandas(run, MANIFEST)
     moved.write.mode("overwrite").parquet(manifest_folder)
     scratch.release()
-    remove(spark, staging)
+    _clear(spark, staging)
     return spark.read.schema(MANIFEST).parquet(manifest_folder)

@@ -43,12 +43,33 @@ def location(path: str) -> str:
     return f"{SCHEMES.get(scheme, scheme)}{mark}{rest}" if mark else path
 
 
+def _renamed(path: str, to: str) -> None:
+    """A local file under a new name, which may be in another folder and taken.
+
+    A rename between folders has to wait for all others of its disk, links wait for those of their folder only.
+    """
+    try:
+        os.link(path, to)
+    except FileNotFoundError:
+        raise
+    except OSError:  # the name is taken, or the disk knows no links
+        os.replace(path, to)
+    else:
+        os.unlink(path)
+
+
 class Stores:
     """Opened file systems of one task, one for each scheme and authority."""
 
     def __init__(self) -> None:
         self.opened: dict[str, object] = {}
 
+    @staticmethod
+    def _local(store: object) -> bool:
+        from pyarrow import fs
+
+        return isinstance(store, fs.LocalFileSystem)
+
     def _at(self, path: str):  # noqa: ANN202 - pyarrow's file system and a path in it
         from pyarrow import fs
 
@@ -89,6 +110,14 @@ class Stores:
         store, target = self._at(path)
         store.delete_file(target)
 
+    def discard(self, path: str) -> None:
+        """Delete a file, if it is there."""
+        try:
+            self.delete(path)
+        except OSError:
+            if self.there(path):
+                raise
+
     def make(self, folder: str, parents: bool = True) -> None:
         """Make a folder; without ``parents`` the one around it has to be there."""
         store, target = self._at(folder)
@@ -109,12 +138,50 @@ class Stores:
                 return
             time.sleep(0.05 * attempt)
 
+    def empty(self, folder: str) -> None:
+        """Remove what a folder holds; the folder stays, and is made if it is not there."""
+        store, target = self._at(folder)
+        store.create_dir(target, recursive=True)
+        store.delete_dir_contents(target)
+
     def move(self, path: str, to: str) -> None:
         """Under its new name at once, in folders that may be new; both in one store."""
         store, target = self._at(path)
         _, end = self._at(to)
+        if self._local(store):
+            try:
+                _renamed(target, end)
+                return
+            except FileNotFoundError:  # most files come into a folder that is there
+                if not os.path.lexists(target):
+                    raise
         store.create_dir(end.rpartition("/")[0], recursive=True)
-        store.move(target, end)
+        if self._local(store):
+            _renamed(target, end)
+        else:
+            store.move(target, end)
+
+    def shift(self, path: str, to: str) -> bool:
+        """A local file or folder under another name in one step, with no folder made; false if that can't be."""
+        store, target = self._at(path)
+        if not self._local(store):
+            return False
+        try:
+            os.rename(target, self._at(to)[1])
+        except OSError:
+            return False
+        return True
+
+    def move_once(self, path: str, to: str) -> None:
+        """The same for a move that may have been made before: then only the new name is there."""
+        if self._local(self._at(path)[0]):
+            try:
+                self.move(path, to)
+            except FileNotFoundError:
+                if self.there(path) or not self.there(to):
+                    raise
+        elif self.there(path) or not self.there(to):
+            self.move(path, to)
 
     def there(self, path: str) -> bool:
         from pyarrow import fs
@@ -124,9 +191,28 @@ class Stores:
 
     def read(self, path: str) -> bytes:
         store, target = self._at(path)
+        if self._local(store):
+            with open(target, "rb", buffering=0) as stream:
+                return stream.readall()
         with store.open_input_stream(target) as stream:
             return stream.read()
 
+    def put(self, path: str, content: bytes) -> None:
+        """A file in a folder that nobody reads before its writer is done; a failed write may leave a part of it.
+
+        A local file that is there is written over and cut to its new length; to empty it first would give its disk
+        space back and ask for it anew.
+        """
+        store, target = self._at(path)
+        if not self._local(store):
+            with store.open_output_stream(target) as out:
+                out.write(content)
+            return
+        with open(target, "wb", opener=lambda name, flags: os.open(name, flags & ~os.O_TRUNC, 0o666)) as out:
+            out.write(content)
+            if os.fstat(out.fileno()).st_size > len(content):
+                out.truncate()
+
     def write(self, path: str, content: bytes, make: bool = True) -> None:
         """The file appears under its name only when complete; nothing is left of a failed write.
 

@@ -25,7 +25,7 @@ from foliomark.operators.spool import Scratch, checkpoint_folder, remove
 from foliomark.operators.unnest import unnest
 from foliomark.plans.convert import ConvertOptions, convert, convert_files
 from foliomark.sources import files, sinks
-from foliomark.sources.document_files import export_documents
+from foliomark.sources.document_files import export_documents, staging_kept, withdraw
 from foliomark.sources.listing import listing
 from foliomark.sources.stores import Stores, exists, is_folder, qualified
 from foliomark.streaming.incremental import convert_changes, convert_new, current_corpus, new_files
@@ -684,8 +684,8 @@ def _with_images(spark: SparkSession, sf_dir: str, taken: Callable[[str, DataFra
     """What ``taken`` reads of the conversion and export of all documents with their images.
 
     Small files take many times their bytes on disk. So documents go in portions, each converted and
-    exported from one run of the parser; what is read back goes into a table and the portion's files make room for the
-    next. Documents that claim one path are in one portion.
+    exported from one run of the parser; what is read back goes into a table and the portion's files are handed to the
+    next, which writes its own into them (``staging_kept``). Documents that claim one path are in one portion.
     """
     scratch = Scratch(spark, "portions")
     base = f"{checkpoint_folder(spark)}/images-{uuid.uuid4().hex}"
@@ -697,12 +697,14 @@ def _with_images(spark: SparkSession, sf_dir: str, taken: Callable[[str, DataFra
     placed = files.with_identity(docs.select(name.alias("path"), F.encode("text", "UTF-8").alias("content")), f"{base}/out")
     dealt = placed.withColumn("portion", F.pmod(F.xxhash64("out_path"), F.lit(n)).cast("int"))
     dealt.write.partitionBy("portion").parquet(f"{scratch.root}/dealt")
-    for k in range(n):
-        raw = spark.read.schema(dealt.schema).parquet(f"{scratch.root}/dealt").where(F.col("portion") == k).drop("portion")
-        done = convert_files(raw, _by_lines(), ConvertOptions(tables=False, extract_images=True))
-        rows = export_documents(done, f"{base}/manifest")
-        taken(base, rows, scratch).write.mode("append").parquet(f"{base}-read")
-        remove(spark, base)
+    with staging_kept(spark, f"{base}/manifest"):
+        for k in range(n):
+            raw = spark.read.schema(dealt.schema).parquet(f"{scratch.root}/dealt").where(F.col("portion") == k).drop("portion")
+            done = convert_files(raw, _by_lines(), ConvertOptions(tables=False, extract_images=True))
+            rows = export_documents(done, f"{base}/manifest")
+            taken(base, rows, scratch).write.mode("append").parquet(f"{base}-read")
+            withdraw(spark, rows, f"{base}/manifest")
+    remove(spark, base)
     scratch.release()
     return spark.read.parquet(f"{base}-read")
 

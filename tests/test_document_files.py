@@ -133,3 +133,23 @@ def test_a_task_removes_what_it_staged(tmp_path):
     with pytest.raises(OSError):  # after an abort
         DocumentWriter(str(tmp_path / "none")).write(batches())
     assert not (tmp_path / "none").exists()
+
+
+def test_an_export_writes_into_the_files_of_the_one_before(spark, tmp_path):
+    """Files of a withdrawn export are used again whole: no part of what they held is left, and none has two names."""
+    target, out = str(tmp_path / "m"), tmp_path / "out"
+    inodes = []
+    with document_files.staging_kept(spark, target):
+        for turn, size in enumerate((50, 3, 20)):
+            rows = [(f"/in/{turn}-{k}.pdf", f"{turn}-{k}.md", f"t{k}" * (k % size), None, [(f"i/{turn}-{k}/{j}.png", b"x" * (j * size)) for j in range(3)]) for k in range(30)]
+            rows.append((f"/in/{turn}.pdf", "", None, "broken", []))
+            found = export_documents(docs_of(spark, tmp_path, rows).repartition(3), target)
+            assert found.count() == 30 * 4 + 1 and left(out) == sorted([n for r in rows[:30] for n in (r[1], *(i for i, _ in r[4]))])
+            for _, name, text, _, images in rows[:30]:
+                assert (out / name).read_text() == text and [(out / n).read_bytes() for n, _ in images] == [c for _, c in images]
+            inodes.append({(out / n).stat().st_ino for n in left(out)})
+            assert len(inodes[-1]) == 30 * 4 and all((out / n).stat().st_nlink == 1 for n in left(out))
+            document_files.withdraw(spark, found, target)
+            assert left(out) == [] and not list((out / "i").iterdir())
+    assert len(inodes[0] & inodes[1]) > 90 and len(inodes[1] & inodes[2]) > 90
+    assert left(tmp_path) == [n for n in left(tmp_path) if n.startswith("m/")]

@@ -134,3 +134,17 @@ def test_stream_takes_files_of_any_age(spark, tmp_path):
     (source / "sub/old.pdf").write_bytes(b"2")
     os.utime(source / "sub/old.pdf", (1, 1))
     assert run() == {"new.pdf", "old.pdf"}
+
+
+def test_moves_into_names_that_are_taken(tmp_path):
+    stores = Stores()
+    stores.put(f"file:{tmp_path}/a", b"long content")
+    stores.put(f"file:{tmp_path}/a", b"short")
+    stores.put(f"file:{tmp_path}/b", b"other")
+    stores.move(f"file:{tmp_path}/a", f"file:{tmp_path}/new/b")
+    stores.move(f"file:{tmp_path}/b", f"file:{tmp_path}/new/b")
+    assert stores.read(f"file:{tmp_path}/new/b") == b"other" and os.listdir(tmp_path) == ["new"]
+    stores.move_once(f"file:{tmp_path}/b", f"file:{tmp_path}/new/b")  # made before
+    with pytest.raises(FileNotFoundError):
+        stores.move_once(f"file:{tmp_path}/b", f"file:{tmp_path}/new/c")
+    assert not stores.shift(f"file:{tmp_path}/none", f"file:{tmp_path}/x")
