@@ -164,7 +164,7 @@ def staging_kept(spark: SparkSession, manifest_folder: str) -> Iterator[None]:
     """Exports inside follow each other, and each is read and withdrawn before the next; all name this manifest.
 
     Where files were deleted just now, some disks (ext4 without a journal) look at each of them for every file
-    they make. So the files of a withdrawn export are written into by the next, and the staging folder stays.
+    they make, and for every folder. So the next export writes into the files of a withdrawn one and uses its folders.
     """
     staging = _staging(spark, manifest_folder)
     _KEPT.add(staging)
@@ -174,6 +174,7 @@ def staging_kept(spark: SparkSession, manifest_folder: str) -> Iterator[None]:
         _KEPT.discard(staging)
         remove(spark, staging)
         remove(spark, _spare(staging))
+        remove(spark, _empties(staging))
 
 
 def withdraw(spark: SparkSession, rows: DataFrame, manifest_folder: str) -> None:
@@ -210,11 +211,20 @@ def _spare(staging: str) -> str:
     return f"{staging}.spare"
 
 
-def _clear(spark: SparkSession, staging: str) -> None:
-    if staging in _KEPT:
-        Stores().empty(staging)
-    else:
-        remove(spark, staging)
+def _empties(staging: str) -> str:
+    return f"{staging}.empties"
+
+
+def _clear(spark: SparkSession, staging: str, attempts: list[str] | None = None) -> None:
+    """Remove a staging folder; inside ``staging_kept`` the emptied folders of ``attempts`` wait to become others."""
+    stores = Stores()
+    if staging in _KEPT and attempts:
+        for attempt in attempts:
+            stores.clear(f"{staging}/{attempt}")  # the listing, large beside empty folders
+        stores.make(_empties(staging))
+        if stores.shift(staging, f"{_empties(staging)}/{uuid.uuid4().hex}"):
+            return
+    remove(spark, staging)
 
 
 def export_documents(docs: DataFrame, manifest_folder: str) -> DataFrame:
@@ -227,7 +237,7 @@ def export_documents(docs: DataFrame, manifest_folder: str) -> DataFrame:
     """
     spark = docs.sparkSession
     staging = _staging(spark, manifest_folder)
-    _clear(spark, staging)  # what an earlier write that died left, if it was not committed
+    remove(spark, staging)  # what an earlier write that died left, if it was not committed
     nothing = F.lit(None)
     rows = docs.select(
         F.col("path").cast("string").alias("path"), "out_path", "text",
@@ -264,8 +274,13 @@ def publish(spark: SparkSession, manifest_folder: str) -> DataFrame:
     images = listed.where("kind = 'image'").join(losers, "document", "left")
     images = images.select(*STAGED.names, F.col("lost").isNotNull().alias("superseded"))
 
+    empties = _empties(staging) if staging in _KEPT else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stores = Stores()
+        for old, *_ in stores.entries(empties) if empties else ():
+            stores.empties += [path for path, _, _, is_folder in stores.entries(old) if is_folder]
+        random.shuffle(stores.empties)
         for batch in batches:
             done = []
             for r in batch.itertuples(index=False):
@@ -285,5 +300,5 @@ def publish(spark: SparkSession, manifest_folder: str) -> DataFrame:
     moved = marked.select(*STAGED.names, "superseded").unionByName(images).mapInPandas(run, MANIFEST)
     moved.write.mode("overwrite").parquet(manifest_folder)
     scratch.release()
-    _clear(spark, staging)
+    _clear(spark, staging, attempts)
     return spark.read.schema(MANIFEST).parquet(manifest_folder)

@@ -63,6 +63,7 @@ class Stores:
 
     def __init__(self) -> None:
         self.opened: dict[str, object] = {}
+        self.empties: list[str] = []  # local folders nobody needs any more; those that are empty become new ones
 
     @staticmethod
     def _local(store: object) -> bool:
@@ -138,12 +139,6 @@ class Stores:
                 return
             time.sleep(0.05 * attempt)
 
-    def empty(self, folder: str) -> None:
-        """Remove what a folder holds; the folder stays, and is made if it is not there."""
-        store, target = self._at(folder)
-        store.create_dir(target, recursive=True)
-        store.delete_dir_contents(target)
-
     def move(self, path: str, to: str) -> None:
         """Under its new name at once, in folders that may be new; both in one store."""
         store, target = self._at(path)
@@ -155,12 +150,29 @@ class Stores:
             except FileNotFoundError:  # most files come into a folder that is there
                 if not os.path.lexists(target):
                     raise
+                self._take(end.rpartition("/")[0])
         store.create_dir(end.rpartition("/")[0], recursive=True)
         if self._local(store):
             _renamed(target, end)
         else:
             store.move(target, end)
 
+    def _take(self, folder: str) -> None:
+        """Make a local folder of one of ``empties``, if there is one and the folder around it is there."""
+        while self.empties:
+            empty = self._at(self.empties.pop())[1]
+            try:
+                with os.scandir(empty) as found:
+                    if next(found, None) is not None:
+                        continue
+                os.rename(empty, folder)
+            except FileNotFoundError:  # another task was first
+                if os.path.isdir(os.path.dirname(folder)):
+                    continue
+            except OSError:  # it is there
+                pass
+            return
+
     def shift(self, path: str, to: str) -> bool:
         """A local file or folder under another name in one step, with no folder made; false if that can't be."""
         store, target = self._at(path)
